@@ -51,8 +51,9 @@ def round_half_up(value: Column, digits: int) -> Column:
 
 def fixed_sum(value: Column | str, digits: int = 6) -> Column:
     """Sum of doubles as integers of 10^-digits each: the result does not depend on row order."""
-    units = F.floor(num(value) * float(10**digits) + 0.5).cast("decimal(20,0)")
-    return num(F.sum(units)) / float(10**digits)
+    scaled = num(value) * float(10**digits) + 0.5
+    whole = scaled - F.pmod(scaled, F.lit(1.0))  # floor() would squeeze the value into 64 bits
+    return num(F.sum(whole.cast("decimal(28,0)"))) / float(10**digits)
 
 
 def clean_number(value: Column | str) -> Column:
