@@ -37,7 +37,6 @@ def read_folder(spark: SparkSession, root: str, options: BronzeOptions = BronzeO
     """Cells of all readable files below ``root``; only the kinds of file that occur are read."""
     present = {r[0] for r in files.discover(spark, root).select("extension").distinct().collect()}
     parts = [delimited.read_cells(spark, root, e, options.width, options.multi_line) for e in ("csv", "tsv") if e in present]
-    parts = [p.withColumn("sheet_index", F.lit(0)) for p in parts]
     if "xlsx" in present:
         parts.append(workbook.read_cells(spark, root))
     if not parts:

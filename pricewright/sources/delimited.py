@@ -44,6 +44,7 @@ def read_cells(spark: SparkSession, root: str, extension: str, width: int = 500,
     placed = raw.select(
         relative(path, root).alias("file"),
         F.lit(SHEET).alias("sheet"),
+        F.lit(0).alias("sheet_index"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
         cell_values(F.array(*names)).alias("cells"),
