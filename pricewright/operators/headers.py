@@ -29,28 +29,34 @@ def header_score() -> Column:
     return F.size(F.filter(pairs, lambda p: p["is_text"] & (F.length(strip(p["cells"])) > 2)))
 
 
-def detect_headers(cells: DataFrame, by_score: bool | None = None) -> DataFrame:
-    """Header of each sheet: (file, sheet, block, seq, header).
+def sheet_summary(cells: DataFrame, by_score: bool | None = None) -> DataFrame:
+    """One row per sheet: (file, sheet, sheet_index, rows, block, seq, header), from one pass over the cells.
 
-    Workbook sheets take the row with the most text among the first fifteen, the earliest on a tie. Delimited files
-    take their first row. ``by_score`` forces one rule for all.
+    Workbook sheets take the row with the most text among the first fifteen as header, the earliest on a tie.
+    Delimited files take their first row. ``by_score`` forces one rule for all.
     """
     delimited = F.lower("file").rlike(r"\.(csv|tsv)$")
-    first = F.struct("block", "seq")
-    head = cells.filter(F.col("block") == 0)
+    searched = F.col("block") == 0
     if by_score is None:
         scored = ~delimited
-        head = head.filter(delimited | (F.col("seq") < HEADER_ROWS))
+        searched = searched & (delimited | (F.col("seq") < HEADER_ROWS))
     else:
+        # Rows of delimited files are numbered per task, so the start of each file is looked up first.
         scored = F.lit(by_score)
-        start = head.groupBy("file", "sheet").agg(F.min("seq").alias("_first"))
-        head = head.join(start, ["file", "sheet"]).filter(F.col("seq") - F.col("_first") < HEADER_ROWS)
+        start = cells.filter(F.col("block") == 0).groupBy("file", "sheet").agg(F.min("seq").alias("_first"))
+        cells = cells.join(start, ["file", "sheet"], "left")
+        searched = searched & (F.col("seq") - F.col("_first") < HEADER_ROWS)
     score = F.when(scored, header_score()).otherwise(F.lit(0))
-    rank = F.struct(score.alias("score"), (-F.col("seq")).alias("early"))
+    rank = F.when(searched, F.struct(score.alias("score"), (-F.col("seq")).alias("early")))
+    index = F.min("sheet_index") if "sheet_index" in cells.columns else F.lit(0)
     return (
-        head.groupBy("file", "sheet")
-        .agg(F.max_by(F.struct(first.alias("at"), F.col("cells")), rank).alias("h"))
-        .select("file", "sheet", F.col("h.at.block").alias("block"), F.col("h.at.seq").alias("seq"), header_names(F.col("h.cells")).alias("header"))
+        cells.groupBy("file", "sheet")
+        .agg(
+            index.alias("sheet_index"),
+            F.count(F.lit(1)).alias("rows"),
+            F.max_by(F.struct("block", "seq", "cells"), rank).alias("h"),
+        )
+        .select("file", "sheet", "sheet_index", "rows", "h.block", "h.seq", header_names(F.col("h.cells")).alias("header"))
     )
 
 
@@ -77,19 +83,20 @@ def header_month(name: Column, year: int = 2024) -> Column:
     return F.when(number.isNotNull(), F.make_date(F.lit(year), number, F.lit(15)))
 
 
-def date_positions(header: Column, first_year: int = 2018, last_year: int = 2030, fallback_year: int = 2024) -> Column:
-    """Array of (pos, day) of the columns that are dates; month names count only when no header is a date."""
-    def found(day):
-        all_columns = F.transform(header, lambda n, i: F.struct((i + 1).alias("pos"), day(n).alias("day")))
-        return F.filter(all_columns, lambda e: e["day"].isNotNull())
+def date_positions(header: Column, first_year: int = 2018, last_year: int = 2030) -> Column:
+    """Array of (pos, day) of the columns whose names are dates inside the window."""
+    days = F.transform(header, lambda n, i: F.struct((i + 1).alias("pos"), header_date(n, first_year, last_year).alias("day")))
+    return F.filter(days, lambda e: e["day"].isNotNull())
 
-    dated = found(lambda n: header_date(n, first_year, last_year))
-    return F.when(F.size(dated) > 0, dated).otherwise(found(lambda n: header_month(n, fallback_year)))
 
+def month_positions(header: Column, year: int = 2024) -> Column:
+    """Array of (pos, day) of the columns named after months; used when no name is a date."""
+    days = F.transform(header, lambda n, i: F.struct((i + 1).alias("pos"), header_month(n, year).alias("day")))
+    return F.filter(days, lambda e: e["day"].isNotNull())
 
-def is_wide(header: Column, first_year: int = 2018, last_year: int = 2030) -> Column:
-    """At least three headers are dates inside the window."""
-    return F.size(F.filter(header, lambda n: header_date(n, first_year, last_year).isNotNull())) >= 3
+
+# A sheet counts as wide from this many date columns on.
+WIDE_FROM = 3
 
 
 def sample_sheets(sheets: DataFrame, max_sheets: int = MAX_SHEETS, stride: bool = True) -> DataFrame:

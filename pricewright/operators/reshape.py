@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import TABLES, Table, column_type
 from ..functions.dates import parse_date
 from ..functions.text import blank_to_null, customer_key, parse_bool
-from .headers import date_positions, is_wide
+from .headers import WIDE_FROM, date_positions, month_positions
 
 DECISION_SCHEMA = (
     "file string, sheet string, target_table string, column_mapping map<string,string>, data_format string, "
@@ -98,10 +98,10 @@ def sheet_plans(
     bindings: (field, positions); dates: (pos, day); plus which exclusions hold.
     """
     told = decisions.select("file", "sheet", "target_table", "column_mapping", "data_format", "exclude_rules", "id_columns")
-    both = headers.join(told, ["file", "sheet"])
-    wide = F.coalesce(F.col("data_format").isin(*WIDE_FORMATS), is_wide(F.col("header"), first_year, last_year))
-    staged = both.withColumn("wide", wide).withColumn(
-        "dates", F.when(F.col("wide"), date_positions(F.col("header"), first_year, last_year, fallback_year))
+    dated = headers.join(told, ["file", "sheet"]).withColumn("dated", date_positions(F.col("header"), first_year, last_year))
+    staged = dated.withColumn("wide", F.coalesce(F.col("data_format").isin(*WIDE_FORMATS), F.size("dated") >= WIDE_FROM)).withColumn(
+        "dates",
+        F.when(F.col("wide"), F.when(F.size("dated") > 0, F.col("dated")).otherwise(month_positions(F.col("header"), fallback_year))),
     )
     usable = F.filter(
         F.map_entries("column_mapping"),

@@ -12,6 +12,7 @@ from ..functions.dates import parse_timestamp
 from ..functions.text import blank_to_null
 from ..operators import headers, keys, reshape
 from ..operators.classify import route
+from ..session import materialise
 from ..sources import delimited, files, workbook
 from ..sources.tables import union_records
 
@@ -44,13 +45,13 @@ def read_folder(spark: SparkSession, root: str, options: BronzeOptions = BronzeO
     return union_records(parts)
 
 
-def sheet_list(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("file", "sheet").agg(F.min("sheet_index").alias("sheet_index"), F.count(F.lit(1)).alias("rows"))
-
-
 def extract(cells: DataFrame, decisions: DataFrame, options: BronzeOptions = BronzeOptions()) -> tuple[DataFrame, DataFrame]:
-    """(records of all tables, decisions that matched no sheet)."""
-    sheets = sheet_list(cells)
+    """(records of all tables, decisions that matched no sheet).
+
+    The summary of the sheets and the reading plans, one row per sheet, are materialised: the cells are then scanned
+    once for headers and once for records, whatever is done with the records.
+    """
+    sheets = materialise(headers.sheet_summary(cells))
     every = headers.ALL_ENTITY_SHEETS
     group = decisions.filter(F.col("sheet") == every)
     # Group decisions only need their file resolved before they are expanded.
@@ -58,8 +59,8 @@ def extract(cells: DataFrame, decisions: DataFrame, options: BronzeOptions = Bro
     group_found, group_misses = files.resolve(group, probe)
     expanded = headers.expand_entity_sheets(group_found, sheets)
     found, misses = files.resolve(decisions.filter(F.col("sheet") != every), sheets)
-    told = found.unionByName(expanded).withColumn("target_table", route(F.col("target_table")))
-    plans = reshape.sheet_plans(headers.detect_headers(cells), told, options.first_year, options.last_year, options.fallback_year)
+    told = materialise(found.unionByName(expanded).withColumn("target_table", route(F.col("target_table"))))
+    plans = materialise(reshape.sheet_plans(sheets, told, options.first_year, options.last_year, options.fallback_year))
     return reshape.apply_mapping(cells, plans), misses.unionByName(group_misses)
 
 
@@ -126,7 +127,8 @@ def name_keys(tables: dict[str, DataFrame], prefix: str, options: BronzeOptions
 
 
 def build(records: DataFrame, names: list[str], prefix: str, client_name: str, options: BronzeOptions = BronzeOptions()) -> dict[str, DataFrame]:
-    """All bronze tables of a client, without position columns."""
+    """All bronze tables of a client, without position columns. The records are written out once for all of them."""
+    records = materialise(records)
     tables = {t: bronze_table(records, t, prefix, client_name, options) for t in names}
     keyed = name_keys(tables, prefix, options)
     return {

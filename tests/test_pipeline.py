@@ -105,21 +105,21 @@ def test_headers(spark):
     text = lambda r: [isinstance(c, str) for c in r]
     grid = [["Report title"], [None, "ab"], ["Name", "Amount", "Amount"], ["long text", "more text", "and more"], ["x", 1, 2]]
     cells = spark.createDataFrame([("b.xlsx", "S", 0, i, [None if c is None else str(c) for c in r], text(r)) for i, r in enumerate(grid)], headers.CELLS_SCHEMA)
-    h = headers.detect_headers(cells).first()
+    h = headers.sheet_summary(cells).first()
     assert h.seq == 2 and h.header == ["Name", "Amount", "Amount_1"]  # tie with row 3 goes to the earlier row
     names = spark.createDataFrame([(["A", None, "A", " A ", ""],)], "c array<string>").select(headers.header_names(F.col("c"))).first()[0]
     assert names == ["A", "Unnamed: 1", "A_1", "A_2", "Unnamed: 4"]
     csv = cells.withColumn("file", F.lit("b.csv"))
-    assert headers.detect_headers(csv).first().seq == 0
-    assert headers.detect_headers(csv, by_score=True).first().seq == 2
+    assert headers.sheet_summary(csv).first().seq == 0
+    assert headers.sheet_summary(csv, by_score=True).first().seq == 2
 
 
 def test_date_headers(spark):
     df = spark.createDataFrame([(["Customer", "2024-01-01", "Jan 2025", "2031-01-01", "2017", "Feb"],), (["c", "jan", "May", "MARCH"],)], "h array<string>")
-    got = df.select(headers.date_positions(F.col("h")).alias("d"), headers.is_wide(F.col("h")).alias("w"), headers.date_positions(F.col("h"), 2015, 2030, 2023).alias("v")).collect()
-    assert [(e.pos, str(e.day)) for e in got[0].d] == [(2, "2024-01-01"), (3, "2025-01-01")] and not got[0].w
+    got = df.select(headers.date_positions(F.col("h")).alias("d"), headers.date_positions(F.col("h"), 2015, 2030).alias("v"), headers.month_positions(F.col("h")).alias("m")).collect()
+    assert [(e.pos, str(e.day)) for e in got[0].d] == [(2, "2024-01-01"), (3, "2025-01-01")]
     assert [(e.pos, str(e.day)) for e in got[0].v] == [(2, "2024-01-01"), (3, "2025-01-01"), (5, "2017-01-01")]
-    assert [(e.pos, str(e.day)) for e in got[1].d] == [(2, "2024-01-15"), (3, "2024-05-15"), (4, "2024-03-15")]
+    assert got[1].d == [] and [(e.pos, str(e.day)) for e in got[1].m] == [(2, "2024-01-15"), (3, "2024-05-15"), (4, "2024-03-15")]
 
 
 def test_sheet_sampling(spark):
