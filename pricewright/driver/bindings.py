@@ -11,6 +11,22 @@ from ..functions.dates import quarter_text
 from ..functions.numeric import money
 
 
+# Columns of the driver's files; stating them spares one job per file and plan.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def _dec(value: str, precision: int = 4, scale: int = 2) -> Column:
     return F.lit(value).cast(f"decimal({precision},{scale})")
 
@@ -22,7 +38,7 @@ class Bindings:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.folder}/{table}.parquet")
 
     @cached_property
     def home(self) -> DataFrame:
@@ -30,6 +46,13 @@ class Bindings:
         nations = self.raw("nation").join(self.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         return self.raw("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
 
+    @cached_property
+    def home_orders(self) -> DataFrame:
+        """Orders with their client and country, joined before line items so that those are shuffled by order only."""
+        return self.raw("orders").join(
+            self.home.select("c_custkey", "c_mktsegment", "n_name", "r_name"), F.col("o_custkey") == F.col("c_custkey")
+        )
+
     @cached_property
     def home_parts(self) -> DataFrame:
         """Parts with the client that owns them."""
@@ -46,9 +69,8 @@ class Bindings:
         zero = money(F.lit(0))
         return (
             self.raw("lineitem")
-            .join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(self.home_orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
-            .join(self.home, F.col("o_custkey") == F.col("c_custkey"))
             .select(
                 F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("transaction_id"),
                 F.col("r_name").alias("client_id"),
@@ -84,9 +106,7 @@ class Bindings:
             .otherwise(_dec("1.000", 4, 3))
         )
         return (
-            self.raw("orders")
-            .join(self.home, customer == F.col("c_custkey"))
-            .select(
+            self.home_orders.select(
                 key.cast("string").alias("deal_id"),
                 F.col("r_name").alias("client_id"),
                 customer.alias("customer_id"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..catalog import TABLES
 from ..functions import dates, numeric, text
 from ..operators import classify, clean, context, enrich, entities, headers, keys, profile, quality, reshape
+from ..plans import bronze
 from ..sources import files
 from ..sources.tables import merge_into
 from .bindings import Bindings
@@ -251,10 +252,7 @@ SELECT seq, file, transaction_date, customer_id, product_name, revenue FROM (
     UNION ALL SELECT o_orderkey + 1, 'in/orders_P.csv', '2024-02-01', CASE WHEN o_orderkey % 5 > 0 THEN o_custkey END, o_orderpriority, o_orderkey + 1
     FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 13 <> 0 AND o_orderkey % 2 = 0)""")
 def sheet_records(b):
-    cells = order_sheets(b)
-    sheets = headers.sheet_summary(cells)
-    told, _ = files.resolve(order_decisions(b), sheets)
-    records = reshape.apply_mapping(cells, reshape.sheet_plans(sheets, told))
+    records, _ = bronze.extract(order_sheets(b), order_decisions(b))
     return reshape.table_records(records, "transaction_fact", ["transaction_date", "customer_id", "product_name", "revenue"]).select(
         "seq", "file", "transaction_date", F.col("customer_id").cast("double"), "product_name", F.col("revenue").cast("double")
     )

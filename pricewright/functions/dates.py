@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -40,6 +41,19 @@ MONTHS = {
 }
 
 
+_SHAPES = {"yyyy": r"\d{4}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]{3}", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}",
+           "HH": r"\d{2}", "mm": r"\d{2}", "ss": r"\d{2}", "'T'": "T"}
+
+
+def shape(fmt: str) -> str:
+    """Regular expression of the texts a format can read; failed parses are slow, failed matches are not."""
+    return "^" + re.sub("'T'|yyyy|MMMM|MMM|MM|M|dd|d|HH|mm|ss", lambda m: _SHAPES[m[0]], fmt) + "$"
+
+
+def read_format(text: Column, fmt: str) -> Column:
+    return F.when(text.rlike(shape(fmt)), F.try_to_timestamp(text, F.lit(fmt)))
+
+
 def is_serial(value: Column | str) -> Column:
     n = as_col(value).cast("string").try_cast("double")
     return F.coalesce((n > SERIAL_LOW) & (n < SERIAL_HIGH), F.lit(False))
@@ -56,7 +70,7 @@ def serial_to_timestamp(value: Column | str) -> Column:
 def parse_timestamp(value: Column | str, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Serials first, then the listed formats; anything else is null."""
     text = strip(value)
-    tried = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats]
+    tried = [read_format(text, fmt) for fmt in formats]
     return F.coalesce(serial_to_timestamp(value), *tried)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import DATE_FORMATS, MONTHS
+from ..functions.dates import DATE_FORMATS, MONTHS, read_format
 from ..functions.text import strip
 
 CELLS_SCHEMA = "file string, sheet string, block long, seq long, cells array<string>, is_text array<boolean>"
@@ -72,7 +72,7 @@ def header_names(cells: Column) -> Column:
 
 def header_date(name: Column, first_year: int = 2018, last_year: int = 2030) -> Column:
     """The date a header spells, when its year is inside the window."""
-    day = F.coalesce(*[F.try_to_timestamp(strip(name), F.lit(f)) for f in HEADER_FORMATS]).cast("date")
+    day = F.coalesce(*[read_format(strip(name), f) for f in HEADER_FORMATS]).cast("date")
     return F.when(F.year(day).between(first_year, last_year), day)
 
 
