@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import mean_of, money, num, percent, ratio, round_half_up, total
+from ..operators.intervals import within
 
 # The components of cost to serve.
 SERVE_COSTS = (
@@ -135,37 +136,25 @@ def new_product_pricing(
     )
 
 
-# Days that share one join key of the promotion windows.
-SPAN_DAYS = 32
-
-
-def _span(day: Column) -> Column:
-    return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / SPAN_DAYS)
-
-
 def promotion_roi(promotions: DataFrame, revenue: DataFrame) -> DataFrame:
     """Revenue inside each promotion window against the equally long window just before it.
 
-    Revenue is summed per SKU and day first, so a SKU with most of the sales is one row per day. Days and windows meet
-    by equality on SKU and a span of days; only days at the two ends of a window are tested in vain.
+    Revenue is summed per SKU and day first, so a SKU with most of the sales is one row per day. See
+    ``within`` for the interval join.
     """
     days = F.datediff("promotion_end_date", "promotion_start_date") + 1
     # Promotions without both dates or a SKU match nothing and keep zeros.
-    dated = promotions.select(
-        "client_id", "promotion_id", "product_sku", "promotion_start_date", "promotion_end_date", days.alias("d")
-    ).filter(F.col("product_sku").isNotNull() & (F.col("d") > 0))
-    first = F.date_add("promotion_start_date", -F.col("d"))
-    spans = dated.withColumn("first", first).withColumn(
-        "span", F.explode(F.sequence(_span(F.col("first")), _span(F.col("promotion_end_date"))))
-    )
+    windows = promotions.select(
+        "client_id", "promotion_id", "product_sku", "promotion_start_date", "promotion_end_date",
+        F.date_add("promotion_start_date", -days).alias("first"),
+    ).filter(days > 0)
     daily = revenue.groupBy("client_id", "product_sku", F.col("transaction_date").alias("day")).agg(
         total("revenue").alias("rev"), F.count(F.lit(1)).alias("n")
-    ).withColumn("span", _span(F.col("day")))
+    )
     inside = F.col("day") >= F.col("promotion_start_date")
     zero = money(F.lit(0))
     sums = (
-        spans.join(daily, ["client_id", "product_sku", "span"])
-        .filter(F.col("day").between(F.col("first"), F.col("promotion_end_date")))
+        within(daily, windows, ["client_id", "product_sku"], "day", "first", "promotion_end_date")
         .groupBy("client_id", "promotion_id")
         .agg(
             F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("n"),
