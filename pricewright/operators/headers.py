@@ -49,13 +49,11 @@ def sheet_summary(cells: DataFrame, by_score: bool | None = None) -> DataFrame:
     score = F.when(scored, header_score()).otherwise(F.lit(0))
     rank = F.when(searched, F.struct(score.alias("score"), (-F.col("seq")).alias("early")))
     index = F.min("sheet_index") if "sheet_index" in cells.columns else F.lit(0)
+    # Only rows that may be headers carry their cells into the aggregation.
+    candidates = cells.withColumn("_rank", rank).withColumn("_head", F.when(searched, F.struct("block", "seq", "cells")))
     return (
-        cells.groupBy("file", "sheet")
-        .agg(
-            index.alias("sheet_index"),
-            F.count(F.lit(1)).alias("rows"),
-            F.max_by(F.struct("block", "seq", "cells"), rank).alias("h"),
-        )
+        candidates.groupBy("file", "sheet")
+        .agg(index.alias("sheet_index"), F.count(F.lit(1)).alias("rows"), F.max_by("_head", "_rank").alias("h"))
         .select("file", "sheet", "sheet_index", "rows", "h.block", "h.seq", header_names(F.col("h.cells")).alias("header"))
     )
 

@@ -77,15 +77,15 @@ def dictionary_keys(
 def content_keys(df: DataFrame, out: str = "id") -> DataFrame:
     """Key from a row's content and its copy number: the same input always gives the same keys.
 
-    Copies are counted, not listed, and written out again in bounded portions spread over tasks.
+    Copies are counted, not listed; rows with very many are written out again in portions spread over tasks.
     """
     names = df.columns
     content = F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]), {"ignoreNullFields": "false"})
-    counted = df.groupBy(*[F.col(f"`{n}`") for n in names]).agg(F.count(F.lit(1)).alias("_copies"))
-    portions = counted.withColumn(
-        "_first", F.explode(F.expr(f"sequence(1L, _copies, {COPIES_PER_TASK}L)"))
-    ).withColumn("_hash", F.sha2(content, 256)).repartition("_hash", "_first")
+    counted = df.groupBy(*[F.col(f"`{n}`") for n in names]).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_hash", F.sha2(content, 256))
+    portion = F.explode(F.expr(f"sequence(1L, _copies, {COPIES_PER_TASK}L)"))
+    few = counted.filter(F.col("_copies") <= COPIES_PER_TASK).withColumn("_first", F.lit(1).cast("long"))
+    many = counted.filter(F.col("_copies") > COPIES_PER_TASK).withColumn("_first", portion).repartition("_hash", "_first")
     last = F.least(F.col("_copies"), F.col("_first") + COPIES_PER_TASK - 1)
-    rows = portions.withColumn("_copy", F.explode(F.sequence("_first", last)))
+    rows = few.unionByName(many).withColumn("_copy", F.explode(F.sequence("_first", last)))
     key = F.sha2(F.concat_ws("#", "_hash", F.col("_copy").cast("string")), 256)
     return rows.select(key.alias(out), *[F.col(f"`{n}`") for n in names])

@@ -15,6 +15,15 @@ def spark():
     return local_session(4, shuffle_partitions=4, memory="4g")
 
 
+@pytest.fixture
+def uncoalesced(spark):
+    """Keep every shuffle partition, so that small data is cut into many slices."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, "true")
+
+
 def rows(df, *order):
     """Collected rows as tuples, sorted."""
     return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -8,7 +8,7 @@ from pricewright.catalog import TABLES
 from pricewright.operators import classify, clean, context, enrich, entities, keys, ordering, profile, quality, reshape
 
 
-def test_running_matches_a_plain_window(spark):
+def test_running_matches_a_plain_window(spark, uncoalesced):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"), (F.col("id") * 7 % 11).cast("decimal(18,0)").alias("v"))
     got = {(r.g, r.k): (r.n, r.c) for r in ordering.running(df, ["g"], [F.col("v").desc(), F.col("k")], {"c": F.col("v")}, "n").collect()}
     for g in range(3):
