@@ -302,7 +302,7 @@ _BOOKS = """SELECT CAST(o_custkey AS VARCHAR) AS file, CASE o_orderkey % 4 WHEN
 
 
 @register(f"""
-SELECT file, sheet, i AS sheet_index FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY rank, i) AS place FROM (
+SELECT file, sheet, CAST(i AS INTEGER) AS sheet_index FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY rank, i) AS place FROM (
     SELECT *, CASE WHEN n <= 8 OR i < 4 OR i >= n - 2 THEN 0 WHEN (i - 4) % greatest(1, n // 2) = 0 THEN 1 END AS rank FROM ({_BOOKS})) WHERE rank IS NOT NULL)
 WHERE place <= 8""")
 def sheet_sample(b):

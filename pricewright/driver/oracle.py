@@ -166,6 +166,12 @@ def fixed(expr: str) -> str:
     return f"(CAST(sum(CAST(floor(({expr}) * 1000000 + 0.5) AS HUGEINT)) AS DOUBLE) / 1000000)"
 
 
+def as_int(sql: str, *columns: str) -> str:
+    """The same rows with the columns as 32-bit integers, as Spark numbers them."""
+    casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in columns)
+    return f"SELECT * REPLACE ({casts}) FROM ({sql})"
+
+
 def avg(a: str) -> str:
     return ratio(f"sum({a})", f"count({a})")
 
@@ -402,5 +408,8 @@ FROM (SELECT p.*, count(f.revenue) FILTER (f.transaction_date >= promotion_start
           AND f.transaction_date BETWEEN promotion_start_date - 90 AND promotion_end_date
       GROUP BY ALL)"""
 
+VIEWS["opportunities"] = as_int(VIEWS["opportunities"], "priority")
+VIEWS["promotion_roi"] = as_int(VIEWS["promotion_roi"], "promo_duration_days")
+
 for _name, _sql in VIEWS.items():
     define(f"v_{_name}", _sql)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..plans import filters, gold, rollups
 from .bindings import Bindings
-from .oracle import dbl, fixed, pct, ratio, statement
+from .oracle import as_int, dbl, fixed, pct, ratio, statement
 from .registry import Query, plain
 
 # Segments of the driver's customers.
@@ -226,4 +226,10 @@ _SQL: dict[str, str] = {
     "tenant_view": "SELECT * FROM v_price_band WHERE client_id = 'ASIA'",
     "table_builder": "SELECT client_id, segment, customer_id, revenue FROM v_customer_profitability",
 }
+_INTEGERS = {
+    "top_competitors": ("rank",), "rep_top": ("rank",), "competitor_list": ("rank",), "rebate_by_customer": ("rank",),
+    "serve_cost_top": ("rank",), "cohort_matrix": ("cohort_rank", "month_rank"),
+}
+for _name, _columns in _INTEGERS.items():
+    _SQL[_name] = as_int(_SQL[_name], *_columns)
 SQL = {name: statement(sql) for name, sql in _SQL.items()}
