@@ -13,6 +13,9 @@ from ..functions.text import blank_to_null, parse_bool
 
 LOG_SCHEMA = "table string, column string, action string, affected long, detail string"
 
+# Optional column telling where a row stood in its source; no part of the data.
+POSITION = "_position"
+
 
 def _c(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -75,15 +78,17 @@ def clean(df: DataFrame, table: str, kinds: Mapping[str, str] | None = None) ->
 
     Order: dates (serials first), numbers, empty rows, exact duplicates, then trimming and null tokens. Duplicates are
     therefore judged before trimming, and rows differing in blanks only both stay. Duplicates fall to one aggregation
-    that is combined before the shuffle, so many copies of one row are no hot spot.
+    that is combined before the shuffle, so many copies of one row are no hot spot. A ``_position`` column is carried
+    along; of repeated rows the first stays.
     """
     if kinds is None:
         kinds = declared_kinds(df.columns)
         kinds = {**kinds, **guess_kinds(df, kinds)}
-    names = df.columns
-    repaired = df.select(*[typed(n, kinds.get(n)) for n in names])
+    names = [c for c in df.columns if c != POSITION]
+    places = [c for c in df.columns if c == POSITION]
+    repaired = df.select(*[typed(n, kinds.get(n)) for n in names], *places)
     filled = repaired.filter(F.coalesce(*[_c(n).cast("string") for n in names]).isNotNull())
-    unique = filled.groupBy(*[_c(n) for n in names]).agg(F.count(F.lit(1)).alias("_copies"))
+    unique = filled.groupBy(*[_c(n) for n in names]).agg(F.count(F.lit(1)).alias("_copies"), *[F.min(p).alias(p) for p in places])
     out = unique.select(*[
         parse_bool(_c(n)).alias(n) if kinds.get(n) == "boolean"
         else (blank_to_null(_c(n)).alias(n) if t == "string" else _c(n))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import BENEFITS_NUMBERS, BRONZE_NUMBERS, bronze_columns
 from ..functions.dates import parse_timestamp
 from ..functions.text import blank_to_null
-from ..operators import headers, keys, reshape
+from ..operators import clean, headers, keys, reshape
 from ..operators.classify import route
 from ..session import materialise
 from ..sources import delimited, files, workbook
@@ -126,13 +126,26 @@ def name_keys(tables: dict[str, DataFrame], prefix: str, options: BronzeOptions
     return out
 
 
-def build(records: DataFrame, names: list[str], prefix: str, client_name: str, options: BronzeOptions = BronzeOptions()) -> dict[str, DataFrame]:
-    """All bronze tables of a client, without position columns. The records are written out once for all of them."""
+def build(
+    records: DataFrame,
+    names: list[str],
+    prefix: str,
+    client_name: str,
+    options: BronzeOptions = BronzeOptions(),
+    positions: bool = False,
+) -> dict[str, DataFrame]:
+    """All bronze tables of a client. The records are written out once for all of them.
+
+    ``positions`` adds a ``_position`` column with each row's place in its source, by which the silver layer knows the
+    last of repeated rows.
+    """
     records = materialise(records)
-    tables = {t: bronze_table(records, t, prefix, client_name, options) for t in names}
-    keyed = name_keys(tables, prefix, options)
-    return {
-        t: df.select(F.col("client_name_tag").alias("client_name"), *[c for c in df.columns if c not in (*POSITION, "client_name_tag", "client_name")])
-        if "client_name" not in df.columns else df.select(*[c for c in df.columns if c not in (*POSITION, "client_name_tag")])
-        for t, df in keyed.items()
-    }
+    keyed = name_keys({t: bronze_table(records, t, prefix, client_name, options) for t in names}, prefix, options)
+    place = [F.struct(*POSITION).alias(clean.POSITION)] if positions else []
+    out = {}
+    for table, df in keyed.items():
+        data = [c for c in df.columns if c not in (*POSITION, "client_name_tag", "client_name")]
+        # Tables that name their own clients keep those names.
+        owner = F.col("client_name") if "client_name" in df.columns else F.col("client_name_tag").alias("client_name")
+        out[table] = df.select(owner, *data, *place)
+    return out

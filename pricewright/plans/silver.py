@@ -23,7 +23,11 @@ def to_silver(
     enrichment: DataFrame | None = None,
     min_score: float = 0.0,
 ) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
-    """(silver tables, cleaning log, reconciliation). Decisions and enrichment come in as tables."""
+    """(silver tables, cleaning log, reconciliation). Decisions and enrichment come in as tables.
+
+    Tables with a ``_position`` column keep the last load of repeated deals and representatives; without one the
+    largest row by value stays, so that the result is repeatable. The column ends here.
+    """
     tables, logs = {}, []
     for name, df in bronze.items():
         cleaned, log = c.clean(df, name)
@@ -40,7 +44,7 @@ def to_silver(
                 logs.append(e.merge_counts(t, tables[n], n))
 
     for name, df in tables.items():
-        order = F.struct(*[F.col(f"`{x}`") for x in df.columns])
+        order = F.col(c.POSITION) if c.POSITION in df.columns else F.struct(*[F.col(f"`{x}`") for x in df.columns])
         if "deal_opportunity" in name:
             df = e.dedup_deals(df, order)
         if "sales_rep" in name:
@@ -51,5 +55,6 @@ def to_silver(
             df = e.flag_negative(df)
         if ("financial" in name or "p_and_l" in name) and "line_item" in df.columns:
             df = e.categorize(df)
-        tables[name] = e.derive_discount(df)
-    return tables, union_records(logs), quality.reconcile(bronze, tables)
+        tables[name] = e.derive_discount(df).drop(c.POSITION)
+    before = {n: df.drop(c.POSITION) for n, df in bronze.items()}
+    return tables, union_records(logs), quality.reconcile(before, tables)

@@ -139,7 +139,7 @@ def test_folder_to_dashboard(spark, folder, tmp_path):
         ("long_tx.csv", "Sheet1"): 3, ("deep + er/wide_dates.csv", "Sheet1"): 3, ("wide_months.tsv", "Sheet1"): 3,
         **{("entities.xlsx", f"Dist {i}"): 2 for i in range(8)},
     }
-    built = bronze.build(records, ["transaction_fact"], "ACE", "Acme Client")
+    built = bronze.build(records, ["transaction_fact"], "ACE", "Acme Client", positions=True)
     facts = built["transaction_fact"]
     got = rows(facts.filter("transaction_id <= 'ACE-TXN-000003'").select("transaction_id", "customer_name", "customer_id", "revenue", F.col("transaction_date").cast("date").cast("string")))
     assert got == [
@@ -168,6 +168,32 @@ def test_folder_to_dashboard(spark, folder, tmp_path):
     assert pareto[-1].cum_pct == pytest.approx(100) and len(pareto) == 2
 
 
+def test_silver_keeps_the_last_load(spark):
+    deals = spark.createDataFrame(
+        [("Acme", "big", "90", "f", 1), ("Acme", "big", "10", "f", 2), ("Zen", None, "7", "f", 3), ("Zen", None, "7", "f", 4), ("Zen", None, "1", "f", 5)],
+        "customer_name string, opportunity_name string, deal_amount string, file string, seq int",
+    ).withColumn("_position", F.struct("file", "seq")).drop("file", "seq")
+    out, log, report = silver.to_silver({"deal_opportunity": deals})
+    assert rows(out["deal_opportunity"]) == sorted([("Acme", "big", 10.0), ("Zen", None, 1.0)], key=repr)
+    assert {r.action: r.affected for r in log.collect()} == {"drop_duplicates": 1}
+    assert report.select("bronze_rows", "silver_rows", "bronze_cols", "silver_cols").first() == (5, 2, 3, 3)
+
+
+def test_benefits_tables(spark):
+    fields = {"client_name": "client_name", "termination_date": "termination_date", "lives": "lives_covered"}
+    grid = [("t.csv", "Sheet1", 0, 0, 0, ["client_name", "termination_date", "lives"]), ("t.csv", "Sheet1", 0, 0, 1, ["B Co", "45292", "12"]), ("t.csv", "Sheet1", 0, 0, 2, ["A Co", "x", "n"])]
+    cells = spark.createDataFrame([(*g, [True] * 3) for g in grid], "file string, sheet string, sheet_index int, block long, seq long, cells array<string>, is_text array<boolean>")
+    both = [("t.csv", "Sheet1", t, fields, "long", [], []) for t in ("terminations_fact",)]
+    options = bronze.BronzeOptions.for_benefits()
+    records, _ = bronze.extract(cells, decide(spark, *both), options)
+    out = bronze.build(records, ["terminations_fact"], "PBM", "ignored", options)["terminations_fact"]
+    got = rows(out.select("termination_id", "client_name", F.col("termination_date").cast("date").cast("string"), "lives_covered"))
+    assert got == [("PBM-TERM-00001", "B Co", "2024-01-01", Decimal("12.0000")), ("PBM-TERM-00002", "A Co", None, None)]
+    book = records.withColumn("target_table", F.lit("book_of_business_fact"))
+    named = bronze.build(book, ["book_of_business_fact"], "PBM", "ignored", options)["book_of_business_fact"]
+    assert rows(named.select("client_name", "client_id")) == [("A Co", "PBM-CLI-0001"), ("B Co", "PBM-CLI-0002")]
+
+
 def test_store_keeps_other_clients(spark, tmp_path):
     store = TableStore(spark, str(tmp_path))
     with pytest.raises(ValueError):
