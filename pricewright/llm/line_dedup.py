@@ -65,8 +65,8 @@ def drop_repeated_lines(
         "lines",
     )
     shares = [i / batches for i in range(1, batches)]
-    cuts = sorted(set(lines.approxQuantile("id", shares, 0.01))) if shares else []
-    edges = [None, *[int(c) for c in cuts], None]
+    found = lines.where(F.col("id") < LAST_ID).approxQuantile("id", shares, 0.01) if shares else []
+    edges = [None, *sorted({int(c) for c in found if c < LAST_ID}), None]
     runs, dropped = Runs(fanout), []
     for low, high in zip(edges, edges[1:]):
         batch = lines

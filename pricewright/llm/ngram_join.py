@@ -102,7 +102,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAYLOAD = "band int, value long, low int, high int, own int, doc long, copies long, bands array<int>, buckets array<long>, shingles binary"
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _deal(block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document to every pair of blocks of its buckets that has its own block."""
     schema = pa.schema([
         ("band", pa.int32()), ("value", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("own", pa.int32()), ("doc", pa.int64()), ("copies", pa.int64()),
@@ -114,7 +114,7 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = shingle_set(text.as_py()).tobytes()
             bands, values = [b["band"] for b in buckets], [b["value"] for b in buckets]
             for b in buckets:
-                blocks = -(-b["m"] // BLOCK)
+                blocks = -(-b["m"] // block)
                 own = xxhash.xxh3_64_intdigest(str(doc)) % blocks
                 for other in range(blocks):
                     rows.append((b["band"], b["value"], min(own, other), max(own, other), own, doc, copies, bands, values, data))
@@ -210,7 +210,7 @@ def _verify(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
     yield batch_of(out)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(doc_id, class_id, n_links): classes of documents joined by links of Jaccard similarity >= ``similarity``.
 
     1. Every document gets a 128-bit key of its shingle set and 24 band hashes of 6 MinHashes. Documents of equal sets are
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     asked = banded.join(once, ["band", "value"]).groupBy("doc").agg(
         F.max("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("band", "value", "m"))).alias("buckets"))
     asked = staged(asked, "members")
-    payload = rows.join(asked, rows["doc_id"] == asked["doc"]).dropDuplicates(["doc", "text"]).select("doc", "copies", "buckets", "text").mapInArrow(_deal, _PAYLOAD)
+    payload = rows.join(asked, rows["doc_id"] == asked["doc"]).dropDuplicates(["doc", "text"]).select("doc", "copies", "buckets", "text").mapInArrow(partial(_deal, block), _PAYLOAD)
     dealt = payload.repartition("band", "value", "low", "high").sortWithinPartitions("band", "value", "low", "high")
     found = staged(dealt.mapInArrow(partial(_verify, similarity), "doc long, links long, part long"), "links")
     links = found.groupBy("doc").agg(F.sum("links").alias("links"))

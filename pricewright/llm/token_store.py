@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -94,31 +95,28 @@ class _NewFile:
         self.fs.move(self.temporary, self.final)
 
 
-def _write_shards(folder: str, vocabulary: str, end_id: int):
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, enc, file, keys, counts = TaskContext.get().partitionId(), encoder(vocabulary), None, [], []
-        end = np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
-            for low in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(low, TEXTS_AT_ONCE)
-                file = file or _NewFile(folder, f"shard-{shard:06d}.bin")
-                for key, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
-                    file.out.write(ids + end)
-                    keys.append(key)
-                    counts.append(len(ids) // enc.dtype.itemsize + 1)
-        if file is None:
-            return
-        k, n = np.array(keys, "<i8"), np.array(counts, "<i8")
-        file.out.write(k.tobytes() + n.tobytes() + _TAIL.pack(len(k), enc.dtype.itemsize, MARK))
-        file.close()
-        at = np.cumsum(n) - n
-        for low in range(0, len(k), 10_000):
-            s = slice(low, low + 10_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k[s]), pa.array(np.full(len(k[s]), shard)), pa.array(np.arange(len(k))[s]), pa.array(at[s]), pa.array(n[s])],
-                names=["key", "shard", "record", "first", "n_tokens"])
-
-    return write
+def _write_shards(folder: str, vocabulary: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shard, enc, file, keys, counts = TaskContext.get().partitionId(), encoder(vocabulary), None, [], []
+    end = np.array([end_id], enc.dtype).tobytes()
+    for batch in batches:
+        for low in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            part = batch.slice(low, TEXTS_AT_ONCE)
+            file = file or _NewFile(folder, f"shard-{shard:06d}.bin")
+            for key, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
+                file.out.write(ids + end)
+                keys.append(key)
+                counts.append(len(ids) // enc.dtype.itemsize + 1)
+    if file is None:
+        return
+    k, n = np.array(keys, "<i8"), np.array(counts, "<i8")
+    file.out.write(k.tobytes() + n.tobytes() + _TAIL.pack(len(k), enc.dtype.itemsize, MARK))
+    file.close()
+    at = np.cumsum(n) - n
+    for low in range(0, len(k), 10_000):
+        s = slice(low, low + 10_000)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(k[s]), pa.array(np.full(len(k[s]), shard)), pa.array(np.arange(len(k))[s]), pa.array(at[s]), pa.array(n[s])],
+            names=["key", "shard", "record", "first", "n_tokens"])
 
 
 class Shard:
@@ -246,19 +244,16 @@ def _by_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Tab
         yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
 
 
-def _build_index(folder: str):
-    def build(batches):
-        for number, rows in _by_segment(batches):
-            keys = rows.column("key").to_numpy()
-            function = PerfectHash.build(keys)
-            slots, at = np.zeros(len(keys), _SLOT), function.slots(keys)
-            slots["print"][at] = fingerprints(keys)
-            for name in ("shard", "record", "records"):
-                slots[name][at] = rows.column(name).to_numpy()
-            Segment(function, slots).write(folder, number)
-            yield pa.RecordBatch.from_pydict({"segment": [number], "keys": [len(keys)]}, schema=pa.schema([("segment", pa.int64()), ("keys", pa.int64())]))
-
-    return build
+def _build_index(folder: str, batches):
+    for number, rows in _by_segment(batches):
+        keys = rows.column("key").to_numpy()
+        function = PerfectHash.build(keys)
+        slots, at = np.zeros(len(keys), _SLOT), function.slots(keys)
+        slots["print"][at] = fingerprints(keys)
+        for name in ("shard", "record", "records"):
+            slots[name][at] = rows.column(name).to_numpy()
+        Segment(function, slots).write(folder, number)
+        yield pa.RecordBatch.from_pydict({"segment": [number], "keys": [len(keys)]}, schema=pa.schema([("segment", pa.int64()), ("keys", pa.int64())]))
 
 
 def _segment(n: int):
@@ -279,12 +274,12 @@ def write_store(
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "body")
     schema = "key long, shard long, record long, first long, n_tokens long"
-    records = staged(ordered.mapInArrow(_write_shards(folder, vocabulary, end_id), schema), "records")
+    records = staged(ordered.mapInArrow(partial(_write_shards, folder, vocabulary, end_id), schema), "records")
     keys = records.groupBy("key").agg(F.min("shard").alias("shard"), F.min("record").alias("record"), F.count(F.lit(1)).alias("records"))
     keys = staged(keys, "keys")
     segments = max(1, -(-keys.count() // KEYS_PER_SEGMENT))
     dealt = keys.select(_segment(segments), "*").repartition("segment").sortWithinPartitions("segment")
-    staged(dealt.mapInArrow(_build_index(folder), "segment long, keys long"), "segments").count()
+    staged(dealt.mapInArrow(partial(_build_index, folder), "segment long, keys long"), "segments").count()
     bases = records.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select(
         "shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     bases.write.parquet(f"{folder}/shards.parquet")
@@ -295,35 +290,29 @@ def write_store(
     return manifest
 
 
-def _look_up(folder: str):
-    def look_up(batches):
-        for number, rows in _by_segment(batches):
-            segment, keys = Segment.read(folder, number), rows.column("key").to_numpy()
-            held, slots = segment.find(keys)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[held]), *[pa.array(slots[c].astype(np.int64)) for c in ("shard", "record", "records")]],
-                names=["key", "shard", "record", "records"])
+def _look_up(folder: str, batches):
+    for number, rows in _by_segment(batches):
+        segment, keys = Segment.read(folder, number), rows.column("key").to_numpy()
+        held, slots = segment.find(keys)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[held]), *[pa.array(slots[c].astype(np.int64)) for c in ("shard", "record", "records")]],
+            names=["key", "shard", "record", "records"])
 
-    return look_up
 
-
-def _fetch(folder: str):
-    def fetch(batches):
-        shard, number = None, None
-        for batch in batches:
-            out = []
-            for key, s, record, records in zip(*[c.to_pylist() for c in batch.columns]):
-                if s != number:
-                    shard, number = Shard(folder, s), s
-                if shard.keys[record] != key:
-                    continue  # a key that isn't stored but has a stored key's slot and fingerprint
-                for r in range(record, record + records):
-                    crc = zlib.crc32(shard.ids(r).astype("<u4").tobytes())
-                    out.append((key, s, int(shard.starts[r]), int(shard.counts[r]), crc))
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "shard", "first", "n_tokens", "ids_crc32"])
-
-    return fetch
+def _fetch(folder: str, batches):
+    shard, number = None, None
+    for batch in batches:
+        out = []
+        for key, s, record, records in zip(*[c.to_pylist() for c in batch.columns]):
+            if s != number:
+                shard, number = Shard(folder, s), s
+            if shard.keys[record] != key:
+                continue  # a key that isn't stored but has a stored key's slot and fingerprint
+            for r in range(record, record + records):
+                crc = zlib.crc32(shard.ids(r).astype("<u4").tobytes())
+                out.append((key, s, int(shard.starts[r]), int(shard.counts[r]), crc))
+        cols = list(zip(*out)) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "shard", "first", "n_tokens", "ids_crc32"])
 
 
 def read_store(keys: DataFrame, folder: str) -> DataFrame:
@@ -336,9 +325,9 @@ def read_store(keys: DataFrame, folder: str) -> DataFrame:
     with fs.open_input_stream(f"{root}/manifest.json") as f:
         manifest = json.loads(f.read())
     dealt = keys.select(_segment(manifest["segments"]), "key").repartition("segment").sortWithinPartitions("segment")
-    found = dealt.mapInArrow(_look_up(folder), "key long, shard long, record long, records long")
+    found = dealt.mapInArrow(partial(_look_up, folder), "key long, shard long, record long, records long")
     by_shard = found.repartition("shard").sortWithinPartitions("shard", "record")
-    got = by_shard.mapInArrow(_fetch(folder), "key long, shard long, first long, n_tokens long, ids_crc32 long")
+    got = by_shard.mapInArrow(partial(_fetch, folder), "key long, shard long, first long, n_tokens long, ids_crc32 long")
     bases = spark.read.parquet(f"{folder}/shards.parquet")  # one row a shard
     return got.join(bases, "shard").select(
         F.nullif("key", F.lit(NULL_KEY)).alias("doc_id"), (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
