@@ -20,7 +20,7 @@ BROADCAST_SHINGLES = 2_000_000
 
 def plain_words(text: Column) -> Column:
     """Runs of letters and digits in lower case."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
 
 
 def shingle_hashes(words: Column, k: int) -> Column:
@@ -30,6 +30,16 @@ def shingle_hashes(words: Column, k: int) -> Column:
     return F.when(F.size(words) >= k, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
+def shingle_rows(df: DataFrame, words: str, k: int) -> DataFrame:
+    """(p, h) for each run of ``k`` words from word p. The runs are zipped slices, hashed after they have become rows, which
+    keeps a corpus-wide pass inside generated code."""
+    n = F.greatest(F.size(words) - k + 1, F.lit(0))
+    runs = F.arrays_zip(*[F.slice(words, F.lit(j + 1), n) for j in range(k)])
+    rest = [c for c in df.columns if c != words]
+    rows = df.select(*rest, F.posexplode(runs).alias("p", "x"))
+    return rows.select(*rest, "p", F.xxhash64(*[F.col(f"x.`{j}`") for j in range(k)]).alias("h"))
+
+
 def own_shingles(words: Column) -> Column:
     """Shingles of ``SHINGLE`` words, or the one of all words where there are fewer."""
     out = shingle_hashes(words, SHINGLE)
@@ -80,21 +90,22 @@ def contaminated(
     small = items.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0] <= broadcast_shingles
     maybe = F.broadcast if small else (lambda df: df)
     lengths = sorted(r[0] for r in items.select(F.least("n", F.lit(SHINGLE))).distinct().collect())  # five values at most
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("version"), plain_words(F.col(text)).alias("dw"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("body"))
+    worded = rows.select("doc_id", "version", plain_words(F.col("body")).alias("dw"))
     anchors = items.select(F.posexplode("shingles").alias("q", "h"), "n").distinct()
     hits = None
     for k in lengths:
-        found = rows.select("doc_id", "version", F.size("dw").alias("size"), F.posexplode(shingle_hashes(F.col("dw"), k)).alias("p", "h"))
+        found = shingle_rows(worded.withColumn("size", F.size("dw")), "dw", k)
         mine = anchors.where(F.least("n", F.lit(SHINGLE)) == k)
         part = found.join(maybe(mine), "h").select("doc_id", "version", F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("size") - F.col("n"))).alias("start"), "n")
         hits = part if hits is None else hits.union(part)
     if hits is None:
-        hits = rows.select("doc_id", "version", F.lit(0).alias("start"), F.lit(0).alias("n")).limit(0)
+        hits = worded.select("doc_id", "version", F.lit(0).alias("start"), F.lit(0).alias("n")).limit(0)
     by_doc = staged(hits.distinct().groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n")).alias("at")), "windows")
     where = [rows["doc_id"].eqNullSafe(F.col("_doc")), rows["version"] == F.col("_version")]
     marked = rows.join(by_doc.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), "at"), where)
     windows = staged(
-        marked.dropDuplicates(["doc_id", "version"]).select("doc_id", "dw", F.explode("at").alias("w"))
+        marked.dropDuplicates(["doc_id", "version"]).select("doc_id", plain_words(F.col("body")).alias("dw"), F.explode("at").alias("w"))
         .select("doc_id", F.col("w.start").alias("start"), F.slice("dw", F.col("w.start") + 1, F.col("w.n")).alias("ww"))
         .withColumn("window", F.xxhash64("doc_id", "start", F.size("ww"), "ww")), "window-words",
     )
