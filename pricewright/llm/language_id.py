@@ -24,7 +24,7 @@ TRAIN_DOCS = 8_000
 #: Weight of the pooled distribution in each language's, in pieces.
 SMOOTHING = 2_000.0
 #: Pieces that a Python worker remembers the scores of.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 #: Positions after which partial sums are rescaled.
 _RESCALE = 16
 _BASE = np.uint64(0x100000001B3)
@@ -211,17 +211,34 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
-def _predict(shared, path: str, name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scorer(shared, path: str, name: str) -> Scorer:
     if name not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[name] = Scorer(shared.value, path)
+    return _SCORERS[name]
+
+
+def _predict(shared, path: str, name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low in range(0, batch.num_rows, 1024):
             part = batch.slice(low, 1024)
-            langs, scores = _SCORERS[name].predict(part.column(2).to_pylist())
+            langs, scores = _scorer(shared, path, name).predict(part.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
 
+def _keep(shared, path: str, name: str, column: int, least_score: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, 1024):
+            part = batch.slice(low, 1024)
+            langs, scores = _scorer(shared, path, name).predict(part.column(column).to_pylist())
+            yield part.filter(pa.array([lang != UNKNOWN and s >= least_score for lang, s in zip(langs, scores)], pa.bool_()))
+
+
+def _shared(spark: SparkSession, model: Model):
+    shared = spark.sparkContext.broadcast(model)
+    return shared, f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}"
+
+
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", vocabulary: str = PIECES) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): the most probable language and its posterior, one row per row.
 
@@ -230,9 +247,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     Only the text is looked at. A text that is null or has no letter is ``und`` with score 0, as is every text if no
     labelled document was there to learn from. A null doc_id isn't held out. Repeated rows give equal rows.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    name = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}"
+    shared, name = _shared(docs.sparkSession, model)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out(F.col(doc_id)), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(partial(_predict, shared, vocabulary, name), "doc_id long, held_out boolean, lang_pred string, score double")
 
@@ -243,7 +258,6 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str, least_score: float = 0.5) -> DataFrame:
-    """``docs`` without those whose language can't be told: ``und``, or no language more likely than not."""
-    judged = identify(docs, fit(docs)).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least_score))
-    rejected = judged.select(F.col("doc_id").alias("_lang_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_lang_id")), "left_anti")
+    """``docs`` without those whose language can't be told: ``und``, or no language more likely than not. One pass, no shuffle."""
+    shared, name = _shared(spark, fit(docs))
+    return docs.mapInArrow(partial(_keep, shared, PIECES, name, docs.columns.index("text"), least_score), docs.schema)

@@ -20,7 +20,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 #: Documents of a bucket are compared in blocks of about this many, a pair of blocks at a time.
 BLOCK = 512
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 800_000
 _CHUNK = 1 << 16
 _RANDOM = np.random.default_rng(20240)
 _XOR = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)

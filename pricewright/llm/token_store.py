@@ -26,7 +26,7 @@ END_ID = 2
 NULL_KEY = -(1 << 63)
 KEYS_PER_SEGMENT = 50_000
 #: Pieces of text that a Python worker remembers the ids of (about 150 bytes each).
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 800_000
 TEXTS_AT_ONCE = 256
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
