@@ -26,12 +26,15 @@ QUERIES: dict[str, Query] = {
 
 _YEARS = "(SELECT client_id, year(transaction_date) AS yr, sum(revenue) AS r, sum(cogs) AS c FROM fact_revenue GROUP BY ALL)"
 
-# The slope of price_elasticity runs over logarithms, whose last digits differ between engines: rows only.
 _SQL = {
     "margin_bridge": f"""
         SELECT b.client_id, CAST(b.yr AS VARCHAR) AS period, {dbl('a.r - a.c')} AS margin_before, {dbl('b.r - a.r')} AS revenue_effect,
             {dbl('a.c - b.c')} AS cost_effect, {dbl('b.r - b.c')} AS margin_after
         FROM {_YEARS} a JOIN {_YEARS} b ON a.client_id = b.client_id AND b.yr = a.yr + 1""",
+    "price_elasticity": f"""
+        SELECT client_id, product_sku, CASE WHEN max(p) > min(p) * 1.001::DOUBLE THEN round(regr_slope(ln(q), ln(p)), 4) + 0::DOUBLE END AS elasticity, count(*) AS months
+        FROM (SELECT client_id, product_sku, {dbl('sum(quantity)')} AS q, {ratio('sum(revenue)', 'sum(quantity)')} AS p FROM fact_revenue
+            GROUP BY client_id, product_sku, date_trunc('month', transaction_date) HAVING sum(revenue) > 0 AND sum(quantity) > 0) GROUP BY client_id, product_sku""",
     "channel_conflict": f"""
         SELECT client_id, product_sku, count(*) AS channels, min(p) AS lowest_price, max(p) AS highest_price, (max(p) - min(p)) / min(p) * 100 AS spread_pct
         FROM (SELECT client_id, product_sku, sales_channel, {ratio('sum(revenue)', 'sum(quantity)')} AS p FROM fact_revenue GROUP BY ALL)

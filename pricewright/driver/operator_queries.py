@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..catalog import TABLES
+from ..catalog import BENEFITS_ROUTES, TABLES
 from ..functions import dates, numeric, text
 from ..operators import classify, clean, context, enrich, entities, headers, keys, profile, quality, reshape
 from ..plans import bronze
@@ -90,10 +90,10 @@ def bool_parse(b):
     return raw_orders(b).select("o_orderkey", text.parse_bool("promotional_flag").alias("flag"))
 
 
-@register("SELECT DISTINCT l_partkey, l_returnflag, l_linestatus FROM lineitem")
+@register("""SELECT DISTINCT * REPLACE (CAST(l_shipdate AS VARCHAR) AS l_shipdate) FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1)""")
 def dedup_exact(b):
-    raw = b.raw("lineitem").select("l_partkey", "l_returnflag", "l_linestatus")
-    return clean.clean(raw, "lines", {})[0]
+    lines = b.raw("lineitem")
+    return clean.clean(lines.unionByName(lines.filter("l_linenumber = 1")), "lines", {})[0]
 
 
 @register("""
@@ -128,9 +128,12 @@ def slugify(b):
     return b.raw("part").select("p_partkey", text.slug(F.concat(F.lit(" "), "p_brand", F.lit(" & "), "p_name")).alias("slug"))
 
 
-@register(f"SELECT c_custkey, CASE WHEN c_custkey % 9 > 0 THEN substr(r_name, 1, 6) || '-' || substr({_SLUG.format('c_name')}, 1, 40) END AS customer_id FROM home")
+@register(f"""SELECT c_custkey, CASE WHEN c_custkey % 9 > 0 THEN substr(r_name, 1, 6) || '-' || substr(s, 1, 40)
+    || CASE WHEN length(s) > 40 THEN '-' || substr(sha256(s), 1, 12) ELSE '' END END AS customer_id
+    FROM (SELECT *, {_SLUG.format("(CASE WHEN c_custkey % 2 = 0 THEN 'International Business Holdings Corporation ' ELSE '' END || c_name)")} AS s FROM home)""")
 def derive_customer_id(b):
-    name = F.when(F.col("c_custkey") % 9 > 0, F.col("c_name")).otherwise("  ")
+    long = F.when(F.col("c_custkey") % 2 == 0, "International Business Holdings Corporation ").otherwise("")
+    name = F.when(F.col("c_custkey") % 9 > 0, F.concat(long, F.col("c_name"))).otherwise("  ")
     return b.home.select("c_custkey", text.customer_key("r_name", name).alias("customer_id"))
 
 
@@ -310,7 +313,7 @@ def sheet_sample(b):
 
 
 @register(f"""
-SELECT file, sheet FROM (SELECT file, sheet, row_number() OVER (PARTITION BY file ORDER BY i) AS place FROM ({_BOOKS}) WHERE o_orderkey % 4 > 1) WHERE place <= 8""")
+SELECT file, sheet FROM ({_BOOKS}) WHERE o_orderkey % 4 > 1""")
 def entity_sheets(b):
     books = order_books(b)
     told = books.select("file").distinct().withColumn("sheet", F.lit(headers.ALL_ENTITY_SHEETS))
@@ -373,10 +376,22 @@ def dictionary_keys(b):
     return keys.dictionary_keys(rows, "customer_name", "key", "CUST", F.lit("ACE"), keys=["client_id"]).drop("customer_name")
 
 
-@register("SELECT l_returnflag, count(*) AS rows, count(*) AS distinct_ids FROM lineitem GROUP BY l_returnflag")
+# The content is spelled as JSON with two-decimal amounts and ISO dates on both sides.
+_AMOUNTS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@register(f"""
+SELECT l_orderkey, l_linenumber, sha256(sha256(content) || '#' || row_number() OVER (PARTITION BY content)) AS id FROM (
+    SELECT l_orderkey, l_linenumber, '{{' || concat_ws(',', {', '.join(
+        f"'\"{c}\":' || " + (f"'\"' || CAST({c} AS VARCHAR) || '\"'" if c in ('l_returnflag', 'l_linestatus', 'l_shipdate') else f"CAST(CAST({c} AS DECIMAL(18,2)) AS VARCHAR)" if c in _AMOUNTS else f"CAST({c} AS VARCHAR)")
+        for c in ('l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', *_AMOUNTS, 'l_returnflag', 'l_linestatus', 'l_shipdate'))}) || '}}' AS content
+    FROM (SELECT * REPLACE (CAST(l_shipdate AS DATE) AS l_shipdate) FROM lineitem UNION ALL SELECT * REPLACE (CAST(l_shipdate AS DATE) AS l_shipdate) FROM lineitem WHERE l_linenumber = 1))""")
 def content_keys(b):
-    rows = keys.content_keys(b.raw("lineitem").select("l_returnflag", "l_linestatus", "l_linenumber"))
-    return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("id").alias("distinct_ids"))
+    lines = b.raw("lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *[F.col(c).cast("decimal(18,2)").alias(c) for c in _AMOUNTS],
+        "l_returnflag", "l_linestatus", F.col("l_shipdate").cast("date").alias("l_shipdate"),
+    )
+    return keys.content_keys(lines.unionByName(lines.filter("l_linenumber = 1"))).select("l_orderkey", "l_linenumber", "id")
 
 
 def _stems(b) -> DataFrame:
@@ -480,21 +495,27 @@ def spelled_customers(b) -> DataFrame:
 
 
 _SPELLED = """SELECT c_custkey, unnest([c_name, upper(c_name) || ', Inc.', replace(c_name, 'Customer', 'Custmer'), replace(c_name, 'Customer', 'Custoner')]) AS name,
-    upper(c_name) || ', Inc.' AS canonical FROM customer"""
+    upper(c_name) || ', Inc.' AS longest, generate_subscripts([1, 2, 3, 4], 1) AS spelling FROM customer"""
 
 
-@register(f"SELECT name, canonical FROM ({_SPELLED})")
+@register(f"SELECT name, CASE WHEN spelling <= 2 THEN longest ELSE name END AS canonical FROM ({_SPELLED})")
 def name_groups(b):
     return entities.name_groups(spelled_customers(b)).select("name", "canonical")
 
 
-@register(f"SELECT c_custkey, name AS original, canonical AS customer_name FROM ({_SPELLED})")
+@register(f"SELECT c_custkey, name AS original, longest AS customer_name FROM ({_SPELLED})")
 def entity_merge(b):
     spelled = spelled_customers(b).select("c_custkey", F.col("name").alias("original"), F.concat(F.lit(" "), "name").alias("customer_name"))
-    merges = entities.merge_map(entities.name_groups(spelled, "original"))
+    merges = entities.merge_map(entities.name_groups(spelled, "original"), min_score=0.9)
     return enrich.apply_merges(spelled, merges)
 
 
+@register("""SELECT near, lower(regexp_replace(kept, '[^A-Za-z0-9]+', ' ', 'g')) AS near_key, 1.0::DOUBLE - 1.0::DOUBLE / greatest(length(near), length(kept)) AS score
+    FROM (SELECT lower(replace(regexp_replace(c_name, '[^A-Za-z0-9]+', ' ', 'g'), 'Customer', unnest(['Custmer', 'Custoner']))) AS near, c_name AS kept FROM customer)""")
+def near_names(b):
+    return entities.near_names(entities.name_groups(spelled_customers(b))).select(F.col("key").alias("near"), "near_key", "score")
+
+
 @register("""SELECT * EXCLUDE (p) FROM (SELECT client_id, customer_segment, loss_reason, deal_id, discount_pct::DOUBLE AS discount_pct,
     row_number() OVER (PARTITION BY client_id, customer_segment, loss_reason ORDER BY deal_close_date DESC, CAST(deal_id AS BIGINT) DESC) AS p FROM deals) WHERE p = 1""")
 def dedup_keep_last(b):
@@ -574,13 +595,29 @@ def quality_score(b):
 
 @register("""
 SELECT c.client_id, analysis, missing = '' AS is_covered, missing FROM (SELECT DISTINCT client_id FROM deals) c, (VALUES
-    ('Deal Scorecard', ''), ('Discount Effectiveness', ''), ('Win/Loss', ''), ('Cost-to-Serve', 'fact_cost_to_serve.service_cost'), ('Competitive Position', 'fact_competitive_intel.competitor_price'),
-    ('Price-Volume-Mix', ''), ('Geographic Pricing', ''), ('Pocket Price Waterfall', ''), ('Contract Leakage', 'dim_contract.contracted_price')) a(analysis, missing)""")
+    ('Pocket Price Waterfall', ''),
+    ('Margin Bridge', ''),
+    ('Price-Volume-Mix', ''),
+    ('Customer Profitability', 'dim_customer.customer_name'),
+    ('Discount Effectiveness', ''),
+    ('Price Elasticity', ''),
+    ('Contract Leakage', 'dim_contract.contracted_price'),
+    ('Deal Scorecard', ''),
+    ('Competitive Position', 'fact_competitive_intel.competitor_price'),
+    ('Price Corridor', ''),
+    ('SKU Pareto', ''),
+    ('New Product Pricing', 'dim_product.current_list_price, fact_competitive_intel.competitor_price'),
+    ('Churn Risk', ''),
+    ('Geographic Pricing', ''),
+    ('Channel Conflict', ''),
+    ('Promotion ROI', 'dim_promotion.promotion_start_date, dim_promotion.promotional_cost'),
+    ('Cost-to-Serve', 'fact_cost_to_serve.service_cost'),
+    ('Rebate Optimization', 'fact_rebate_incentive.accrued_amount, fact_rebate_incentive.paid_amount'),
+    ('Annual Escalation', 'fact_list_price_history.effective_date, fact_list_price_history.list_price'),
+    ('Win/Loss', '')) a(analysis, missing)""")
 def analysis_coverage(b):
     have = quality.available_columns({"fact_revenue": b.fact_revenue, "fact_deal_opportunity": b.fact_deal_opportunity})
-    shown = ("Deal Scorecard", "Discount Effectiveness", "Win/Loss", "Cost-to-Serve", "Competitive Position", "Price-Volume-Mix", "Geographic Pricing",
-             "Pocket Price Waterfall", "Contract Leakage")
-    return quality.analysis_coverage(have).filter(F.col("analysis").isin(*shown))
+    return quality.analysis_coverage(have)
 
 
 def context_facts(b) -> DataFrame:
@@ -672,4 +709,64 @@ def keyed_merge(b):
     return merge_into(target, last, ["client_id", "customer_id"])
 
 
+
+
+# ---- rules of single values ---------------------------------------------------------------------------------------
+
+
+@register("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'transaction_fact' ELSE replace(c_mktsegment, ' ', '_') || '_dim' END AS target FROM customer")
+def route_decisions(b):
+    more = F.when(F.col("c_custkey") % 3 == 0, ", contract").when(F.col("c_custkey") % 3 == 1, " + x").otherwise("")
+    told = F.when(F.col("c_custkey") % 7 > 0, F.concat(F.lit(" "), "c_mktsegment", F.lit(" dim"), more))
+    return b.raw("customer").select("c_custkey", classify.route(told).alias("target"))
+
+
+@register("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'contract' WHEN 1 THEN 'transaction_fact' ELSE 'voc_fact' END AS target_table FROM part""")
+def benefits_routes(b):
+    key = F.col("p_partkey")
+    name = F.concat(F.when(key % 3 == 0, "PEPM ").when(key % 3 == 1, "Validated Sales ").otherwise("conjoint "), key.cast("string"))
+    return classify.classify(b.raw("part").select("p_partkey", name.alias("name")), routes=BENEFITS_ROUTES).drop("name")
+
+
+@register("""SELECT o_orderkey, '2:' || d || '|3:' || d AS months FROM (SELECT o_orderkey, strftime(o_orderdate, '2024-%m-15') AS d FROM orders)""")
+def month_headers(b):
+    day = F.col("o_orderdate")
+    header = F.array(F.col("o_orderpriority"), F.date_format(day, "MMM"), F.concat(F.lit(" "), F.upper(F.date_format(day, "MMMM"))))
+    found = F.transform(headers.month_positions(header), lambda e: F.concat_ws(":", e["pos"].cast("string"), e["day"].cast("string")))
+    return b.raw("orders").select("o_orderkey", F.array_join(found, "|").alias("months"))
+
+
+@register("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 2 THEN s_acctbal END AS s_acctbal FROM supplier")
+def sanitize_numbers(b):
+    bad = F.when(F.col("s_suppkey") % 3 == 0, float("nan")).when(F.col("s_suppkey") % 3 == 1, float("-inf")).otherwise(F.col("s_acctbal"))
+    return clean.sanitize(b.raw("supplier").select("s_suppkey", bad.alias("s_acctbal")))
+
+
+@register("""SELECT nullif(o_orderpriority || ' ' || o_custkey, '3-MEDIUM 7') AS sales_rep_name, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus
+    FROM orders GROUP BY 1""")
+def dedup_reps(b):
+    name = F.concat_ws(" ", "o_orderpriority", F.col("o_custkey").cast("string"))
+    rows = b.raw("orders").select(F.nullif(name, F.lit("3-MEDIUM 7")).alias("sales_rep_name"), "o_orderkey", "o_orderstatus")
+    return enrich.dedup_reps(rows, F.col("o_orderkey"))
+
+
+@register("SELECT c_name AS customer_name FROM customer WHERE c_custkey % 5 > 0 UNION SELECT s_name FROM supplier")
+def name_universe(b):
+    real = F.when(F.col("c_custkey") % 5 > 0, F.concat(F.lit(" "), "c_name")).otherwise("NaN")
+    return enrich.distinct_names([b.raw("customer").select(real.alias("customer_name")), b.raw("supplier").select(F.col("s_name").alias("customer_name")), b.raw("part")])
+
+
+@register("""SELECT o_orderkey, o_orderkey % 3 > 0 OR o_orderkey % 2 = 0 AS wide FROM orders""")
+def wide_detection(b):
+    key = F.col("o_orderkey")
+    dates = F.array(*[F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 40 * i), "yyyy-MM-dd") for i in range(3)])
+    header = F.concat(F.array(F.lit("Customer")), F.when(key % 3 > 0, dates).otherwise(F.slice(dates, 1, 2)))
+    sheets = b.raw("orders").select(key.cast("string").alias("file"), F.lit("S").alias("sheet"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("seq"), header.alias("header"))
+    told = sheets.select(
+        "file", "sheet", F.lit("transaction_fact").alias("target_table"), F.create_map(F.lit("Customer"), F.lit("customer_name")).alias("column_mapping"),
+        F.when(F.col("file").cast("long") % 2 == 0, "wide_dates").alias("data_format"), F.array().cast("array<string>").alias("exclude_rules"), F.array().cast("array<string>").alias("id_columns"),
+    )
+    return reshape.sheet_plans(sheets, told).select(F.col("file").cast("long").alias("o_orderkey"), "wide")
+
+
 SQL = {name: statement(sql) for name, sql in _SQL.items()}

@@ -52,11 +52,6 @@ def route(target: Column, default: str = "transaction_fact") -> Column:
     return F.coalesce(F.regexp_replace(strip(first), " ", "_"), F.lit(default))
 
 
-def first_of(targets: Column, default: str = "transaction_fact") -> Column:
-    """First element of a list of targets."""
-    return F.coalesce(F.try_element_at(targets, F.lit(1)), F.lit(default))
-
-
 def header_rules(aliases: Mapping[str, Sequence[str]] = ALIASES, columns: Mapping[str, Sequence[str]] | None = None) -> list[tuple[str, str, str, int]]:
     """(table, spelling, canonical column, rank): the exact name ranks 0, aliases follow in their order."""
     if columns is None:

@@ -1,8 +1,8 @@
 """Groups of spellings of one company name, found by rule.
 
-Two spellings belong together when, after removing case, punctuation and legal form, they are equal, or differ by one
-inserted, deleted or replaced letter while being long enough and agreeing in every digit. Groups are the connected
-components of that relation, so the result does not depend on the order or on the partitioning.
+Spellings that are equal after removing case, punctuation and legal form are one company. Names that differ by one inserted,
+deleted or replaced letter are candidates with a score; they are merged only above a stated score, or by decision, and
+only straight into the name that stays: chains of such pairs do not add up.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def normal_name(name: Column) -> Column:
     return F.when(bare == "", words).otherwise(bare)
 
 
-def near_edges(keys: DataFrame, min_letters: int = 6) -> DataFrame:
+def near_edges(keys: DataFrame, min_letters: int = 1) -> DataFrame:
     """Edges (src, dst) joining keys at edit distance one, without comparing pairs.
 
     Each key is written once as it is and once per position with that letter removed. Keys sharing position and rest
@@ -72,27 +72,43 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "key") -> DataFra
     return nodes.join(labels.withColumnRenamed("v", node), node, "left").withColumn("root", F.coalesce("root", node))
 
 
-def name_groups(names: DataFrame, name: str = "name", min_letters: int = 6) -> DataFrame:
-    """(name, canonical, score): canonical is the longest spelling of the group, ties by alphabet.
+def name_groups(names: DataFrame, name: str = "name") -> DataFrame:
+    """(name, key, canonical): names of equal normal form, under the longest spelling, ties by alphabet. One aggregate."""
+    keyed = names.select(strip(name).alias("name")).filter(F.col("name") != "").distinct().withColumn("key", normal_name(F.col("name")))
+    best = keyed.groupBy("key").agg(F.min(F.struct(-F.length("name"), F.col("name"))).alias("b")).select("key", F.col("b.name").alias("canonical"))
+    return keyed.join(best, "key").select("name", "key", "canonical")
 
-    ``score`` is 1 - edit distance / longer length between the normalised forms.
+
+def near_names(groups: DataFrame) -> DataFrame:
+    """(key, canonical, near_key, near_canonical, score) of groups whose keys are one letter apart, for review.
+
+    ``score`` is 1 - edit distance / longer length of the normal forms, so a letter weighs more in a short name. ``near_key``
+    is the name that would stay: the one with the longer spelling, ties by alphabet.
+    """
+    kept = groups.select("key", "canonical").distinct()
+    edges = near_edges(kept.select("key"))
+    pairs = edges.join(kept.withColumnsRenamed({"key": "src", "canonical": "a"}), "src").join(kept.withColumnsRenamed({"key": "dst", "canonical": "b"}), "dst")
+    stays = F.struct(-F.length("b"), F.col("b")) < F.struct(-F.length("a"), F.col("a"))
+    longer = F.greatest(F.length("src"), F.length("dst"))
+    return pairs.select(
+        F.when(stays, F.col("src")).otherwise(F.col("dst")).alias("key"), F.when(stays, F.col("a")).otherwise(F.col("b")).alias("canonical"),
+        F.when(stays, F.col("dst")).otherwise(F.col("src")).alias("near_key"), F.when(stays, F.col("b")).otherwise(F.col("a")).alias("near_canonical"),
+        (F.lit(1.0) - F.lit(1.0) / longer).alias("score"),
+    ).distinct()
+
+
+def merge_map(groups: DataFrame, decisions: DataFrame | None = None, min_score: float | None = None) -> DataFrame:
+    """(name, canonical) of names to be replaced.
+
+    Equal normal forms merge by rule. With ``min_score``, a group also goes to its best near name of at least that score,
+    if that one itself stays. ``decisions`` (name, canonical) override both, also to keep a name as it is.
     """
-    distinct = names.select(strip(name).alias("name")).filter(F.col("name") != "").distinct()
-    keyed = materialise(distinct.withColumn("key", normal_name(F.col("name"))))
-    keys = keyed.select("key").distinct()
-    rooted = components(keys, near_edges(keys, min_letters))
-    members = keyed.join(rooted, "key")
-    best = members.groupBy("root").agg(F.min(F.struct(-F.length("name"), F.col("name"), F.col("key"))).alias("b"))
-    best = best.select("root", F.col("b.name").alias("canonical"), F.col("b.key").alias("_canonical_key"))
-    longer = F.greatest(F.length("key"), F.length("_canonical_key"))
-    return members.join(best, "root").select(
-        "name", "canonical", (F.lit(1.0) - F.levenshtein("key", "_canonical_key") / F.nullif(longer, F.lit(0))).alias("score")
-    )
-
-
-def merge_map(groups: DataFrame, decisions: DataFrame | None = None, min_score: float = 0.0) -> DataFrame:
-    """Names to be replaced. ``decisions`` (name, canonical) override the rule, also to keep a name as it is."""
-    found = groups.filter(F.col("score") >= min_score).select("name", "canonical")
+    found = groups.select("name", "canonical")
+    if min_score is not None:
+        near = near_names(groups).filter(F.col("score") >= min_score)
+        best = near.groupBy("key").agg(F.max_by(F.struct("near_key", "near_canonical"), F.struct("score", -F.length("near_canonical"), "near_canonical")).alias("to"))
+        moved = best.select("key", "to.*").join(best.select(F.col("key").alias("near_key")), "near_key", "left_anti")
+        found = groups.join(moved, "key", "left").select("name", F.coalesce("near_canonical", "canonical").alias("canonical"))
     if decisions is not None:
         told = decisions.select("name", "canonical").dropDuplicates(["name"])
         found = found.join(told, "name", "left_anti").unionByName(told)

@@ -10,17 +10,16 @@ from ..functions.text import strip
 
 CELLS_SCHEMA = "file string, sheet string, block long, seq long, cells array<string>, is_text array<boolean>"
 
-# Rows searched for a header, widest header kept, words of sheets that hold no entity data, sheet limits.
+# Rows searched for a header, words of sheets that hold no entity data, sheets to profile.
 HEADER_ROWS = 15
-MAX_COLUMNS = 500
 NON_ENTITY_SHEETS = (
     "summary", "accrual", "volume", "growth", "top 10", "offers", "liability", "itd", "validation", "style", "cover",
 )
 MAX_SHEETS = 12
-MAX_ENTITY_SHEETS = 8
 ALL_ENTITY_SHEETS = "ALL_DISTRIBUTOR_SHEETS"
 
-HEADER_FORMATS = (*DATE_FORMATS, "yyyy")
+# A bare number is read as a year between these.
+FIRST_BARE_YEAR, LAST_BARE_YEAR = 1900, 2100
 
 
 def header_score() -> Column:
@@ -59,19 +58,26 @@ def sheet_summary(cells: DataFrame, by_score: bool | None = None) -> DataFrame:
 
 
 def header_names(cells: Column) -> Column:
-    """Trimmed names; the second 'Amount' becomes 'Amount_1'; blanks become 'Unnamed: n'; at most 500."""
+    """Trimmed names; the second 'Amount' becomes 'Amount_1'; blanks become 'Unnamed: n'."""
     raw = F.transform(
-        F.slice(cells, 1, MAX_COLUMNS),
+        cells,
         lambda c, i: F.when(F.coalesce(strip(c), F.lit("")) == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(strip(c)),
     )
     numbered = F.transform(raw, lambda n, i: F.struct(n.alias("n"), F.size(F.filter(F.slice(raw, F.lit(1), i), lambda p: p == n)).alias("k")))
     return F.transform(numbered, lambda e: F.when(e["k"] == 0, e["n"]).otherwise(F.concat(e["n"], F.lit("_"), e["k"].cast("string"))))
 
 
-def header_date(name: Column, first_year: int = 2018, last_year: int = 2030) -> Column:
-    """The date a header spells, when its year is inside the window."""
-    day = F.coalesce(*[read_format(strip(name), f) for f in HEADER_FORMATS]).cast("date")
-    return F.when(F.year(day).between(first_year, last_year), day)
+def header_date(name: Column, first_year: int | None = None, last_year: int | None = None) -> Column:
+    """The date a header spells, when its year is inside the window, if there is one."""
+    year = read_format(strip(name), "yyyy").cast("date")
+    bare = F.when(F.year(year).between(FIRST_BARE_YEAR, LAST_BARE_YEAR), year)
+    day = F.coalesce(*[read_format(strip(name), f).cast("date") for f in DATE_FORMATS], bare)
+    inside = F.lit(True)
+    if first_year is not None:
+        inside = inside & (F.year(day) >= first_year)
+    if last_year is not None:
+        inside = inside & (F.year(day) <= last_year)
+    return F.when(inside, day)
 
 
 def header_month(name: Column, year: int = 2024) -> Column:
@@ -81,7 +87,7 @@ def header_month(name: Column, year: int = 2024) -> Column:
     return F.when(number.isNotNull(), F.make_date(F.lit(year), number, F.lit(15)))
 
 
-def date_positions(header: Column, first_year: int = 2018, last_year: int = 2030) -> Column:
+def date_positions(header: Column, first_year: int | None = None, last_year: int | None = None) -> Column:
     """Array of (pos, day) of the columns whose names are dates inside the window."""
     days = F.transform(header, lambda n, i: F.struct((i + 1).alias("pos"), header_date(n, first_year, last_year).alias("day")))
     return F.filter(days, lambda e: e["day"].isNotNull())
@@ -119,12 +125,16 @@ def sample_sheets(sheets: DataFrame, max_sheets: int = MAX_SHEETS, stride: bool
     return picked.withColumn("_place", place).filter((F.col("_n") <= max_sheets) | (F.col("_place") <= max_sheets)).select(*sheets.columns)
 
 
-def expand_entity_sheets(decisions: DataFrame, sheets: DataFrame, limit: int = MAX_ENTITY_SHEETS) -> DataFrame:
-    """Replace a decision for all entity sheets of a file by one decision per sheet that looks like entity data."""
+def expand_entity_sheets(decisions: DataFrame, sheets: DataFrame, limit: int | None = None) -> DataFrame:
+    """Replace a decision for all entity sheets of a file by one decision per sheet that looks like entity data.
+
+    ``limit`` keeps only the first sheets of each file; by default all of them count.
+    """
     every = F.col("sheet") == ALL_ENTITY_SHEETS
-    entity = sheets.filter(~F.lower("sheet").rlike("|".join(NON_ENTITY_SHEETS))).withColumn(
-        "_place", F.row_number().over(Window.partitionBy("file").orderBy("sheet_index"))
-    ).filter(F.col("_place") <= limit)
+    entity = sheets.filter(~F.lower("sheet").rlike("|".join(NON_ENTITY_SHEETS)))
+    if limit is not None:
+        place = F.row_number().over(Window.partitionBy("file").orderBy("sheet_index"))
+        entity = entity.withColumn("_place", place).filter(F.col("_place") <= limit)
     expanded = (
         decisions.filter(every).drop("sheet").join(entity.select("file", "sheet"), "file").select(*decisions.columns)
     )

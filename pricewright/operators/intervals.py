@@ -20,10 +20,14 @@ def within(rows: DataFrame, windows: DataFrame, keys: Sequence[str], day: str, f
 
     Days are cut into spans; a window is written once per span it touches, so both sides meet by equality on keys and
     span. Only days in the first and last span of a window are tested in vain, and a key with most of the rows is
-    spread over its spans. ``rows`` should hold few rows per key and day: aggregate first. Windows with a missing or
+    spread over its spans. Windows are cut to the days that ``rows`` has at all, so an open end costs no spans. ``rows`` should hold few rows per key and day: aggregate first. Windows with a missing or
     reversed date match nothing.
     """
-    valid = windows.filter(F.col(first) <= F.col(last))
-    spread = valid.withColumn("_span", F.explode(F.sequence(span(F.col(first), days), span(F.col(last), days))))
+    extent = rows.agg(F.min(day).alias("_low"), F.max(day).alias("_high"))
+    valid = windows.filter(F.col(first) <= F.col(last)).join(F.broadcast(extent)).filter(
+        (F.col(first) <= F.col("_high")) & (F.col(last) >= F.col("_low"))
+    )
+    low, high = F.greatest(F.col(first), F.col("_low")), F.least(F.col(last), F.col("_high"))
+    spread = valid.withColumn("_span", F.explode(F.sequence(span(low, days), span(high, days)))).drop("_low", "_high")
     placed = rows.withColumn("_span", span(F.col(day), days))
     return placed.join(spread, [*keys, "_span"]).filter(F.col(day).between(F.col(first), F.col(last))).drop("_span")

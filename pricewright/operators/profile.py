@@ -14,6 +14,10 @@ def _text(name: str) -> Column:
     return F.col(f"`{name}`").cast("string")
 
 
+def _cut(value: Column | str, width: int | None) -> Column:
+    return F.col(value) if width is None and isinstance(value, str) else value if width is None else F.substring(value, 1, width)
+
+
 def fill_rates(df: DataFrame, keys: Sequence[str] = (), low: float = 80.0) -> DataFrame:
     """Share of non-null values per column, one aggregation whatever the number of columns."""
     names = [c for c in df.columns if c not in keys]
@@ -30,10 +34,13 @@ def unpivot_text(df: DataFrame, order: Column, columns: Sequence[str]) -> DataFr
     return df.select(order.alias("row_num"), F.explode(cells).alias("c")).select("row_num", "c.*")
 
 
-def profile(df: DataFrame, order: Column, max_columns: int = 20, sampled: int = 10, samples: int = 3, width: int = 50) -> DataFrame:
-    """One row per named column: table size, and the first non-null values of the leading columns.
+def profile(
+    df: DataFrame, order: Column, max_columns: int | None = None, sampled: int | None = None, samples: int = 3, width: int | None = None
+) -> DataFrame:
+    """One row per named column: table size, and its first non-null values.
 
-    Each task keeps its first few values per column before anything is shuffled.
+    Each task keeps its first few values per column before anything is shuffled. The limits shorten the report for a
+    reader: to the leading columns, samples of fewer of them, and values cut to a width. By default all is there.
     """
     named = [c for c in df.columns if not c.startswith("Unnamed")][:max_columns]
     size = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("_one", F.lit(1))
@@ -41,7 +48,7 @@ def profile(df: DataFrame, order: Column, max_columns: int = 20, sampled: int =
     first = Window.partitionBy("column").orderBy("row_num", "value")
     kept = cells.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= samples)
     texts = kept.groupBy("column").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_r", F.substring("value", 1, width).alias("v")))), lambda s: s["v"]).alias("samples")
+        F.transform(F.array_sort(F.collect_list(F.struct("_r", _cut("value", width).alias("v")))), lambda s: s["v"]).alias("samples")
     )
     columns = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(named)], "position int, column string").withColumn("_one", F.lit(1))
     return columns.join(size, "_one").join(texts, "column", "left").select(
@@ -49,18 +56,16 @@ def profile(df: DataFrame, order: Column, max_columns: int = 20, sampled: int =
     )
 
 
-def inventory(cells: DataFrame, samples: int = 5, name_width: int = 60, width: int = 80) -> DataFrame:
+def inventory(cells: DataFrame, samples: int = 5, width: int | None = None) -> DataFrame:
     """Distinct column names over many tables with their smallest distinct values.
 
     ``cells`` is (column, value). Values are made distinct first, so a value repeated everywhere is one row, and each
-    task keeps only ``samples`` values per column.
+    task keeps only ``samples`` values per column. ``width`` cuts the samples shown, not the values compared.
     """
-    named = cells.select(F.trim("column").alias("column"), F.substring("value", 1, width).alias("value")).filter(
-        (F.length("column") > 0) & (F.length("column") < name_width)
-    )
+    named = cells.select(F.trim("column").alias("column"), "value").filter(F.length("column") > 0)
     values = named.filter(F.col("value").isNotNull()).distinct()
     first = Window.partitionBy("column").orderBy("value")
     kept = values.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= samples)
-    texts = kept.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    texts = kept.groupBy("column").agg(F.transform(F.array_sort(F.collect_list("value")), lambda v: _cut(v, width)).alias("samples"))
     counts = named.groupBy("column").agg(F.count("value").alias("filled"))
     return counts.join(texts, "column", "left").select("column", "filled", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))

@@ -91,7 +91,7 @@ def _amount(text: Column) -> Column:
 
 
 def sheet_plans(
-    headers: DataFrame, decisions: DataFrame, first_year: int = 2018, last_year: int = 2030, fallback_year: int = 2024
+    headers: DataFrame, decisions: DataFrame, first_year: int | None = None, last_year: int | None = None, fallback_year: int = 2024
 ) -> DataFrame:
     """One row per decided sheet telling, by column position, what to read from each of its rows.
 
@@ -204,11 +204,14 @@ def split_required(df: DataFrame, table: Table) -> tuple[DataFrame, DataFrame]:
     return df.filter(complete), df.filter(~complete)
 
 
-def to_canonical(df: DataFrame, table: str | Table, mapping: Mapping[str, str], client_id: str) -> tuple[DataFrame, DataFrame]:
+def to_canonical(
+    df: DataFrame, table: str | Table, mapping: Mapping[str, str], client_id: str, keep: Sequence[str] = (), keyed: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantine) of one canonical table.
 
     Rename, derive a missing customer_id from the name, keep catalog columns, add the client, fill defaults, type
-    dates, flags and numbers, and set rows without a required value aside.
+    dates, flags and numbers, and set rows without a required value aside. Columns in ``keep`` pass through as they are.
+    Generated keys are unique within ``df``; a table made of several frames takes ``keyed=False`` and keys their union.
     """
     target = TABLES[table] if isinstance(table, str) else table
     out = rename_to_canonical(df, mapping)
@@ -233,15 +236,16 @@ def to_canonical(df: DataFrame, table: str | Table, mapping: Mapping[str, str],
         else:
             value = F.trim(_c(c).cast("string")).try_cast(kind)
         typed.append(value.alias(c))
-    out = fill_required(out.select(F.lit(client_id).alias("client_id"), *typed), target)
+    kept = [_c(c) for c in keep if c in out.columns and c not in target.columns]
+    out = fill_required(out.select(F.lit(client_id).alias("client_id"), *typed, *kept), target)
     good, bad = split_required(out, target)
     every = target.columns
 
     def complete(part: DataFrame) -> DataFrame:
-        return part.select("client_id", *[_c(c) if c in part.columns else F.lit(None).cast(kinds[c]).alias(c) for c in every])
+        return part.select("client_id", *[_c(c) if c in part.columns else F.lit(None).cast(kinds[c]).alias(c) for c in every], *kept)
 
     good = complete(good)
-    if target.generated_key:
+    if target.generated_key and keyed:
         from .keys import content_keys
 
         good = content_keys(good)

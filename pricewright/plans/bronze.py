@@ -12,7 +12,7 @@ from ..functions.dates import parse_timestamp
 from ..functions.text import blank_to_null
 from ..operators import clean, headers, keys, reshape
 from ..operators.classify import route
-from ..session import materialise
+from ..session import materialise, staged
 from ..sources import delimited, files, workbook
 from ..sources.tables import union_records
 
@@ -22,16 +22,16 @@ class BronzeOptions:
     """What differs between the families of clients."""
 
     benefits: bool = False
-    first_year: int = 2018
-    last_year: int = 2030
+    first_year: int | None = None
+    last_year: int | None = None
     fallback_year: int = 2024
-    width: int = 500
+    width: int | None = None
     multi_line: bool = False
     keys_per_table: bool = False
 
     @classmethod
     def for_benefits(cls) -> "BronzeOptions":
-        return cls(benefits=True, first_year=2015, fallback_year=2023)
+        return cls(benefits=True, fallback_year=2023)
 
 
 def read_folder(spark: SparkSession, root: str, options: BronzeOptions = BronzeOptions()) -> DataFrame:
@@ -48,9 +48,11 @@ def read_folder(spark: SparkSession, root: str, options: BronzeOptions = BronzeO
 def extract(cells: DataFrame, decisions: DataFrame, options: BronzeOptions = BronzeOptions()) -> tuple[DataFrame, DataFrame]:
     """(records of all tables, decisions that matched no sheet).
 
-    The summary of the sheets and the reading plans, one row per sheet, are materialised: the cells are then scanned
-    once for headers and once for records, whatever is done with the records.
+    The cells are staged once, positions included, and both the search for headers and the records read that copy: a row's
+    position is the same in both, however the files are split at either time. The summary of the sheets and the reading
+    plans, one row per sheet, are materialised too.
     """
+    cells = staged(cells, "cells")
     sheets = materialise(headers.sheet_summary(cells))
     every = headers.ALL_ENTITY_SHEETS
     group = decisions.filter(F.col("sheet") == every)
@@ -134,12 +136,12 @@ def build(
     options: BronzeOptions = BronzeOptions(),
     positions: bool = False,
 ) -> dict[str, DataFrame]:
-    """All bronze tables of a client. The records are written out once for all of them.
+    """All bronze tables of a client. The records are staged once, in a folder per table, so each table reads its own.
 
     ``positions`` adds a ``_position`` column with each row's place in its source, by which the silver layer knows the
     last of repeated rows.
     """
-    records = materialise(records)
+    records = staged(records, "records", ["target_table"])
     keyed = name_keys({t: bronze_table(records, t, prefix, client_name, options) for t in names}, prefix, options)
     place = [F.struct(*POSITION).alias(clean.POSITION)] if positions else []
     out = {}

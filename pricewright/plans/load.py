@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 from ..catalog import TABLES
 from ..operators import classify as k
+from ..operators.clean import POSITION
+from ..operators.keys import content_keys
+from ..operators.ordering import keep_last
 from ..operators.reshape import to_canonical
+from ..session import staged
 from ..sources.tables import TableStore, in_load_order, union_records
 
+ORDER = "_order"
+#: What bronze tables carry as the place of a row in its source.
+POSITION_TYPE = "struct<file:string,sheet:string,block:bigint,seq:bigint,part:int>"
+
 
 def classify_tables(names: list[str], spark, decisions: Mapping[str, str] | None = None, whole_words: bool = True) -> dict[str, str]:
     """Canonical target per table name; outside decisions fill what the rules leave open. A handful of names."""
@@ -43,7 +51,9 @@ def load(
 ) -> DataFrame:
     """Write every table the rules or decisions place, dimensions first; return one summary row per source table.
 
-    Natural keys are merged, generated keys replace the client's slice. A dry run counts and writes nothing.
+    Natural keys are merged: of rows with one key the one of the last source table stays, in a source the last by its
+    ``_position``, where it has one. Generated keys are made over all sources of a table and replace the client's slice. Rows
+    without a required value go to the table ``rejected``, as JSON with their source. A dry run counts and writes nothing.
     """
     spark = store.spark
     targets = classify_tables(list(silver), spark, tables)
@@ -55,25 +65,32 @@ def load(
     loaded = []
     for target in in_load_order(list(by_target)):
         spec, parts = TABLES[target], []
-        for name, df, mapping in by_target[target]:
-            good, bad = to_canonical(df, spec, mapping, client_id)
+        for place, (name, df, mapping) in enumerate(by_target[target]):
+            good, bad = to_canonical(df, spec, mapping, client_id, keep=[POSITION], keyed=False)
+            good, bad = staged(good, "good"), staged(bad.drop(POSITION), "rejected")
             counts = (good.count(), bad.count())
             summary.append((name, target, *counts, mapping))
             total += counts[0]
-            parts.append(good)
+            position = F.col(POSITION) if POSITION in good.columns else F.lit(None).cast(POSITION_TYPE)
+            order = F.struct(F.lit(place).alias("source"), position.cast(POSITION_TYPE).alias("position"))
+            parts.append(good.drop(POSITION).withColumn(ORDER, order))
+            if counts[1] and not dry_run:
+                store.append("rejected", rejected(bad, client_id, name, target))
         if dry_run:
             continue
         rows = union_records(parts)
         if spec.generated_key:
-            store.replace(target, rows, [client_id])
+            store.replace(target, content_keys(rows.drop(ORDER)), [client_id])
         else:
-            store.upsert(target, rows, spec.merge_key)
+            last = keep_last(rows, spec.merge_key, F.col(ORDER)).drop(ORDER)
+            store.upsert(target, last, spec.merge_key)
         loaded.append(target)
     result = spark.createDataFrame(
         summary, "source string, target_table string, rows long, rejected long, mapping map<string,string>"
     )
     if not dry_run:
         store.append("meta_data_source", lineage(result, client_id))
+        store.append("meta_run", run_record(result, client_id, "load"))
         store.upsert("clients", client_row(spark, client_id, client_name, industry, total, len(loaded)), ["client_id"])
     return result
 
@@ -89,7 +106,7 @@ def lineage(summary: DataFrame, client_id: str) -> DataFrame:
         now.alias("load_timestamp"),
         F.col("rows").alias("row_count"),
         F.col("mapping").alias("mapping_config_json"),
-        F.lit("passed").alias("validation_status"),
+        F.when(F.col("rejected") == 0, "passed").when(F.col("rows") > 0, "partial").otherwise("failed").alias("validation_status"),
     )
 
 
@@ -107,13 +124,36 @@ def client_row(spark, client_id: str, client_name: str, industry: str | None, re
     )
 
 
-def run_record(tables: Mapping[str, DataFrame], client_id: str, stage: str) -> DataFrame:
+def rejected(bad: DataFrame, client_id: str, source: str, target: str) -> DataFrame:
+    """Rows without a required value, for the append-only ``rejected`` table."""
+    return bad.select(
+        F.lit(client_id).alias("client_id"), F.lit(source).alias("source"), F.lit(target).alias("target_table"),
+        F.to_json(F.struct("*")).alias("row"), F.current_timestamp().alias("rejected_at"),
+    )
+
+
+def run_record(summary: DataFrame, client_id: str, stage: str) -> DataFrame:
     """Rows per table of one run, for the append-only ``meta_run`` table."""
-    parts = [
-        df.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(client_id).alias("client_id"), F.lit(stage).alias("stage"), F.lit(name).alias("table"), "rows",
-            F.lit(len(df.columns)).alias("columns"), F.current_timestamp().alias("run_at"),
-        )
-        for name, df in tables.items()
-    ]
-    return union_records(parts)
+    return summary.select(
+        F.lit(client_id).alias("client_id"), F.lit(stage).alias("stage"), F.col("source").alias("table"), "rows", "rejected",
+        F.current_timestamp().alias("run_at"),
+    )
+
+
+def write_layer(store: TableStore, tables: Mapping[str, DataFrame], client_id: str, stage: str) -> DataFrame:
+    """Write a client's bronze or silver tables as versioned slices; returns the run record, also kept in ``meta_run``.
+
+    A later step reads the layer from the store, so a failed load does not repeat what came before.
+    """
+    counts = []
+    for name, df in tables.items():
+        rows = df.withColumn("client_id", F.lit(client_id))
+        store.replace(f"{stage}_{name}", rows, [client_id])
+        counts.append((name, store.read(f"{stage}_{name}", client_id).count(), 0))
+    record = run_record(store.spark.createDataFrame(counts, "source string, rows long, rejected long"), client_id, stage)
+    store.append("meta_run", record)
+    return record
+
+
+def read_client_layer(store: TableStore, names: list[str], client_id: str, stage: str) -> dict[str, DataFrame]:
+    return {n: store.read(f"{stage}_{n}", client_id).drop("client_id") for n in names}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import money, num, percent, ratio, total
 from ..operators.intervals import within
+from ..operators.ordering import exact_percentiles
 
 
 def margin_bridge(revenue: DataFrame) -> DataFrame:
@@ -25,12 +26,14 @@ def margin_bridge(revenue: DataFrame) -> DataFrame:
 
 
 def price_elasticity(revenue: DataFrame) -> DataFrame:
-    """Slope of log quantity over log price of each SKU's months; null with fewer than two prices."""
+    """Slope of log quantity over log price of each SKU's months, to four digits; null where prices differ by less than 0.1 %."""
     months = revenue.groupBy("client_id", "product_sku", F.trunc("transaction_date", "month").alias("m")).agg(
         total("revenue").alias("r"), total("quantity").alias("q")
     ).filter((F.col("r") > 0) & (F.col("q") > 0))
-    return months.groupBy("client_id", "product_sku").agg(
-        F.regr_slope(F.ln(num("q")), F.ln(ratio("r", "q"))).alias("elasticity"), F.count(F.lit(1)).alias("months")
+    priced = months.withColumn("p", ratio("r", "q"))
+    slope = F.round(F.regr_slope(F.ln(num("q")), F.ln("p")), 4) + F.lit(0.0)  # no negative zero
+    return priced.groupBy("client_id", "product_sku").agg(
+        F.when(F.max("p") > F.min("p") * 1.001, slope).alias("elasticity"), F.count(F.lit(1)).alias("months")
     )
 
 
@@ -72,9 +75,8 @@ def contract_leakage(revenue: DataFrame, contracts: DataFrame) -> DataFrame:
     )
 
 
-def price_corridor(revenue: DataFrame, accuracy: int = 10000) -> DataFrame:
-    """10th, 50th and 90th percentile of a SKU's invoice price, from a sketch of bounded size."""
-    p = F.percentile_approx(money("invoice_price"), [0.1, 0.5, 0.9], accuracy)
-    return revenue.groupBy("client_id", "product_sku").agg(p.alias("p"), F.count(F.lit(1)).alias("transactions")).select(
-        "client_id", "product_sku", *[num(F.col("p")[i]).alias(n) for i, n in enumerate(("p10", "p50", "p90"))], "transactions"
-    )
+def price_corridor(revenue: DataFrame) -> DataFrame:
+    """10th, 50th and 90th percentile of a SKU's invoice price, exact at any size."""
+    priced = revenue.select("client_id", "product_sku", money("invoice_price").alias("p"))
+    edges = exact_percentiles(priced, ["client_id", "product_sku"], "p", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return edges.select("client_id", "product_sku", *[num(n).alias(n) for n in ("p10", "p50", "p90")], F.col("_rows").alias("transactions"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import fixed_sum, num, percent, ratio
+from ..operators.ordering import exact_percentiles
 
 # Waterfall steps in drawing order, segments and outcomes shown, capture scenarios, readiness flags.
 WATERFALL_ORDER = (
@@ -101,12 +102,9 @@ def profitable_share(profit: DataFrame) -> DataFrame:
     )
 
 
-def margin_deciles(profit: DataFrame, accuracy: int = 10000) -> DataFrame:
-    """Top and bottom decile margin from a bounded sketch."""
-    edges = F.percentile_approx("margin", [0.1, 0.9], accuracy)
-    return profit.groupBy("client_id").agg(edges.alias("e")).select(
-        "client_id", F.col("e")[0].alias("bottom_decile_margin"), F.col("e")[1].alias("top_decile_margin")
-    )
+def margin_deciles(profit: DataFrame) -> DataFrame:
+    """Top and bottom decile margin."""
+    return exact_percentiles(profit, ["client_id"], "margin", {"bottom_decile_margin": 0.1, "top_decile_margin": 0.9}).drop("_rows")
 
 
 def team_summary(scorecard: DataFrame) -> DataFrame:

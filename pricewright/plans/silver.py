@@ -10,38 +10,35 @@ from pyspark.sql import functions as F
 from ..operators import clean as c
 from ..operators import enrich as e
 from ..operators import entities, quality
-from ..session import materialise
+from ..session import staged
 from ..sources.tables import union_records
 
-# Merging names starts above this many distinct ones.
-FEW_NAMES = 5
-
-
 def to_silver(
     bronze: Mapping[str, DataFrame],
     merge_decisions: DataFrame | None = None,
     enrichment: DataFrame | None = None,
-    min_score: float = 0.0,
+    min_score: float | None = None,
+    positions: bool = False,
 ) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
     """(silver tables, cleaning log, reconciliation). Decisions and enrichment come in as tables.
 
     Tables with a ``_position`` column keep the last load of repeated deals and representatives; without one the
-    largest row by value stays, so that the result is repeatable. The column ends here.
+    largest row by value stays, so that the result is repeatable. The column ends here unless ``positions`` hands it on.
+    Names of equal normal form become one, near ones only with a ``min_score``.
     """
     tables, logs = {}, []
     for name, df in bronze.items():
         cleaned, log = c.clean(df, name)
-        tables[name] = materialise(cleaned)
+        tables[name] = staged(cleaned, "silver")
         logs.append(log)
 
     named = {n: t for n, t in tables.items() if "customer_name" in t.columns}
     if named:
         names = e.distinct_names(list(named.values())).select(F.col("customer_name").alias("name"))
-        if names.limit(FEW_NAMES + 1).count() > FEW_NAMES:
-            merges = materialise(entities.merge_map(entities.name_groups(names), merge_decisions, min_score))
-            for n, t in named.items():
-                tables[n] = e.apply_merges(t, merges)
-                logs.append(e.merge_counts(t, tables[n], n))
+        merges = staged(entities.merge_map(entities.name_groups(names), merge_decisions, min_score), "merges")
+        for n, t in named.items():
+            tables[n] = e.apply_merges(t, merges)
+            logs.append(e.merge_counts(t, tables[n], n))
 
     for name, df in tables.items():
         order = F.col(c.POSITION) if c.POSITION in df.columns else F.struct(*[F.col(f"`{x}`") for x in df.columns])
@@ -55,6 +52,6 @@ def to_silver(
             df = e.flag_negative(df)
         if ("financial" in name or "p_and_l" in name) and "line_item" in df.columns:
             df = e.categorize(df)
-        tables[name] = e.derive_discount(df).drop(c.POSITION)
-    before = {n: df.drop(c.POSITION) for n, df in bronze.items()}
-    return tables, union_records(logs), quality.reconcile(before, tables)
+        tables[name] = e.derive_discount(df)
+    before, after = ({n: df.drop(c.POSITION) for n, df in ts.items()} for ts in (bronze, tables))
+    return tables if positions else after, union_records(logs), quality.reconcile(before, after)

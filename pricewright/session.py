@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,6 +49,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back, so that all later passes see the same rows.
+
+    Unlike a checkpoint the copy is columnar: readers skip columns, and with ``partition_by`` whole folders. Columns of
+    ``partition_by`` come last.
+    """
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(folder)
+    fields = [f for f in df.schema.fields if f.name not in partition_by] + [df.schema[c] for c in partition_by]
+    return spark.read.schema(StructType(fields)).parquet(folder)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later reads see one fixed result even when executors are lost."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -21,25 +21,34 @@ def cell_values(cells: Column) -> Column:
     return F.transform(cells, lambda c: F.when(~c.isin(*MISSING), c))
 
 
-def read_cells(spark: SparkSession, root: str, extension: str, width: int = 500, multi_line: bool = False) -> DataFrame:
-    """Cells of all files with one ending below ``root``.
-
-    ``block`` is the start of the file split and ``seq`` grows with the rows inside it; together they order a file's
-    rows without any shuffle. Rows may have any number of cells up to ``width``. ``multi_line`` allows line breaks
-    inside quotes, at the price of one task per file.
-    """
-    names = [f"c{i}" for i in range(width)]
-    raw = (
-        spark.read.schema(", ".join(f"{n} string" for n in names))
-        .option("sep", SEPARATORS[extension])
-        .option("header", False)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
+def _read(spark: SparkSession, root: str, extension: str, columns: list[str], multi_line: bool, **options) -> DataFrame:
+    return (
+        spark.read.schema(", ".join(f"{n} string" for n in columns))
+        .options(sep=SEPARATORS[extension], header=False, quote='"', escape='"', multiLine=multi_line, **options)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", f"*.{extension}")
         .csv(root)
     )
+
+
+def widest(spark: SparkSession, root: str, extension: str, multi_line: bool = False) -> int:
+    """At least the number of cells of the widest row below ``root``: one more than its separators, quoted ones included."""
+    rows = _read(spark, root, extension, ["c0", "_whole"], multi_line, columnNameOfCorruptRecord="_whole", mode="PERMISSIVE")
+    separators = F.size(F.split("_whole", "\\" + SEPARATORS[extension] if SEPARATORS[extension] != "\t" else "\t"))
+    found = rows.agg(F.max(separators).alias("n"), F.count("c0")).first()["n"]
+    return max(1, found or 1)
+
+
+def read_cells(spark: SparkSession, root: str, extension: str, width: int | None = None, multi_line: bool = False) -> DataFrame:
+    """Cells of all files with one ending below ``root``.
+
+    ``block`` is the start of the file split and ``seq`` grows with the rows inside it; together they order a file's
+    rows without any shuffle. They hold for one scan: whoever looks at the cells more than once stages them first.
+    Rows may have any number of cells; without a known ``width`` a first scan looks for the widest row. ``multi_line``
+    allows line breaks inside quotes, at the price of one task per file.
+    """
+    names = [f"c{i}" for i in range(width or widest(spark, root, extension, multi_line))]
+    raw = _read(spark, root, extension, names, multi_line)
     path = plain_path(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")))
     placed = raw.select(
         relative(path, root).alias("file"),

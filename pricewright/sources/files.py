@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 # File endings that count as spreadsheets.
 EXTENSIONS = ("xlsx", "xlsb", "csv", "tsv", "xls")
 
@@ -83,21 +85,22 @@ def resolve(decisions: DataFrame, sheets: DataFrame) -> tuple[DataFrame, DataFra
 
     A decision names a file by name, relative path or a part of either, and a sheet in any case; delimited files have
     one sheet whatever the decision calls it. ``sheets`` holds (file, sheet). Partial names are matched by equality
-    with the pieces of that length, so no pair of names is tested.
+    with the pieces of that length, each piece reduced to its first file before it meets a request.
     """
-    asked = decisions.select(F.col("file").alias("_file"), F.col("sheet").alias("_sheet")).distinct()
-    files = sheets.select("file").distinct().withColumn("name", F.element_at(F.split("file", "/"), -1))
+    asked = staged(decisions.select(F.col("file").alias("_file"), F.col("sheet").alias("_sheet")).distinct(), "asked")
+    files = staged(sheets.select("file").distinct().withColumn("name", F.element_at(F.split("file", "/"), -1)), "files")
     names = asked.select("_file").distinct()
     exact = names.join(files, names["_file"] == files["name"]).select("_file", "file").unionByName(
         names.join(files, names["_file"] == files["file"]).select("_file", "file")
     )
-    rest = names.join(exact, "_file", "left_anti")
-    lengths = rest.agg(F.collect_set(F.length("_file")).alias("lengths")).withColumn("_one", F.lit(1))
-    sized = files.withColumn("_one", F.lit(1)).join(lengths, "_one").select("file", F.explode("lengths").alias("n"))
-    pieces = sized.filter((F.col("n") > 0) & (F.col("n") <= F.length("file"))).select(
+    rest = staged(names.join(exact, "_file", "left_anti"), "partial")
+    # At most as many lengths as the longest file name has letters.
+    lengths = [r[0] for r in rest.select(F.length("_file")).distinct().collect() if r[0]]
+    sized = files.select("file", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("n"))
+    pieces = sized.filter(F.col("n") <= F.length("file")).select(
         "file", "n", F.explode(F.sequence(F.lit(1), F.length("file") - F.col("n") + 1)).alias("at")
     ).select("file", F.expr("substring(file, at, n)").alias("_file"))
-    partial = rest.join(pieces, "_file").select("_file", "file")
+    partial = rest.join(pieces.groupBy("_file").agg(F.min("file").alias("file")), "_file").select("_file", "file")
     chosen = exact.unionByName(partial).groupBy("_file").agg(F.min("file").alias("_real_file"))
 
     with_file = asked.join(chosen, "_file")

@@ -32,9 +32,6 @@ class TableStore:
     readers can see, and a retry replaces its own leftovers. Two writers to one table must not run at the same time.
     """
 
-    # Slices pruned by name; beyond this many clients the pointers are joined instead.
-    PRUNED_SLICES = 10_000
-
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
@@ -56,7 +53,11 @@ class TableStore:
         return not self._pointers(table).isEmpty()
 
     def read(self, table: str, client_id: str | None = None) -> DataFrame:
-        """Current rows of all clients or of one; folders of other clients and old versions are not read."""
+        """Current rows of all clients or of one.
+
+        Only folders of versions that some client still reads are listed, one per write, and of those only the current
+        clients' slices are read: one client by its folder, all by a join with the pointers that prunes folders at run time.
+        """
         current = self.versions(table)
         if client_id is not None:
             current = current.filter(F.col("client_id") == client_id)
@@ -69,20 +70,41 @@ class TableStore:
             for f in T.StructType.fromJson(layout).fields:
                 fields.setdefault(f.name, f)
         schema = T.StructType([*fields.values(), T.StructField("version", T.LongType()), T.StructField("client_id", T.StringType())])
-        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
-        slices = [f"{r[0]}/{r[1]}" for r in current.select("version", "client_id").limit(self.PRUNED_SLICES + 1).collect()]
-        if len(slices) <= self.PRUNED_SLICES:
-            rows = rows.filter(F.concat_ws("/", F.col("version").cast("string"), "client_id").isin(slices))
+        base = f"{self.root}/{table}"
+        folders = [f"{base}/version={r[0]}" for r in current.select("version").distinct().collect() if self._has(f"{base}/version={r[0]}")]
+        if not folders:
+            return self.spark.createDataFrame([], schema).select("client_id", *fields)
+        rows = self.spark.read.schema(schema).option("basePath", base).parquet(*folders)
+        if client_id is not None:
+            rows = rows.filter(F.col("client_id") == client_id)
         else:
             rows = rows.join(current.select("client_id", "version"), ["client_id", "version"], "left_semi")
         return rows.select("client_id", *fields)
 
+    def _file_system(self, folder: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _has(self, folder: str) -> bool:
+        files, path = self._file_system(folder)
+        return files.exists(path)
+
+    def drop_old_versions(self, table: str) -> list[int]:
+        """Delete the versions no client reads any more; returns them. No reader or writer may be at work on the table."""
+        every = {r[0] for r in self._pointers(table).select("version").distinct().collect()}
+        old = sorted(every - {r[0] for r in self.versions(table).select("version").distinct().collect()})
+        for version in old:
+            files, path = self._file_system(f"{self.root}/{table}/version={version}")
+            files.delete(path, True)
+        return old
+
     def replace(self, table: str, df: DataFrame, client_ids: Sequence[str] = ()) -> None:
         """New content of every client slice ``df`` has rows for. Clients in ``client_ids`` without rows become empty."""
         version = (self._pointers(table).agg(F.max("version")).first()[0] or 0) + 1
         layout = T.StructType([f for f in df.schema.fields if f.name != "client_id"]).json()
         folder = f"{self.root}/{table}/version={version}"
-        df.write.mode("overwrite").partitionBy("client_id").parquet(folder)
+        # Each client's rows come from few tasks, a large client's from as many as its size needs.
+        df.hint("rebalance", "client_id").write.mode("overwrite").partitionBy("client_id").parquet(folder)
         try:
             only_client = T.StructType([T.StructField("client_id", T.StringType())])
             written = self.spark.read.schema(only_client).parquet(folder).select("client_id").distinct()

@@ -40,12 +40,15 @@ def test_text_repair(spark):
 
 def test_prefixes(spark):
     assert one(spark, ["Acme", "Acme Energy", "Big Red Dog Co", "", "R2 D2"], text.client_prefix) == ["ACM", "ACE", "BRD", "CLI", "RD"]
-    assert one(spark, ["Acme_Bronze", "Acme_XYZ", "Acme Energy_LLM_v2"], text.client_name_from_folder) == ["Acme", "Acme", "Acme Energy"]
+    assert one(spark, ["Acme_Bronze", "Acme_XYZ", "Acme Energy_LLM_v2", "My_LLM_Lab_Bronze_Output"], text.client_name_from_folder) == [
+        "Acme", "Acme", "Acme Energy", "My_LLM_Lab"]
 
 
 def test_customer_key(spark):
-    got = one(spark, ["Acme Inc.", "  ", None, "x" * 60], lambda c: text.customer_key(F.lit("client-9"), c))
-    assert got == ["client-acme-inc", None, None, "client-" + "x" * 40]
+    long = "International Business Machines Corporation Europe "
+    got = one(spark, ["Acme Inc.", "  ", None, "x" * 40, "x" * 60, long + "North", long + "South"], lambda c: text.customer_key(F.lit("client-9"), c))
+    assert got[:4] == ["client-acme-inc", None, None, "client-" + "x" * 40]
+    assert all(g.startswith("client-" + "x" * 40 + "-") for g in got[4:5]) and len(set(got[3:])) == 4
 
 
 def test_money_labels(spark):

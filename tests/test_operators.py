@@ -149,12 +149,22 @@ def test_name_groups(spark):
     names = ["Acme Energy Inc.", "ACME ENERGY", "Acme Enrgy", "Acme Energy, Incorporated", "Zenith Power LLC", "Zenith Pover", "Zenith Tower",
              "Store 001 North", "Store 002 North", "Apex", "Apec", "Northwind Traders"]
     got = {r.name: r.canonical for r in entities.name_groups(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
-    acme = {got[n] for n in names[:4]}
-    assert acme == {"Acme Energy, Incorporated"}
-    assert got["Zenith Pover"] == got["Zenith Power LLC"] == "Zenith Power LLC"
-    assert got["Store 001 North"] != got["Store 002 North"]  # digits differ
-    assert got["Apex"] == "Apex" and got["Apec"] == "Apec"  # too short to guess
-    assert got["Northwind Traders"] == "Northwind Traders"
+    assert {got[n] for n in (names[0], names[1], names[3])} == {"Acme Energy, Incorporated"}
+    # One letter apart is a candidate, not a merge.
+    assert all(got[n] == n for n in ("Acme Enrgy", "Zenith Pover", "Zenith Power LLC", "Store 001 North", "Apex", "Apec", "Northwind Traders"))
+    groups = entities.name_groups(spark.createDataFrame([(n,) for n in names], "name string"))
+    near = {(r.canonical, r.near_canonical): round(r.score, 3) for r in entities.near_names(groups).collect()}
+    assert near == {("Acme Enrgy", "Acme Energy, Incorporated"): 0.909, ("Zenith Pover", "Zenith Power LLC"): 0.917, ("Zenith Tower", "Zenith Power LLC"): 0.917, ("Apex", "Apec"): 0.75}
+    merged = {r.name: r.canonical for r in entities.merge_map(groups, min_score=0.9).collect()}
+    assert merged["Acme Enrgy"] == "Acme Energy, Incorporated" and merged["Zenith Pover"] == "Zenith Power LLC" and "Apex" not in merged
+
+
+def test_names_do_not_chain(spark):
+    names = ["Hansen Foods", "Jansen Foods", "Janson Foods", "Jonson Foods"]
+    groups = entities.name_groups(spark.createDataFrame([(n,) for n in names], "name string"))
+    assert entities.merge_map(groups).count() == 0
+    moved = {r.name: r.canonical for r in entities.merge_map(groups, min_score=0.9).collect()}
+    assert all(target not in moved for target in moved.values())  # nothing goes to a name that itself goes
 
 
 def test_name_groups_do_not_depend_on_partitioning(spark):
@@ -195,9 +205,9 @@ def test_components_equal_brute_force(spark):
 
 
 def test_merges_and_decisions(spark):
-    groups = spark.createDataFrame([("a", "A Co", 1.0), ("b", "A Co", 0.5), ("A Co", "A Co", 1.0)], "name string, canonical string, score double")
+    groups = spark.createDataFrame([("a", "A Co"), ("b", "A Co"), ("A Co", "A Co")], "name string, canonical string")
     told = spark.createDataFrame([("a", "a")], "name string, canonical string")
-    assert rows(entities.merge_map(groups, told, 0.4)) == [("b", "A Co")]
+    assert rows(entities.merge_map(groups, told)) == [("b", "A Co")]
     df = spark.createDataFrame([(" b ", 1), ("z", 2), (None, 3)], "customer_name string, n int")
     merges = entities.merge_map(groups)
     assert rows(enrich.apply_merges(df, merges)) == sorted([("A Co", 1), ("z", 2), (None, 3)], key=repr)

@@ -117,7 +117,7 @@ def test_headers(spark):
 def test_date_headers(spark):
     df = spark.createDataFrame([(["Customer", "2024-01-01", "Jan 2025", "2031-01-01", "2017", "Feb"],), (["c", "jan", "May", "MARCH"],)], "h array<string>")
     got = df.select(headers.date_positions(F.col("h")).alias("d"), headers.date_positions(F.col("h"), 2015, 2030).alias("v"), headers.month_positions(F.col("h")).alias("m")).collect()
-    assert [(e.pos, str(e.day)) for e in got[0].d] == [(2, "2024-01-01"), (3, "2025-01-01")]
+    assert [(e.pos, str(e.day)) for e in got[0].d] == [(2, "2024-01-01"), (3, "2025-01-01"), (4, "2031-01-01"), (5, "2017-01-01")]
     assert [(e.pos, str(e.day)) for e in got[0].v] == [(2, "2024-01-01"), (3, "2025-01-01"), (5, "2017-01-01")]
     assert got[1].d == [] and [(e.pos, str(e.day)) for e in got[1].m] == [(2, "2024-01-15"), (3, "2024-05-15"), (4, "2024-03-15")]
 
@@ -136,18 +136,18 @@ def test_folder_to_dashboard(spark, folder, tmp_path):
     assert [r[:2] for r in rows(misses.select("file", "sheet"))] == [("absent.xlsx", "S"), ("entities.xlsx", "dist 99")]
     per_sheet = {(r.file, r.sheet): r.n for r in records.groupBy("file", "sheet").agg(F.count("*").alias("n")).collect()}
     assert per_sheet == {
-        ("long_tx.csv", "Sheet1"): 3, ("deep + er/wide_dates.csv", "Sheet1"): 3, ("wide_months.tsv", "Sheet1"): 3,
-        **{("entities.xlsx", f"Dist {i}"): 2 for i in range(8)},
+        ("long_tx.csv", "Sheet1"): 3, ("deep + er/wide_dates.csv", "Sheet1"): 4, ("wide_months.tsv", "Sheet1"): 3,
+        **{("entities.xlsx", f"Dist {i}"): 2 for i in range(10)},
     }
     built = bronze.build(records, ["transaction_fact"], "ACE", "Acme Client", positions=True)
     facts = built["transaction_fact"]
     got = rows(facts.filter("transaction_id <= 'ACE-TXN-000003'").select("transaction_id", "customer_name", "customer_id", "revenue", F.col("transaction_date").cast("date").cast("string")))
     assert got == [
         ("ACE-TXN-000001", "Acme Inc", "ACE-CUST-0001", Decimal("-12.3500"), "2024-03-01"),
-        ("ACE-TXN-000002", "Zen", "ACE-CUST-0003", Decimal("10.0000"), "2024-01-01"),
-        ("ACE-TXN-000003", "Zen", "ACE-CUST-0003", Decimal("30.0000"), "2024-03-01"),
+        ("ACE-TXN-000002", "Acme Inc", "ACE-CUST-0001", Decimal("99.0000"), "2031-01-01"),
+        ("ACE-TXN-000003", "Zen", "ACE-CUST-0003", Decimal("10.0000"), "2024-01-01"),
     ]
-    assert facts.count() == 25 and facts.select("transaction_id").distinct().count() == 25
+    assert facts.count() == 30 and facts.select("transaction_id").distinct().count() == 30
     last = facts.filter("customer_name = 'Acme Inc' and transaction_date = '2024-02-01'").first()
     assert last.revenue == Decimal("60.0000") and last.client_name == "Acme Client"
 
@@ -158,11 +158,11 @@ def test_folder_to_dashboard(spark, folder, tmp_path):
     store = TableStore(spark, str(tmp_path / "store"))
     silver_tables = {"sales transactions": cleaned["transaction_fact"].drop("client_name")}
     dry = load.load(store, silver_tables, "acme", "Acme Client", dry_run=True).first()
-    assert (dry.target_table, dry.rows, dry.rejected) == ("fact_revenue", 20, 5) and not store.exists("fact_revenue")
+    assert (dry.target_table, dry.rows, dry.rejected) == ("fact_revenue", 25, 5) and not store.exists("fact_revenue")
     load.load(store, silver_tables, "acme", "Acme Client")
     load.load(store, silver_tables, "acme", "Acme Client")  # the same load again changes nothing
     stored = store.read("fact_revenue")
-    assert stored.count() == 20 and store.read("clients").first().total_records == 20
+    assert stored.count() == 25 and store.read("clients").first().total_records == 25
     assert spark.read.parquet(f"{store.root}/meta_data_source").count() == 2
     pareto = gold.read_view("sku_pareto", store.read, "acme").orderBy("cum_pct").collect()
     assert pareto[-1].cum_pct == pytest.approx(100) and len(pareto) == 2
