@@ -126,15 +126,17 @@ def _words(text: str) -> list[str]:
 
 
 def _count(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of the vocabulary's own segmentation, counted per language within the task."""
+    """Pieces of the vocabulary's own segmentation, counted per language within the task; a batch's words are cut once."""
     pieces, counts = pieces_of(path), {}
     for batch in batches:
+        words: dict[str, Counter] = {}
         for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-            words = Counter(_words(text or ""))
-            mine = counts.setdefault(lang, np.zeros(pieces.n, np.int64))
-            keys = list(words)
-            for w, ids in zip(keys, pieces.model.encode(keys, num_threads=1) if keys else []):
-                np.add.at(mine, ids, words[w])
+            words.setdefault(lang, Counter()).update(_words(text or ""))
+        for lang, mine in words.items():
+            cut = pieces.model.encode(list(mine), num_threads=1)
+            ids = np.fromiter((i for ids in cut for i in ids), np.int64)
+            times = np.repeat(np.fromiter(mine.values(), np.int64, len(mine)), [len(ids) for ids in cut])
+            counts[lang] = counts.get(lang, 0) + np.bincount(ids, times, pieces.n).astype(np.int64)
     for lang, c in counts.items():
         at = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], names=["lang", "piece", "n"])
