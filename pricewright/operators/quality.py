@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import ANALYSES
@@ -113,10 +113,30 @@ def quality_score(
     }
     scored = out.select(client, F.lit(table).alias("table"), "rows", *[c.alias(n) for n, c in parts.items()])
     score = sum((F.col(n) * w for n, w in list(WEIGHTS.items())[1:]), F.col("completeness") * WEIGHTS["completeness"]) * 100
-    grade = F.when(F.col("score") >= GRADES[0][0], GRADES[0][1])
+    return scored.withColumn("score", score).withColumn("grade", _grade(F.col("score")))
+
+
+def _grade(score: Column) -> Column:
+    grade = F.when(score >= GRADES[0][0], GRADES[0][1])
     for limit, letter in GRADES[1:]:
-        grade = grade.when(F.col("score") >= limit, letter)
-    return scored.withColumn("score", score).withColumn("grade", grade.otherwise("D"))
+        grade = grade.when(score >= limit, letter)
+    return grade.otherwise("D")
+
+
+def overall_grade(scores: DataFrame, client: str = "client_id") -> DataFrame:
+    """(client, score, grade) over a client's tables, each weighted by its rows."""
+    whole = scores.groupBy(client).agg(ratio(F.sum(F.col("score") * F.col("rows")), F.sum("rows")).alias("score"))
+    return whole.withColumn("grade", _grade(F.col("score")))
+
+
+def unlinked_terminations(terminations: DataFrame, clients: DataFrame, name: str = "client_name") -> DataFrame:
+    """(client_name, rows) of terminated clients that the book of business does not know, compared trimmed and in lower case."""
+    def key(c):
+        return F.lower(F.trim(c))
+
+    counted = terminations.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("rows"))
+    known = clients.select(key(F.col(name)).alias("_known")).distinct()
+    return counted.join(known, key(F.col(name)) == F.col("_known"), "left_anti")
 
 
 def available_columns(tables: Mapping[str, DataFrame], client: str = "client_id") -> DataFrame:

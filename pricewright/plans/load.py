@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import TABLES
 from ..operators import classify as k
+from ..operators import quality
 from ..operators.clean import POSITION
 from ..operators.keys import content_keys
 from ..operators.ordering import keep_last
@@ -91,10 +92,34 @@ def load(
     if not dry_run:
         store.append("meta_data_source", lineage(result, client_id))
         store.append("meta_run", run_record(result, client_id, "load"))
-        store.upsert("clients", client_row(spark, client_id, client_name, industry, total, len(loaded)), ["client_id"])
+        found, missing = check_load(store, client_id, loaded)
+        grade = quality.overall_grade(found).first()["grade"] if found is not None else None
+        for name, report in (("quality_report", found), ("fk_report", missing)):
+            if report is not None:
+                store.append(name, report.withColumn("checked_at", F.current_timestamp()))
+        store.upsert("clients", client_row(spark, client_id, client_name, industry, total, len(loaded), grade), ["client_id"])
     return result
 
 
+#: Dimensions and the key by which facts refer to them.
+PARENTS = {"dim_customer": "customer_id", "dim_product": "product_sku", "dim_sales_rep": "sales_rep_id", "dim_contract": "contract_id"}
+
+
+def check_load(store: TableStore, client_id: str, loaded: list[str]) -> tuple[DataFrame | None, DataFrame | None]:
+    """(quality scores of the loaded tables, keys of loaded facts that no stored dimension has)."""
+    dims = {d: store.read(d, client_id) for d in PARENTS if store.exists(d) and not store.versions(d).filter(F.col("client_id") == client_id).isEmpty()}
+    scores, missing = [], []
+    for target in loaded:
+        spec, rows = TABLES[target], store.read(target, client_id)
+        known = {d: k for d, k in PARENTS.items() if target.startswith("fact_") and d in dims and k in rows.columns}
+        checked = [c for c in (spec.required or spec.columns[:1]) if c in rows.columns]
+        scores.append(quality.quality_score(rows, target, checked, [c for c in spec.key if c in rows.columns], F.lit(True), {k: dims[d] for d, k in known.items()}))
+        missing += [
+            quality.orphans(rows, dims[d], ["client_id", k], target, d).select("fact", "dim", "client_id", F.col(k).cast("string").alias("key"), "rows") for d, k in known.items()
+        ]
+    return (union_records(scores) if scores else None), (union_records(missing) if missing else None)
+
+
 def lineage(summary: DataFrame, client_id: str) -> DataFrame:
     """One row per loaded source table."""
     now = F.current_timestamp()
@@ -110,7 +135,7 @@ def lineage(summary: DataFrame, client_id: str) -> DataFrame:
     )
 
 
-def client_row(spark, client_id: str, client_name: str, industry: str | None, records: int, tables: int) -> DataFrame:
+def client_row(spark, client_id: str, client_name: str, industry: str | None, records: int, tables: int, grade: str | None = None) -> DataFrame:
     return spark.range(1).select(
         F.lit(client_id).alias("client_id"),
         F.lit(client_name).alias("client_name"),
@@ -120,6 +145,7 @@ def client_row(spark, client_id: str, client_name: str, industry: str | None, re
         F.lit("pending").alias("gold_status"),
         F.lit(records).cast("long").alias("total_records"),
         F.lit(tables).cast("int").alias("total_tables"),
+        F.lit(grade).cast("string").alias("data_quality_grade"),
         F.current_timestamp().alias("last_run_at"),
     )
 

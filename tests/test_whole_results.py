@@ -7,7 +7,7 @@ import pytest
 from conftest import rows, write_xlsx
 from pyspark.sql import functions as F
 
-from pricewright.operators import headers, intervals, ordering, reshape
+from pricewright.operators import headers, intervals, ordering, quality, reshape
 from pricewright.plans import bronze, load, named_analyses, opportunities, revenue_views, silver
 from pricewright.sources import delimited
 from pricewright.sources.tables import TableStore
@@ -99,6 +99,23 @@ def test_the_last_source_wins_and_rejects_are_kept(spark, tmp_path):
     assert spark.read.parquet(f"{store.root}/meta_run").count() == 2
 
 
+def test_a_load_is_graded_and_its_keys_are_checked(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    facts = spark.createDataFrame([("1", "2024-01", "5"), ("9", "2024-01", "7")], "customer_id string, period string, service_cost string")
+    tables = {"cost": "fact_cost_to_serve", "customer_dim": "dim_customer"}
+    load.load(store, {"customer_dim": customers(spark, ("1", "Acme", "x")), "cost": facts}, "c", "C", tables=tables)
+    orphan = spark.read.parquet(f"{store.root}/fk_report").first()
+    assert (orphan.fact, orphan.dim, orphan.key, orphan.rows) == ("fact_cost_to_serve", "dim_customer", "9", 1)
+    assert store.read("clients").first().data_quality_grade == "A"
+    scores = {r.table: round(r.integrity, 2) for r in spark.read.parquet(f"{store.root}/quality_report").collect()}
+    assert scores == {"dim_customer": 1.0, "fact_cost_to_serve": 0.5}
+
+
+def test_unlinked_terminations(spark):
+    gone = spark.createDataFrame([("Acme ",), ("Zen",), ("Zen",), (None,)], "client_name string")
+    assert rows(quality.unlinked_terminations(gone, spark.createDataFrame([("ACME",)], "client_name string"))) == [("Zen", 2)]
+
+
 def test_generated_keys_are_unique_over_sources(spark, tmp_path):
     store = TableStore(spark, str(tmp_path))
     # Two sources with an equal row: each row keeps an id of its own.
