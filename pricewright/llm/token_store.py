@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,7 +29,7 @@ END_ID = 2
 NULL_KEY = -(1 << 63)
 KEYS_PER_SEGMENT = 50_000
 #: Pieces of text that a Python worker remembers the ids of (about 150 bytes each).
-CACHE_PIECES = 800_000
+CACHE_PIECES = 1_000_000
 TEXTS_AT_ONCE = 256
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
@@ -35,30 +38,64 @@ class Encoder:
     """Ids of whole texts as bytes.
 
     The vocabulary's own splitting rule never joins what lies before and after a single space between two visible
-    characters, so a text is cut there (the space goes with what follows), each distinct piece is encoded once by the
-    tokenizers library, and the pieces' ids are joined.
+    characters, so a text is cut at its spaces (a space goes with what follows), each distinct piece is encoded once by the
+    tokenizers library, and the pieces' ids are joined. Where a piece is empty or has white space at an end, the cut there
+    would not be such a place: the text is then cut by ``_GAP`` at those that are.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.known: dict[str, bytes | None] = {}
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        # Byte-level vocabularies write a space as U+0120.
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(pieces), 10_000):
+            done = self.tokenizer.encode_batch_fast(pieces[i : i + 10_000], add_special_tokens=False)
+            for d in done:
+                ids = array(self.code, d.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                out.append(ids.tobytes())
+        return out
+
+    def _ids_of_words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of each word after a space. Many words go through the library as one text; as no word holds a space, a
+        word's ids begin where a token does that begins with one."""
+        for i in range(0, len(words), 2_000):
+            text = " " + " ".join(words[i : i + 2_000])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            data, at = ids.tobytes(), (np.flatnonzero(self.spaced[ids]) * self.dtype.itemsize).tolist()
+            for low, high in zip(at, [*at[1:], len(data)]):
+                yield data[low:high]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        for t in texts:
-            first, *rest = _GAP.split(t)
-            cut.append([first, *[" " + r for r in rest]])
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        new = list({p for pieces in cut for p in pieces}.difference(self.known))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for piece, done in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = np.array(done.ids, self.dtype).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        known, cut = self.known, [t.split(" ") for t in texts]
+        firsts = [pieces.pop(0) for pieces in cut]
+        new = list(set().union(*cut).difference(known))
+        clean = [p for p in new if p and not (p[0].isspace() or p[-1].isspace())]
+        known.update(dict.fromkeys(new))
+        known.update(zip(clean, self._ids_of_words(clean), strict=True))
+        get, out, rest = known.__getitem__, self._ids(firsts), []
+        for i, (first, pieces) in enumerate(zip(firsts, cut)):
+            try:
+                if pieces and (not first or first[-1].isspace()):
+                    raise TypeError
+                out[i] += b"".join(map(get, pieces))
+            except TypeError:  # a piece without ids
+                rest.append(i)
+        for i in rest:
+            first, *more = _GAP.split(texts[i])
+            out[i] = b"".join(self._ids([first, *[" " + m for m in more]]))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
