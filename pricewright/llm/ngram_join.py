@@ -20,7 +20,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 #: Documents of a bucket are compared in blocks of about this many, a pair of blocks at a time.
 BLOCK = 512
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 _CHUNK = 1 << 16
 _RANDOM = np.random.default_rng(20240)
 _XOR = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -239,7 +239,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     asked = banded.join(once, ["band", "value"]).groupBy("doc").agg(
         F.max("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("band", "value", "m"))).alias("buckets"))
     asked = staged(asked, "members")
-    payload = rows.join(asked, rows["doc_id"] == asked["doc"]).dropDuplicates(["doc", "text"]).select("doc", "copies", "buckets", "text").mapInArrow(partial(_deal, block), _PAYLOAD)
+    # Candidates grow with the documents, so they meet their texts by a shuffle at every size, never by a broadcast.
+    payload = rows.join(asked.hint("merge"), rows["doc_id"] == asked["doc"]).dropDuplicates(["doc", "text"]).select("doc", "copies", "buckets", "text").mapInArrow(partial(_deal, block), _PAYLOAD)
     dealt = payload.repartition("band", "value", "low", "high").sortWithinPartitions("band", "value", "low", "high")
     found = staged(dealt.mapInArrow(partial(_verify, similarity), "doc long, links long, part long"), "links")
     links = found.groupBy("doc").agg(F.sum("links").alias("links"))
