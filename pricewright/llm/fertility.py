@@ -35,7 +35,7 @@ _BEYOND = re.compile("[Ͱ-
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 WINDOW = 8
 #: Distinct words that a Python worker remembers (about 300 bytes each).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
