@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -12,20 +14,26 @@ import public_tokenizers
 import pyarrow as pa
 import sentencepiece
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-#: Per script: fewest and most characters a token, largest share of byte-fallback pieces, least token entropy in bits.
+#: Per script: fewest and most characters a token, largest share of byte-fallback pieces, least token entropy in bits. Outer
+#: bounds, set around measured passages in some 25 languages; ``judge`` draws tighter ones from the documents themselves.
 #: Byte-level merges hardly cover scripts other than Latin, so their texts have few characters a token by nature.
 BANDS = {
-    "Latin": (1.3, 12.0, 0.10, 3.0), "Cyrillic": (0.4, 8.0, 0.25, 3.0), "Greek": (0.3, 8.0, 0.60, 3.0), "Arabic": (0.3, 8.0, 0.60, 3.0),
-    "Hebrew": (0.3, 8.0, 0.60, 3.0), "Devanagari": (0.15, 8.0, 0.90, 3.0), "Thai": (0.15, 8.0, 0.90, 3.0), "East Asian": (0.2, 4.0, 0.90, 3.0),
-    "other": (0.1, 12.0, 1.0, 3.0),
+    "Latin": (1.7, 8.0, 0.10, 3.0), "Latin some accents": (1.4, 8.0, 0.10, 3.0), "Latin many accents": (0.6, 8.0, 0.10, 3.0),
+    "Cyrillic": (0.57, 2.0, 0.10, 3.0), "Greek": (0.6, 2.0, 0.10, 3.0), "Arabic": (0.55, 2.0, 0.15, 3.0), "Hebrew": (0.55, 2.0, 0.10, 3.0),
+    "Devanagari": (0.35, 1.5, 0.35, 3.0), "Thai": (0.4, 1.5, 0.25, 3.0), "East Asian": (0.28, 2.0, 0.50, 3.0),
+    "other": (0.2, 12.0, 0.50, 3.0), "other ETHIOPIC": (0.2, 2.0, 0.90, 3.0),
 }
+#: Of unlisted scripts the documents' own spread replaces the bands above, up to this share: beyond it no vocabulary covers the text.
+MOST_FALLBACK = 0.95
+#: Documents that pass the base rules from which a spread is taken.
+LEAST_DOCS = 20
 _SCRIPTS = {
     "Cyrillic": "Ѐ-ԯ", "Greek": "Ͱ-Ͽἀ-῿", "Arabic": "؀-ۿݐ-ݿ", "Hebrew": "֐-׿",
     "Devanagari": "ऀ-ॿ", "Thai": "฀-๿", "East Asian": "぀-ヿ㐀-鿿가-힯",
@@ -33,6 +41,8 @@ _SCRIPTS = {
 _SCRIPT_RE = {name: re.compile(f"[{chars}]") for name, chars in _SCRIPTS.items()}
 _BEYOND = re.compile("[Ͱ-￿\U00010000-\U0010ffff]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
+_ACCENTED = re.compile("[À-ɏḀ-ỿ]")
+_EAST_ASIAN = {"Kana": re.compile("[぀-ヿ]"), "Hangul": re.compile("[가-힯]")}
 WINDOW = 8
 #: Distinct words that a Python worker remembers (about 300 bytes each).
 CACHE_WORDS = 500_000
@@ -42,6 +52,8 @@ SCHEMA = (
     "kept boolean, script string, chars_per_token double, fallback_share double, token_entropy double"
 )
 
+_MEASURED = SCHEMA.replace("kept boolean, ", "") + ", part string, magnitude int, least double, most double, share double, floor double"
+
 
 class Vocabulary:
     """Token ids (byte-level merges) and piece counts (pieces with byte fallback) of words, each looked at once."""
@@ -84,6 +96,24 @@ def script_of(text: str) -> str:
     return most if counts[most] else "other"
 
 
+def part_of(text: str, script: str) -> str:
+    """The part of a script whose texts have one spread: Latin by its accents, East Asian by its letters, others by Unicode's name."""
+    if script == "Latin":
+        accented = 0 if text.isascii() else len(_ACCENTED.findall(text))
+        return "Latin" if 200 * accented <= len(text) else "Latin some accents" if 12 * accented <= len(text) else "Latin many accents"
+    if script == "East Asian":
+        found = {name: len(r.findall(text)) for name, r in _EAST_ASIAN.items()}
+        most = max(found, key=found.__getitem__)
+        return f"East Asian {most}" if 5 * found[most] > len(_SCRIPT_RE[script].findall(text)) else script
+    if script != "other":
+        return script
+    names: Counter[str] = Counter()
+    for c, n in Counter(text).items():
+        if c.isalpha():
+            names[unicodedata.name(c, "UNNAMED").split()[0]] += n
+    return f"other {min(names, key=lambda k: (-names[k], k))}" if names else "other"
+
+
 def repeated_words(index: np.ndarray, window: int = WINDOW) -> int:
     """Words that lie in windows of ``window`` words found twice or more."""
     n = len(index) - window + 1
@@ -114,21 +144,20 @@ def entropy(tokens: np.ndarray) -> float:
 
 
 def measure(text: str | None, words: list[bytes], vocabulary: Vocabulary, bands: dict) -> tuple:
-    """The rule's columns after doc_id."""
+    """The columns of ``_MEASURED`` after doc_id."""
     text, n = text or "", len(words)
     index = np.fromiter(map(vocabulary.index.__getitem__, words), np.int64, n)
     chars = len(text) - sum(map(text.count, " \t\n\r\x0b\x0c"))
     repeats = repeated_words(index)
     failed = n < 20 or 100 * repeats > 30 * n
-    script, per_token, fallback, bits = "other", None, None, None
-    fine = False
+    script, per_token, fallback, bits, part, magnitude, bounds = "other", None, None, None, "other", None, (None,) * 4
     if n:
         tokens = np.frombuffer(b"".join([vocabulary.ids[i] for i in index.tolist()]), "<u4")
         pieces, bytes_ = vocabulary.counts[index].sum(axis=0)
         script, per_token, fallback, bits = script_of(text), chars / len(tokens), float(bytes_ / max(1, pieces)), entropy(tokens)
-        least, most, share, floor = bands[script]
-        fine = least <= per_token <= most and fallback <= share and bits >= floor
-    return (n, chars, sum(map(text.count, "#*$%&|<>")), duplicate_lines(text), repeats, failed, fine and not failed, script, per_token, fallback, bits)
+        part, magnitude = part_of(text, script), len(tokens).bit_length()
+        bounds = bands.get(part) or bands[script]
+    return (n, chars, sum(map(text.count, "#*$%&|<>")), duplicate_lines(text), repeats, failed, script, per_token, fallback, bits, part, magnitude, *bounds)
 
 
 def _run(ranks: str, pieces: str, bands: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +165,8 @@ def _run(ranks: str, pieces: str, bands: dict, batches: Iterator[pa.RecordBatch]
     if key not in _VOCABULARIES:
         _VOCABULARIES[key] = Vocabulary(ranks, pieces)
     vocabulary = _VOCABULARIES[key]
-    types = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.string()] + [pa.float64()] * 3
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    types = [pa.int64()] * 6 + [pa.bool_(), pa.string()] + [pa.float64()] * 3 + [pa.string(), pa.int32()] + [pa.float64()] * 4
+    names = [c.split()[0] for c in _MEASURED.split(", ")]
     for batch in batches:
         for low in range(0, batch.num_rows, 256):
             ids, texts = (c.to_pylist() for c in batch.slice(low, 256).columns)
@@ -149,20 +178,63 @@ def _run(ranks: str, pieces: str, bands: dict, batches: Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
+def _spread(value: str):
+    """Exact 5th, 50th and 95th percentile of thousandths, so that a group has few distinct values whatever its size."""
+    return F.percentile(F.round(value, 3), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+
+
+def _low(spread: str, margin: Column) -> Column:
+    p = F.col(spread)
+    return p[0] - F.greatest(1.5 * (p[1] - p[0]), margin)
+
+
+def _high(spread: str, margin: Column) -> Column:
+    p = F.col(spread)
+    return p[2] + F.greatest(1.5 * (p[2] - p[1]), margin)
+
+
+def spreads(measured: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
+    """Bands drawn from the documents that pass the base rules: of characters per token and fallback share by part of a
+    script, of entropy by part and order of magnitude of the tokens, as entropy grows with a text's length. A bound lies 1.5
+    times the distance from the median to the percentile beyond that percentile, and at least a small margin."""
+    sound = measured.where(~F.col("base_failed"))
+    parts = sound.groupBy("part").agg(F.count(F.lit(1)).alias("n"), _spread("chars_per_token").alias("c"), _spread("fallback_share").alias("f"))
+    lengths = sound.groupBy("part", "magnitude").agg(F.count(F.lit(1)).alias("n"), _spread("token_entropy").alias("b"))
+    small = 0.03 * F.col("c")[1]
+    return (
+        parts.where(F.col("n") >= least_docs).select("part", _low("c", small).alias("c_low"), _high("c", small).alias("c_high"), _high("f", F.lit(0.05)).alias("f_high")),
+        lengths.where(F.col("n") >= least_docs).select("part", "magnitude", _low("b", F.lit(1.0)).alias("b_low"), _high("b", F.lit(1.0)).alias("b_high")),
+    )
+
+
 def judge(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: dict = BANDS, ranks: str = RANKS, pieces: str = PIECES
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: dict = BANDS, ranks: str = RANKS, pieces: str = PIECES,
+    least_docs: int = LEAST_DOCS,
 ) -> DataFrame:
-    """Base counts and the fertility verdict of every document, in one pass without a shuffle.
+    """Base counts and the fertility verdict of every document; texts are read once and not shuffled.
 
     Characters per token and token entropy come from a byte-level vocabulary, the byte-fallback share from a piece
     vocabulary; a word's tokens are those of the word after a space. A document is kept if the base rules pass and the
-    three measures lie within the bands of its most frequent script.
+    three measures lie within the bands of its most frequent script: those of ``bands`` and, where ``least_docs`` documents
+    or more show it, the spread of the documents themselves (``spreads``). Of scripts that ``bands`` doesn't list the spread
+    alone counts. A spread is that of real text as long as fewer than one in twenty of a script's documents are debris.
 
     Returns the columns of ``SCHEMA``, one row per row. A null or empty text has no words, fails the base rules, and has
     null measures. Repeated rows give equal rows, an empty table an empty one; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(partial(_run, ranks, pieces, bands), SCHEMA)
+    measured = staged(rows.mapInArrow(partial(_run, ranks, pieces, bands), _MEASURED), "measures")
+    parts, lengths = (F.broadcast(s) for s in spreads(measured, least_docs))  # a few hundred rows at most
+    unlisted = (F.col("script") == "other") & ~F.col("part").isin(*bands) & F.col("c_low").isNotNull()
+    least = F.when(unlisted, F.col("c_low")).otherwise(F.greatest("least", "c_low"))
+    most = F.when(unlisted, F.col("c_high")).otherwise(F.least("most", "c_high"))
+    share = F.when(unlisted, F.least("f_high", F.lit(MOST_FALLBACK))).otherwise(F.least("share", "f_high"))
+    fine = (
+        F.col("chars_per_token").between(least, most) & (F.col("fallback_share") <= share)
+        & (F.col("token_entropy") >= F.greatest("floor", "b_low")) & F.coalesce(F.col("token_entropy") <= F.col("b_high"), F.lit(True))
+    )
+    out = measured.join(parts, "part", "left").join(lengths, ["part", "magnitude"], "left")
+    return out.withColumn("kept", F.coalesce(~F.col("base_failed") & fine, F.lit(False))).select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -177,6 +177,34 @@ def test_fertility(spark, corpus):
     assert fertility.judge(corpus([(1, "x", None, None)]).limit(0)).count() == 0
 
 
+PASSAGES = {
+    "Thai": "มนุษย์ ทั้งหลาย เกิดมา มีอิสระ และ เสมอภาคกัน ใน เกียรติศักดิ์ และสิทธิ ต่างมี เหตุผล และมโนธรรม ควรปฏิบัติ ต่อกัน ด้วยเจตนารมณ์ แห่งภราดรภาพ ทุกคน มีสิทธิ ในการดำรงชีวิต ในเสรีธรรม และในความมั่นคง วันนี้ อากาศดีมาก ฉันไปตลาด ซื้อผลไม้",
+    "Devanagari": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए आज मौसम बहुत अच्छा है",
+    "Cyrillic": "Все люди рождаются свободными и равными в своем достоинстве и правах Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства Сегодня хорошая погода и мы пошли на рынок за фруктами",
+    "Arabic": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء لكل فرد الحق في الحياة والحرية وسلامة شخصه الطقس جميل اليوم وذهبت إلى السوق",
+    "Georgian": "ყველა ადამიანი იბადება თავისუფალი და თანასწორი თავისი ღირსებითა და უფლებებით მათ მინიჭებული აქვთ გონება და სინდისი და ერთმანეთის მიმართ უნდა იქცეოდნენ ძმობის სულისკვეთებით",
+    "Latin": "All human beings are born free and equal in dignity and rights They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood The weather is fine today and we went to the market",
+}
+RANDOM = {"Thai": (0xE01, 0xE2F), "Devanagari": (0x905, 0x94D), "Cyrillic": (0x430, 0x450), "Arabic": (0x627, 0x64B), "Georgian": (0x10A0, 0x10FF), "Latin": (0x61, 0x7B)}
+
+
+def test_fertility_rejects_random_letters(spark, corpus):
+    rng = random.Random(11)
+
+    def letters(low, high):
+        return " ".join("".join(chr(rng.randrange(low, high)) for _ in range(8)) for _ in range(60))
+
+    real = [(k, " ".join(rng.choices(t.split(), k=70))) for k, t in PASSAGES.items() for _ in range(40)]
+    debris = [letters(*r) for r in RANDOM.values()] + [" ".join(f"{rng.getrandbits(32):08x}" for _ in range(60)), letters(0x13000, 0x13100)]
+    got = {r["doc_id"]: r for r in fertility.judge(corpus([t for _, t in real] + debris)).collect()}
+    assert [r["doc_id"] for r in got.values() if r["doc_id"] >= len(real) and (r["kept"] or r["base_failed"])] == []
+    lost = Counter(k for i, (k, _) in enumerate(real) if not got[i]["kept"])
+    assert all(lost[k] <= 3 for k in PASSAGES), lost
+    # Too few documents for a spread: the outer bounds hold.
+    few = {r["doc_id"]: r["kept"] for r in fertility.judge(corpus([(i, t, None, None) for i, t in enumerate([*PASSAGES.values(), letters(*RANDOM["Thai"]), letters(*RANDOM["Devanagari"]), debris[-4], *debris[-2:]])])).collect()}
+    assert [few[i] for i in sorted(few)] == [True] * len(PASSAGES) + [False] * 5
+
+
 TEXTS = ["Hello world", "", None, "  two  spaces \n\n new\tline ", "it's   don't 'll", "naïve café 漢字  x   y", "a   b", "<|endoftext|> <|endoftext|>", "x" * 5000, " ", "a ", " a", "1 2  3\n4 5", "tail \n", "\x1c a \x1d b \x85 c"]
 
 
