@@ -13,6 +13,17 @@ _MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин")
 _FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Sra", "госпожа")
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _NAME = "\\p{Lu}[\\p{L}'-]{1,40}"
+_DATE = "(?!(?:0?[1-9]|[12][0-9]|3[01])[ ./-](?:0?[1-9]|[12][0-9]|3[01])[ ./-](?:19|20)[0-9]{2}(?![0-9]))"
+#: Phones, tried in turn: ten digits as 3-3-4; '+' and 8 to 15 digits with single separators or one bracket; an area in
+#: brackets; 9 to 12 digits from a leading 0, unless they begin as a date; an area and 3-3 or 3-4 digits; a local 3-4.
+_PHONES = (
+    "(?:\\+1[ .-]?)?[0-9]{3}[ .-]?[0-9]{3}[ .-][0-9]{4}", "(?:\\+[0-9]{1,3}[ .-]?)?\\([0-9]{3}\\)[ .-]?[0-9]{3}[ .-][0-9]{4}",
+    "\\+[0-9](?:[ ./-]?[0-9]){7,14}", "\\+[0-9]{1,3}[ ./-]?\\([0-9]{1,5}\\)(?:[ ./-]?[0-9]){5,11}",
+    "\\((?!(?:19|20)[0-9]{2}\\))[0-9]{2,5}\\)(?:[ ./-]?[0-9]){6,10}", f"{_DATE}0[0-9](?:[ ./-]?[0-9]){{7,10}}",
+    "(?:\\+[0-9]{1,3}[ .-]?)?(?:\\([0-9]{2,4}\\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-][0-9]{3,4}", "(?<![0-9][.-])[2-9][0-9]{2}-[0-9]{4}(?!-[0-9])",
+)
+#: Country codes; none begins another.
+_COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 #: Each pattern with the characters it can begin with; none begins behind a letter or digit.
 PATTERNS = {
     "email": ("[A-Za-z0-9._%+-]", "(?<![._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"),
@@ -20,7 +31,7 @@ PATTERNS = {
     "ip": ("[0-9]", f"(?<!\\.)(?:{_OCTET}\\.){{3}}{_OCTET}(?![0-9A-Za-z]|\\.[0-9])"),
     "card": ("[0-9]", "[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
     "ssn": ("[0-9]", "(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
-    "phone": ("[0-9(+]", "(?<!\\+)(?:\\+[0-9]{1,3}[ .-]?)?(?:\\([0-9]{2,4}\\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-][0-9]{3,4}(?![0-9A-Za-z])"),
+    "phone": ("[0-9(+]", f"(?<!\\+)(?:{'|'.join(_PHONES)})(?![0-9A-Za-z])"),
     "name": ("[A-Zг]", f"(?<!\\p{{L}})(?:{'|'.join(sorted(_MALE + _FEMALE, key=len, reverse=True))})\\.? {_NAME}(?: {_NAME})?"),
 }
 #: One look at the character before and one at the first character leave most positions of a text at once.
@@ -37,7 +48,7 @@ def _digits(s: Column) -> Column:
 def kind_of(e: Column) -> Column:
     return (
         F.when(F.contains(e, F.lit("@")), "email").when(e.rlike("^[A-Z]{2}[0-9]{2}"), "iban").when(e.rlike("^\\p{L}"), "name")
-        .when(e.rlike("^[0-9]{1,3}(?:\\.[0-9]{1,3}){3}$"), "ip").when(e.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
+        .when(e.rlike(f"^(?:{_OCTET}\\.){{3}}{_OCTET}$"), "ip").when(e.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when((F.length(_digits(e)) >= 13) & ~e.rlike("^[+(]"), "card").otherwise("phone")
     )
 
@@ -56,7 +67,9 @@ def identities(e: Column) -> Column:
     given, family = F.lower(F.get(parts, F.lit(1))), F.lower(F.element_at(parts, -1))
     family_of = one(F.concat(F.lit("family:"), _script(family)), family)
     given_of = one(F.concat(F.lit("given:"), gender, F.lit(":"), _script(given)), given)
-    country = F.regexp_extract(e, "^\\+([0-9]{1,3})[ .(-]", 1)
+    # The code by the numbering plan, or what is set off if that is shorter.
+    planned, apart = F.regexp_extract(_digits(e), f"^(?:{_COUNTRY})", 0), F.regexp_extract(e, "^\\+([0-9]{1,3})[ ./(-]", 1)
+    country = F.when(~F.startswith(e, F.lit("+")), "").when(apart.isNotNull() & (apart != "") & (F.length(apart) < F.length(planned)), apart).otherwise(planned)
     canon = (
         F.when(kind == "email", F.lower(e)).when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(kind == "ip", e)
         .when(kind == "phone", F.concat(country, F.lit(":"), F.substr(_digits(e), F.length(country) + 1))).otherwise(_digits(e))
@@ -104,7 +117,7 @@ def surrogate(kind: Column, canon: Column, tries: Column, key: str) -> Column:
     host = F.translate(F.substr(F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256), F.lit(1), F.lit(12)), "0123456789", "ghijklmnop")
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(_byte(digest, i), F.lit(254)) + 1).cast("string")), ".")
     country, rest = F.split_part(canon, F.lit(":"), F.lit(1)), F.split_part(canon, F.lit(":"), F.lit(2))
-    first = _pick("23456789", _byte(digest, F.lit(31)))
+    first, trunk = _pick("23456789", _byte(digest, F.lit(31))), F.regexp_extract(rest, "^0{0,2}", 0)
     card = _luhn(F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(_mapped(canon, digest), F.lit(2), F.length(canon) - 2)))
     size = F.greatest(F.lit(4), F.length(canon)) + tries
 
@@ -121,7 +134,7 @@ def surrogate(kind: Column, canon: Column, tries: Column, key: str) -> Column:
         .when(kind == "iban", F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.substr(_mapped(canon, digest), F.lit(3))))
         .when(kind == "ip", octets).when(kind == "card", card)
         .when(kind == "ssn", F.concat(F.lit("9"), F.substr(_mapped(canon, digest), F.lit(2))))
-        .when(kind == "phone", F.concat(country, F.lit(":"), first, F.substr(_mapped(rest, digest), F.lit(2)))).otherwise(names)
+        .when(kind == "phone", F.concat(country, F.lit(":"), trunk, first, F.substr(_mapped(rest, digest), F.length(trunk) + 2))).otherwise(names)
     )
 
 
@@ -173,7 +186,9 @@ def with_surrogates(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str
 
     A surrogate is a keyed function of what an occurrence refers to, not of its spelling: digits of a phone, lower-cased
     address, given and family name by themselves. So the same person or number gets the same surrogate everywhere, in the
-    occurrence's own format: separators, country code, number of digits, title, gender of the given name and script stay.
+    occurrence's own format: separators, country code, leading zero, number of digits, title, gender of the given name and script stay.
+    Phones are those of ``_PHONES``; bare digits without '+', leading 0, brackets or the groups there could be any number and
+    aren't taken for one. A number written with its country code and without, or with a '(0)' in it, counts as two.
     Cards get a valid check digit, social security numbers an area that is never issued, addresses a reserved domain.
     Distinctness over the whole table is checked on the distinct identities, and the few that collide are tried anew.
 

@@ -199,6 +199,24 @@ def test_surrogates(spark, corpus):
     assert pii_surrogates.with_surrogates(docs.limit(0), "k").count() == 0
 
 
+def test_phone_shapes(spark, corpus):
+    same = ["+14155550123", "+1 4155550123", "+1 (415) 555-0123", "+1.415.555.0123"]
+    phones = same + ["+44 20 7946 0958", "+33 6 12 34 56 78", "+33612345678", "+49 (0)30 123456", "+7 495 123-45-67", "06 12 34 56 78", "06.12.34.56.78", "0612345678",
+                     "030 12345678", "030/12345678", "(030) 12345678", "(06) 12 34 56 78", "0171-1234567", "020 7946 0958", "555-1234", "389-555-5010", "030.12.34.567"]
+    others = ["am 01.02.2024 08:30 Uhr", "01-02-2024 12", "in 2024-01-02", "(2010) 12 3456", "0.123456789", "1234567890", "2010-2024", "pages 555-12", "0123456789abcdef", "+12 apples"]
+    texts = [f"call {p}, now" for p in phones] + others
+    got = {r["doc_id"]: r for r in pii_surrogates.with_surrogates(corpus(texts), "k").collect()}
+    digits = []
+    for i, p in enumerate(phones):
+        new = re.fullmatch("call (.*), now", got[i]["text"])[1]
+        assert got[i]["n_entities"] == 1 and new != p and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", p), (p, new)
+        assert new[:2] == p[:2] if p[0] == "0" and p[1] == "0" else new[0] == p[0] or p[0] not in "0+(", (p, new)
+        digits.append(re.sub("[^0-9]", "", new))
+    assert len(set(digits[:4])) == 1 and digits[5] == digits[6] and digits[9] == digits[10] == digits[11]
+    assert [digits[i][:2] for i in (4, 5, 7)] == ["44", "33", "49"] and digits[0][0] == "1" and digits[8][0] == "7"
+    assert [got[i]["text"] for i in range(len(phones), len(texts))] == others
+
+
 def test_collisions_are_tried_anew(spark, monkeypatch, corpus):
     real = pii_surrogates.surrogate
 
