@@ -41,12 +41,17 @@ class Encoder:
     characters, so a text is cut at its spaces (a space goes with what follows), each distinct piece is encoded once by the
     tokenizers library, and the pieces' ids are joined. Where a piece is empty or has white space at an end, the cut there
     would not be such a place: the text is then cut by ``_GAP`` at those that are.
+
+    With ``added`` the vocabulary's added tokens, such as '<|endoftext|>', are one id where a text spells them out, as the
+    library has it; such a text is encoded whole. Without, they are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        spelled = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.holds_added = re.compile("|".join(map(re.escape, spelled))).search if spelled else lambda text: None
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes | None] = {}
@@ -76,6 +81,14 @@ class Encoder:
                 yield data[low:high]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = {i for i, t in enumerate(texts) if self.holds_added(t)}
+        if whole:
+            rest = iter(self._encode_cut([t for i, t in enumerate(texts) if i not in whole]))
+            apart = iter(self._ids([texts[i] for i in sorted(whole)]))
+            return [next(apart if i in whole else rest) for i in range(len(texts))]
+        return self._encode_cut(texts)
+
+    def _encode_cut(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
         known, cut = self.known, [t.split(" ") for t in texts]
@@ -98,14 +111,14 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """One for each Python worker, which Spark uses for many tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = Encoder(path, added)
+    return _ENCODERS[path, added]
 
 
 # Files. A shard is its payload, the ids one after the other, then for each record its key and number of ids (int64 each),
@@ -132,8 +145,8 @@ class _NewFile:
         self.fs.move(self.temporary, self.final)
 
 
-def _write_shards(folder: str, vocabulary: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shard, enc, file, keys, counts = TaskContext.get().partitionId(), encoder(vocabulary), None, [], []
+def _write_shards(folder: str, vocabulary: str, end_id: int, added: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shard, enc, file, keys, counts = TaskContext.get().partitionId(), encoder(vocabulary, added), None, [], []
     end = np.array([end_id], enc.dtype).tobytes()
     for batch in batches:
         for low in range(0, batch.num_rows, TEXTS_AT_ONCE):
@@ -298,20 +311,22 @@ def _segment(n: int):
 
 
 def write_store(
-    docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text",
+    added: bool = False,
 ) -> dict:
     """Encode all texts, write shards in ascending doc_id order and the index; returns the manifest, also in ``folder``.
 
     Documents are range-shuffled by key as text (smaller than its ids); each task encodes its range and streams it to its
     shard. Ids take two bytes where the vocabulary allows. The result depends on the data only, so a task that runs again
     writes the same file. Null texts are empty, null doc_ids get ``NULL_KEY``; records of one key are neighbours in one
-    shard, and the index has the key once with their number. An empty table gives a store without shards.
+    shard, and the index has the key once with their number. ``added`` encodes the vocabulary's added tokens as the library
+    does by itself, and so do the query and the stage; without it they are plain text (see ``Encoder``). An empty table gives a store without shards.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "body")
     schema = "key long, shard long, record long, first long, n_tokens long"
-    records = staged(ordered.mapInArrow(partial(_write_shards, folder, vocabulary, end_id), schema), "records")
+    records = staged(ordered.mapInArrow(partial(_write_shards, folder, vocabulary, end_id, added), schema), "records")
     keys = records.groupBy("key").agg(F.min("shard").alias("shard"), F.min("record").alias("record"), F.count(F.lit(1)).alias("records"))
     keys = staged(keys, "keys")
     segments = max(1, -(-keys.count() // KEYS_PER_SEGMENT))
@@ -320,7 +335,7 @@ def write_store(
     bases = records.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select(
         "shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     bases.write.parquet(f"{folder}/shards.parquet")
-    manifest = {"segments": segments, "vocabulary": vocabulary.rsplit("/", 1)[-1], "end_id": end_id}
+    manifest = {"segments": segments, "vocabulary": vocabulary.rsplit("/", 1)[-1], "end_id": end_id, "added": added}
     fs, root = _place(folder)
     with fs.open_output_stream(f"{root}/manifest.json") as out:
         out.write(json.dumps(manifest).encode())
@@ -373,7 +388,7 @@ def read_store(keys: DataFrame, folder: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Write the documents as a token store in the shared folder and read every one back through the index."""
     store = shared_folder(spark, "tokens")
-    write_store(docs, store)
+    write_store(docs, store, added=True)
     keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key")).distinct()
     return read_store(keys, store)
 

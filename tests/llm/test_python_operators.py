@@ -237,6 +237,21 @@ def test_token_store_round_trip(spark, corpus):
     assert token_store.read_store(keys.limit(0), empty).count() == 0
 
 
+def test_added_tokens_are_encoded_as_the_library_does(spark, corpus):
+    plain = Tokenizer.from_file(token_store.VOCABULARY)
+    texts = [t or "" for t in TEXTS] + ["<|endoftext|>", "a <|endoftext|>b c", "a<|endoftext|> b", "a b\n<|endoftext|>\n c", "<|endoftext|", "<|endoftext |>", "plain text after it"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[len(TEXTS)] == [50256]
+    got = token_store.encoder(token_store.VOCABULARY, added=True).encode(texts)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == want
+    assert token_store.encoder(token_store.VOCABULARY, added=True).encode(texts[:2]) == got[:2]
+    stored = sorted((tuple(r) for r in token_store.stage(spark, corpus(texts), "").collect()), key=lambda r: r[0])
+    at = 0
+    for i, ids in enumerate(want):
+        assert stored[i] == (i, at, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes()))
+        at += len(ids) + 1
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(7).integers(-(2**62), 2**62, 20_000))
     function = token_store.PerfectHash.build(keys)
