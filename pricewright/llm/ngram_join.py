@@ -257,7 +257,13 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each class, that with the smallest doc_id; rows without doc_id stay."""
+    """One document of each class, that with the smallest doc_id; rows without doc_id stay.
+
+    Of rows that repeat a doc_id the one with the smallest text stays (then by the other columns) and the others go, also
+    where their texts differ, as later stages take a doc_id for one document.
+    """
     first = near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("_first_id")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_first_id"], "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first, docs["doc_id"] == first["_first_id"], "left_semi")
+    kept = kept.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_row"))
+    kept = kept.select(*["doc_id" if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
     return kept.union(docs.where(F.col("doc_id").isNull()))

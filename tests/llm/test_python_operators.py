@@ -94,6 +94,14 @@ def test_ngram_join_odd_rows(spark, corpus):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_stage_keeps_one_row_of_a_repeated_id_whatever_the_partitions(spark, corpus):
+    rows = [(7, t, None, s) for t, s in (("x y z x y z x", "b"), ("a b c d e f", "c"), ("a b c d e f", "a"), ("m n o p q r", "d"))] + [(8, "u v w u v w", None, "e")]
+    for order in (rows, rows[::-1]):
+        docs = corpus(order).coalesce(1)
+        kept = ngram_join.stage(spark, docs, "")
+        assert kept.columns == docs.columns and sorted((r["doc_id"], r["text"], r["source"]) for r in kept.collect()) == [(7, "a b c d e f", "a"), (8, "u v w u v w", "e")]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5001 + i) for i in range(50)]
