@@ -1,7 +1,7 @@
 from decimal import Decimal
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from pricewright.catalog import TABLES

@@ -1,7 +1,7 @@
 from decimal import Decimal
 
 import pytest
-from conftest import rows, write_xlsx
+from helpers import rows, write_xlsx
 from pyspark.sql import functions as F
 
 from pricewright.operators import headers, reshape

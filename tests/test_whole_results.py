@@ -4,7 +4,7 @@ import random
 import re
 
 import pytest
-from conftest import rows, write_xlsx
+from helpers import rows, write_xlsx
 from pyspark.sql import functions as F
 
 from pricewright.operators import headers, intervals, ordering, quality, reshape
