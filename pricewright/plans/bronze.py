@@ -25,8 +25,6 @@ class BronzeOptions:
     first_year: int | None = None
     last_year: int | None = None
     fallback_year: int = 2024
-    width: int | None = None
-    multi_line: bool = False
     keys_per_table: bool = False
 
     @classmethod
@@ -34,10 +32,10 @@ class BronzeOptions:
         return cls(benefits=True, fallback_year=2023)
 
 
-def read_folder(spark: SparkSession, root: str, options: BronzeOptions = BronzeOptions()) -> DataFrame:
+def read_folder(spark: SparkSession, root: str) -> DataFrame:
     """Cells of all readable files below ``root``; only the kinds of file that occur are read."""
     present = {r[0] for r in files.discover(spark, root).select("extension").distinct().collect()}
-    parts = [delimited.read_cells(spark, root, e, options.width, options.multi_line) for e in ("csv", "tsv") if e in present]
+    parts = [delimited.read_cells(spark, root, e) for e in ("csv", "tsv") if e in present]
     if "xlsx" in present:
         parts.append(workbook.read_cells(spark, root))
     if not parts:

@@ -69,7 +69,7 @@ def test_discovery_and_priority(spark, folder):
 
 
 def test_delimited_cells(spark, folder):
-    got = delimited.read_cells(spark, folder, "csv", 20).filter("file = 'long_tx.csv'").orderBy("block", "seq").collect()
+    got = delimited.read_cells(spark, folder, "csv").filter("file = 'long_tx.csv'").orderBy("block", "seq").collect()
     assert [len(r.cells) for r in got] == [6, 5, 6, 5, 5, 5]
     assert got[1].cells[0] == "Acme, Inc" and got[3].cells[3] is None and got[5].cells[0] is None
     assert got[1].is_text == [True, True, False, False, False]
@@ -80,7 +80,7 @@ def test_rows_keep_their_order_over_file_splits(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        cells = delimited.read_cells(spark, str(tmp_path), "csv", 5)
+        cells = delimited.read_cells(spark, str(tmp_path), "csv")
         assert cells.rdd.getNumPartitions() > 4
         ordered = [r.cells[0] for r in cells.orderBy("block", "seq").collect()]
         assert ordered == ["n"] + [str(i) for i in range(20000)]
@@ -131,7 +131,7 @@ def test_sheet_sampling(spark):
 
 
 def test_folder_to_dashboard(spark, folder, tmp_path):
-    cells = bronze.read_folder(spark, folder, bronze.BronzeOptions(width=20))
+    cells = bronze.read_folder(spark, folder)
     records, misses = bronze.extract(cells, all_decisions(spark))
     assert [r[:2] for r in rows(misses.select("file", "sheet"))] == [("absent.xlsx", "S"), ("entities.xlsx", "dist 99")]
     per_sheet = {(r.file, r.sheet): r.n for r in records.groupBy("file", "sheet").agg(F.count("*").alias("n")).collect()}

@@ -3,7 +3,6 @@
 import random
 import re
 
-import pytest
 from helpers import rows, write_xlsx
 from pyspark.sql import functions as F
 
@@ -34,10 +33,9 @@ def test_positions_hold_when_the_file_layout_changes(spark, tmp_path):
     assert len(results[0]) == sum(sizes) == 4200 and results[0] == results[1]
 
 
-@pytest.mark.parametrize("multi_line", [False, True])
-def test_wide_files_keep_all_cells(spark, tmp_path, multi_line):
+def test_wide_files_keep_all_cells(spark, tmp_path):
     (tmp_path / "w.csv").write_text(",".join(f"c{i}" for i in range(700)) + "\n" + ",".join(str(i) for i in range(700)) + '\n"a,b",x\n')
-    cells = delimited.read_cells(spark, str(tmp_path), "csv", multi_line=multi_line).orderBy("seq").collect()
+    cells = delimited.read_cells(spark, str(tmp_path), "csv").orderBy("seq").collect()
     assert [len(r.cells) for r in cells] == [700, 700, 2] and cells[1].cells[699] == "699" and cells[2].cells[0] == "a,b"
     header = headers.sheet_summary(spark.createDataFrame(cells)).first().header
     assert len(header) == 700 and header[699] == "c699"
