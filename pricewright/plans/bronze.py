@@ -43,6 +43,11 @@ def read_folder(spark: SparkSession, root: str) -> DataFrame:
     return union_records(parts)
 
 
+def problems(spark: SparkSession, root: str) -> DataFrame:
+    """(file, sheet, error) of the workbooks and sheets below ``root`` that ``read_folder`` could not read."""
+    return workbook.problems(spark, root)
+
+
 def extract(cells: DataFrame, decisions: DataFrame, options: BronzeOptions = BronzeOptions()) -> tuple[DataFrame, DataFrame]:
     """(records of all tables, decisions that matched no sheet).
 

@@ -1,26 +1,35 @@
-"""Workbooks (xlsx) as grids of text cells."""
+"""Workbooks (xlsx) as grids of text cells: a data source with one partition per file and sheet."""
 
 from __future__ import annotations
 
-import io
+import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from datetime import datetime, timedelta
-from xml.etree.ElementTree import iterparse
+from xml.etree.ElementTree import ParseError, iterparse
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .files import plain_path, relative
 from .delimited import MISSING
 
-SCHEMA = "path string, sheet string, sheet_index int, block long, seq long, cells array<string>, is_text array<boolean>"
+SCHEMA = "file string, sheet string, sheet_index int, block long, seq long, cells array<string>, is_text array<boolean>, error string"
 
-# Built-in number formats that show dates.
+# Built-in number formats that show dates, and the days that serial numbers count from.
 DATE_FORMAT_IDS = frozenset([*range(14, 23), *range(45, 48)])
+EPOCHS = {False: datetime(1899, 12, 30), True: datetime(1904, 1, 1)}
 ROWS_PER_BATCH = 2000
+#: Workbooks whose lists of sheets are read at a time while the read is planned.
+PLANNERS = 16
+#: What a damaged file or sheet raises; anything else, such as a lost connection, fails the task, which Spark tries again.
+DAMAGE = (zipfile.BadZipFile, zlib.error, ParseError, KeyError, IndexError, ValueError, EOFError, NotImplementedError, RuntimeError, StopIteration)
 
 
 def _local(tag: str) -> str:
@@ -57,21 +66,23 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
     return {i for i, n in enumerate(styles) if n in DATE_FORMAT_IDS or custom.get(n)}
 
 
-def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
-    """(name, part) in workbook order."""
+def _sheets(book: zipfile.ZipFile) -> tuple[list[tuple[str, str]], bool]:
+    """(name, part) in workbook order, and whether dates count from 1904."""
     targets = {}
     with book.open("xl/_rels/workbook.xml.rels") as f:
         for _, el in iterparse(f):
             if _local(el.tag) == "Relationship":
                 t = el.get("Target")
                 targets[el.get("Id")] = t.lstrip("/") if t.startswith("/") else "xl/" + t
-    out = []
+    out, late = [], False
     with book.open("xl/workbook.xml") as f:
         for _, el in iterparse(f):
             if _local(el.tag) == "sheet":
                 rid = next(v for k, v in el.attrib.items() if _local(k) == "id")
-                out.append((el.get("name"), targets[rid]))
-    return out
+                out.append((el.get("name"), targets.get(rid, "")))
+            elif _local(el.tag) == "workbookPr":
+                late = el.get("date1904", "0").lower() in ("1", "true")
+    return out, late
 
 
 def _column(ref: str) -> int:
@@ -83,7 +94,7 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def _value(cell, strings: list[str], dates: set[int]) -> tuple[str | None, bool]:
+def _value(cell, strings: list[str], dates: set[int], epoch: datetime) -> tuple[str | None, bool]:
     kind = cell.get("t", "n")
     if kind == "inlineStr":
         text = "".join(t.text or "" for t in cell.iter() if _local(t.tag) == "t")
@@ -97,12 +108,14 @@ def _value(cell, strings: list[str], dates: set[int]) -> tuple[str | None, bool]
     if kind == "b":
         return ("True" if raw == "1" else "False"), False
     if kind == "n" and int(cell.get("s", 0)) in dates:
-        moment = datetime(1899, 12, 30) + timedelta(days=float(raw))
-        return moment.strftime("%Y-%m-%d %H:%M:%S"), False
+        try:
+            return (epoch + timedelta(days=float(raw))).strftime("%Y-%m-%d %H:%M:%S"), False
+        except OverflowError:  # no day a calendar has: the number stays
+            return raw, False
     return raw, False
 
 
-def _rows(book: zipfile.ZipFile, part: str, strings: list[str], dates: set[int]) -> Iterator[tuple[int, list[str | None], list[bool]]]:
+def _rows(book: zipfile.ZipFile, part: str, strings: list[str], dates: set[int], epoch: datetime) -> Iterator[tuple[int, list[str | None], list[bool]]]:
     with book.open(part) as f:
         at = -1
         for _, el in iterparse(f):
@@ -118,50 +131,133 @@ def _rows(book: zipfile.ZipFile, part: str, strings: list[str], dates: set[int])
                 while len(cells) < where:
                     cells.append(None)
                     texts.append(False)
-                value, text = _value(c, strings, dates)
+                value, text = _value(c, strings, dates, epoch)
                 cells.append(value)
                 texts.append(text)
             el.clear()
             yield at, cells, texts
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
+@dataclass
+class Sheet(InputPartition):
+    """One sheet of one file; without a part the file itself is damaged."""
+
+    path: str
+    file: str
+    name: str | None = None
+    index: int | None = None
+    part: str | None = None
+    late: bool = False
+    error: str | None = None
+
+
+def _told(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"
+
+
+def _filesystem(root: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    if "://" in root:
+        return pyarrow.fs.FileSystem.from_uri(root)
+    return pyarrow.fs.LocalFileSystem(), root.removeprefix("file:")
+
+
+class WorkbookReader(DataSourceReader):
+    def __init__(self, root: str):
+        self.root = root
+
+    def partitions(self) -> list[Sheet]:
+        """One per sheet, from the workbooks' directories alone; names that Spark's own listing leaves out are left out here."""
+        fs, base = _filesystem(self.root)
+        single = fs.get_file_info(base).type == pyarrow.fs.FileType.File
+        found = [fs.get_file_info(base)] if single else fs.get_file_info(pyarrow.fs.FileSelector(base, recursive=True))
+        books = []
+        for info in found:
+            file = posixpath.basename(info.path) if single else posixpath.relpath(info.path, base)
+            if info.type == pyarrow.fs.FileType.File and file.endswith(".xlsx") and not any(part[0] in "~._" for part in file.split("/")):
+                books.append((info.path, file))
+
+        def sheets(book: tuple[str, str]) -> list[Sheet]:
+            path, file = book
             try:
-                book = zipfile.ZipFile(io.BytesIO(content))
-                strings, dates, sheets = _shared_strings(book), _date_styles(book), _sheets(book)
-            except (zipfile.BadZipFile, KeyError):
-                continue  # not a workbook: reported by `unreadable`
-            rows = []
-            for i, (sheet, part) in enumerate(sheets):
-                if part not in book.namelist() or "worksheets" not in part:
-                    continue
-                for at, cells, texts in _rows(book, part, strings, dates):
-                    rows.append((path, sheet, i, 0, at, cells, texts))
-                    if len(rows) >= ROWS_PER_BATCH:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                with fs.open_input_file(path) as f, zipfile.ZipFile(f) as z:
+                    listed, late = _sheets(z)
+            except DAMAGE as e:
+                return [Sheet(path, file, error=_told(e))]
+            # Charts and dialogs have no cells.
+            return [Sheet(path, file, name, i, part, late) for i, (name, part) in enumerate(listed) if not part or "worksheets" in part]
 
+        with ThreadPoolExecutor(PLANNERS) as pool:
+            return [s for group in pool.map(sheets, sorted(books)) for s in group]
 
-def read_cells(spark: SparkSession, root: str) -> DataFrame:
-    """Cells of every sheet of every xlsx file below ``root``, plus ``sheet_index`` (from 0).
+    def read(self, sheet: Sheet) -> Iterator[pa.RecordBatch]:
+        """Rows of a sheet in small batches, or one row that tells its damage: every cell is read once before the first row leaves."""
+        if sheet.error is None:
+            fs, _ = _filesystem(self.root)
+            with fs.open_input_file(sheet.path) as f:
+                try:
+                    with zipfile.ZipFile(f) as book:
+                        known = _shared_strings(book), _date_styles(book), EPOCHS[sheet.late]
+                        for _ in _rows(book, sheet.part, *known):
+                            pass
+                        yield from self._batches(sheet, _rows(book, sheet.part, *known))
+                        return
+                except DAMAGE as e:
+                    sheet.error = _told(e)
+        yield self._batch(sheet, [(None, None, None)])
+
+    def _batches(self, sheet: Sheet, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for row in rows:
+            held.append(row)
+            if len(held) >= ROWS_PER_BATCH:
+                yield self._batch(sheet, held)
+                held = []
+        if held:
+            yield self._batch(sheet, held)
 
-    A workbook is one zip file and is read by one task; it holds at most about a million rows per sheet. Rows leave the
-    task in small batches. Dates come out as text, numbers as written, formula results as stored.
+    def _batch(self, sheet: Sheet, rows: list[tuple]) -> pa.RecordBatch:
+        seq, cells, texts = zip(*rows)
+        n = len(rows)
+        return pa.RecordBatch.from_arrays([
+            pa.array([sheet.file] * n, pa.string()), pa.array([sheet.name] * n, pa.string()), pa.array([sheet.index] * n, pa.int32()),
+            pa.array([0] * n, pa.int64()), pa.array(seq, pa.int64()), pa.array(cells, pa.list_(pa.string())),
+            pa.array(texts, pa.list_(pa.bool_())), pa.array([sheet.error] * n, pa.string()),
+        ], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+
+class WorkbookSource(DataSource):
+    """``spark.read.format("workbook").load(folder)``; the folder may be local or any store that pyarrow reads."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "workbook"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> WorkbookReader:
+        return WorkbookReader(self.options["path"])
+
+
+def read_sheets(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of every sheet of every xlsx file below ``root``; of damaged files and sheets one row each, with ``error``.
+
+    A task reads one sheet; all it holds is the workbook's shared strings. A damaged sheet gives no cells, the others of
+    its file are read. Dates come out as text, counted from 1904 where the workbook says so, numbers as written, formula
+    results as stored.
     """
-    books = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xlsx").load(root).select("path", "content")
-    )
-    parsed = books.mapInPandas(_parse, SCHEMA)
-    path = plain_path(F.col("path"))
-    name = F.element_at(F.split("file", "/"), -1)
-    return parsed.select(relative(path, root).alias("file"), "sheet", "sheet_index", "block", "seq", "cells", "is_text").filter(
-        ~name.startswith("~") & ~name.startswith(".")
-    )
+    spark.dataSource.register(WorkbookSource)
+    return spark.read.format("workbook").load(root)
+
+
+def read_cells(spark: SparkSession, root: str) -> DataFrame:
+    """Cells of every readable sheet, plus ``sheet_index`` (from 0)."""
+    return read_sheets(spark, root).where(F.col("error").isNull()).drop("error")
+
+
+def problems(spark: SparkSession, root: str) -> DataFrame:
+    """(file, sheet, error) of damaged sheets, and of damaged files with a null sheet."""
+    return read_sheets(spark, root).where(F.col("error").isNotNull()).select("file", "sheet", "error")
 
 
 def unreadable(files: DataFrame, cells: DataFrame) -> DataFrame:
