@@ -7,6 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,8 +20,8 @@ MIN_COUNT = 30
 #: A candidate goes where one that holds it has this share of its occurrences.
 COVERED = 0.8
 TOP = 2000
-#: Words whose n-grams are counted together in a task.
-CHUNK_WORDS = 1 << 20
+#: Bytes of text whose n-grams are counted together in a task.
+CHUNK_BYTES = 1 << 23
 #: Bits of the set of frequent fingerprints that a pass ships to its tasks: a bound on its size. With more fingerprints than
 #: bits the set lets more rare n-grams through to the shuffle, which then drops them; results stay the same.
 FILTER_BITS = 1 << 26
@@ -36,6 +37,18 @@ def pieces(text: str | None) -> list[list[bytes]]:
     return [p.split() for p in folded.split(b"\n")]  # of bytes' white space only blanks are left
 
 
+def _tokens(folded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each word, hash of each number, words of each piece, words of each text) of many folded texts at once."""
+    texts = pc.split_pattern(pa.array(folded, pa.large_binary()).cast(pa.large_string()), "\n")
+    split = pc.ascii_split_whitespace(texts.values)
+    there = pc.greater(pc.binary_length(split.values), 0)
+    upto = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])
+    ends = upto[split.offsets.to_numpy()]
+    coded = split.values.filter(there).dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    return coded.indices.to_numpy().astype(np.int64), hashes, np.diff(ends), np.diff(ends[texts.offsets.to_numpy()])
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -65,79 +78,78 @@ def _allowed(prints: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-_COUNTED = "fp long, n long, lang string, t1 long, t2 long, at int"
+_COUNTED = "words int, fp long, n long, lang string, t1 long, t2 long, at int"
 
 
-def _count(length: int, frequent: Broadcast | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-grams of one length with their counts, each with a pointer to one occurrence: text and number of its first word.
+def _count(lengths: tuple[int, ...], frequent: Broadcast | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams of some lengths with their counts, each with a pointer to one occurrence: text and number of its first word.
 
-    From two words on only n-grams both of whose parts, shorter by a word, are in ``frequent`` are counted. Occurrences
-    that share a fingerprint with a first one but not its words leave as rows of their own.
+    With ``frequent``, only n-grams all of whose parts one word shorter than the least length are in it are counted.
+    Occurrences that share a fingerprint with a first one but not its words or language leave as rows of their own.
     """
-    schema = pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("lang", pa.string()), ("t1", pa.int64()), ("t2", pa.int64()), ("at", pa.int32())])
-    bits = np.frombuffer(frequent.value, np.uint8) if frequent else None
-    vocabulary: dict[bytes, int] = {}
-    ids: list[int] = []
-    rooms: list[int] = []
+    schema = pa.schema([("words", pa.int32()), ("fp", pa.int64()), ("n", pa.int64()), ("lang", pa.string()), ("t1", pa.int64()), ("t2", pa.int64()), ("at", pa.int32())])
+    bits, part = np.frombuffer(frequent.value, np.uint8) if frequent else None, min(lengths) - 1
     texts: list[tuple] = []
 
     def flush():
-        known = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
-        word, sizes = np.array(ids, np.int64), np.array(rooms, np.int64)
-        hashes = known[word]
-        room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(word))  # words left in the piece
-        lengths = np.array([t[3] for t in texts], np.int64)
-        owner, first = np.repeat(np.arange(len(texts)), lengths), np.cumsum(lengths) - lengths
-        langs = [t[0] for t in texts]
-        names = {lang: xxhash.xxh3_64_intdigest(lang) for lang in set(langs)}
-        seeds = np.array([names[lang] for lang in langs], np.uint64)[owner]
-        prints = fingerprints(hashes, seeds, length)
-        good = room[: len(prints)] >= length
-        if bits is not None:
-            inner = _allowed(fingerprints(hashes, seeds, length - 1), bits)
-            good &= inner[: len(prints)] & inner[1 : len(prints) + 1]
-        where = np.flatnonzero(good)
-        values = prints[where]
-        order = np.argsort(values, kind="stable")
-        where, values = where[order], values[order]
-        new = np.r_[True, values[1:] != values[:-1]] if len(values) else np.zeros(0, bool)
-        lead = where[np.flatnonzero(new)][np.cumsum(new) - 1] if len(values) else where
-        differs = np.zeros(len(where), bool)
-        for i in range(length):
-            differs |= word[where + i] != word[lead + i]
-        language = np.unique(langs, return_inverse=True)[1][owner]
-        differs |= language[where] != language[lead]
-        starts = np.flatnonzero(new)
-        counts = np.add.reduceat((~differs).astype(np.int64), starts) if len(starts) else starts
-        rows, counts = np.concatenate([where[starts], where[differs]]), np.concatenate([counts, np.ones(differs.sum(), np.int64)])
-        prints = np.concatenate([values[starts], values[differs]])
-        text = owner[rows]
-        columns = [
-            pa.array(prints.view(np.int64)), pa.array(counts), pa.array(langs, pa.string()).take(pa.array(text)),
-            pa.array(np.array([t[1] for t in texts], np.int64)[text]), pa.array(np.array([t[2] for t in texts], np.int64)[text]),
-            pa.array((rows - first[text]).astype(np.int32)),
-        ]
-        for held in (vocabulary, ids, rooms, texts):
-            held.clear()
-        whole = pa.RecordBatch.from_arrays(columns, schema=schema)
-        for i in range(0, len(whole), 1 << 16):
-            yield whole.slice(i, 1 << 16)
-
+        langs, folded, t1, t2 = zip(*texts)
+        word, known, pieces_of, words_of = _tokens(folded)
+        hashes, first = known[word], np.cumsum(words_of) - words_of
+        room = np.repeat(np.cumsum(pieces_of), pieces_of) - np.arange(len(word))  # words left in the piece
+        owner = np.repeat(np.arange(len(texts)), words_of)
+        names, language = np.unique(langs, return_inverse=True)
+        named, pointers = pa.array(names.tolist(), pa.string()), [np.array(t, np.int64) for t in (t1, t2)]
+        seeds = np.array([xxhash.xxh3_64_intdigest(lang) for lang in names.tolist()], np.uint64)[language][owner]
+        inner = _allowed(fingerprints(hashes, seeds, part), bits) if frequent else None
+        for length in lengths:
+            prints = fingerprints(hashes, seeds, length)
+            good = room[: len(prints)] >= length
+            for i in range(length - part + 1 if frequent else 0):
+                good &= inner[i : i + len(prints)]
+            where = np.flatnonzero(good)
+            where = where[np.argsort(prints[where], kind="stable")]
+            if not len(where):
+                continue
+            new = np.r_[True, prints[where[1:]] != prints[where[:-1]]]
+            lead = where[np.flatnonzero(new)][np.cumsum(new) - 1]
+            differs = language[owner[where]] != language[owner[lead]]
+            for i in range(length):
+                differs |= word[where + i] != word[lead + i]
+            counts = np.add.reduceat((~differs).astype(np.int64), np.flatnonzero(new))
+            rows = np.concatenate([where[new], where[differs]])
+            order = np.argsort(rows)  # by text, so that pointers are small in columns
+            rows, counts = rows[order], np.concatenate([counts, np.ones(differs.sum(), np.int64)])[order]
+            text = owner[rows]
+            for i in range(0, len(rows), 1 << 16):
+                cut, of = rows[i : i + (1 << 16)], text[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(cut), length, np.int32)), pa.array(prints[cut].view(np.int64)), pa.array(counts[i : i + (1 << 16)]),
+                    named.take(pa.array(language[of])), pa.array(pointers[0][of]), pa.array(pointers[1][of]),
+                    pa.array((cut - first[of]).astype(np.int32)),
+                ], schema=schema)
+        texts.clear()
+
+    size = 0
     for batch in batches:
         langs, t1, t2 = (batch.column(i).to_pylist() for i in (0, 2, 3))
         for i, text in enumerate(batch.column(1)):
-            found, before = [p for p in pieces(text.as_py()) if p], len(ids)
-            for piece in found:
-                ids.extend([vocabulary.setdefault(w, len(vocabulary)) for w in piece])
-            rooms.extend(map(len, found))
-            if len(ids) > before:
-                texts.append((langs[i], t1[i], t2[i], len(ids) - before))
-            if len(ids) > CHUNK_WORDS:
+            folded = (text.as_py() or "").encode("utf-8", "replace").translate(_FOLD)
+            texts.append((langs[i], folded, t1[i], t2[i]))
+            size += len(folded)
+            if size > CHUNK_BYTES:
                 yield from flush()
-    if ids:
+                size = 0
+    if texts:
         yield from flush()
 
 
+def _in_set(frequent: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose fingerprint may be frequent."""
+    bits = np.frombuffer(frequent.value, np.uint8)
+    for batch in batches:
+        yield batch.filter(pa.array(_allowed(batch.column(1).to_numpy().view(np.uint64), bits)))
+
+
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words at each pointer of a text."""
     schema = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
@@ -170,24 +182,27 @@ def frequent_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): (lang, words, phrase, f) of all phrases with ``min_count`` occurrences, and (lang, n) of all words.
 
-    One pass over the texts per phrase length: tasks hash every n-gram from prefix polynomials, count those whose two parts
-    were frequent in the pass before, and the shuffle adds up counts by fingerprint. Every counted row points to one
-    occurrence that its task compared with all others it counted. The pointers of frequent fingerprints are then joined
-    with the texts, and what stands there is counted by its words: phrases that share a fingerprint are told apart, and
-    no rare phrase is ever written out.
+    Passes over the texts count single words, pairs, and all longer phrases: tasks hash every n-gram from prefix polynomials
+    and count those whose parts were frequent in the pass before, and the shuffle adds up counts by fingerprint. Every
+    counted row points to one occurrence that its task compared with all others it counted. The pointers of frequent
+    fingerprints are then joined with the texts, and what stands there is counted by its words: phrases that share a
+    fingerprint are told apart, and no rare phrase is ever written out.
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     rows = rows.withColumns({"t1": F.xxhash64("lang", "text"), "t2": F.xxhash64(F.lit(7919), "lang", "text")})
     frequent, pointers, totals = None, None, None
-    for length in range(1, longest + 1):
-        counted = staged(rows.mapInArrow(partial(_count, length, frequent), _COUNTED), f"grams{length}")
-        if length == 1:
+    for lengths in [(1,), (2,), tuple(range(3, longest + 1))]:
+        if not lengths or lengths[0] > longest:
+            continue
+        counted = staged(rows.mapInArrow(partial(_count, lengths, frequent), _COUNTED), f"grams{lengths[0]}")
+        if frequent is None:
             totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
-        heavy = staged(counted.groupBy("fp").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count).select("fp"), f"frequent{length}")
-        found = counted.join(heavy.hint("shuffle_hash"), "fp", "left_semi").select("t1", "t2", F.lit(length).alias("words"), "at", "n")
+        heavy = staged(counted.groupBy("fp").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count).select("fp"), f"frequent{lengths[0]}")
+        frequent = _bit_set(heavy, filter_bits)
+        # Nearly all rows end at the set; the few left meet the frequent fingerprints themselves.
+        found = counted.mapInArrow(partial(_in_set, frequent), _COUNTED).join(heavy.hint("shuffle_hash"), "fp", "left_semi")
+        found = found.select("t1", "t2", "words", "at", "n")
         pointers = found if pointers is None else pointers.union(found)
-        if length < longest:
-            frequent = _bit_set(heavy, filter_bits)
     asked = pointers.groupBy("t1", "t2").agg(F.collect_list(F.struct("words", "at", "n")).alias("pointers"))
     texts = rows.groupBy("t1", "t2").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
     shown = texts.join(asked.hint("shuffle_hash"), ["t1", "t2"]).select("lang", "text", "pointers").mapInArrow(_phrases, "lang string, words int, phrase string, n long")
