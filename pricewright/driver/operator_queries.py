@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import BENEFITS_ROUTES, TABLES
 from ..functions import dates, numeric, text
-from ..operators import classify, clean, context, enrich, entities, headers, keys, profile, quality, reshape
+from ..operators import classify, clean, context, date_order, enrich, entities, headers, keys, profile, quality, reshape
 from ..plans import bronze
 from ..sources import files
 from ..sources.tables import merge_into
@@ -42,8 +42,8 @@ def key_case(*pairs, other):
     return out.otherwise(other)
 
 
-def raw_orders(b: Bindings) -> DataFrame:
-    """Orders as a spreadsheet export would hold them: everything is text."""
+def raw_orders(b: Bindings, *more) -> DataFrame:
+    """Orders as a spreadsheet export would hold them: everything is text. ``more`` are further columns."""
     day = F.col("o_orderdate").cast("date")
     return b.raw("orders").select(
         "o_orderkey",
@@ -57,16 +57,41 @@ def raw_orders(b: Bindings) -> DataFrame:
         key_case((6, 0, F.lit("n.a.")), (6, 1, F.lit(None).cast("string")), other=F.col("o_custkey").cast("string")).alias("order_amount"),
         key_case((4, 0, F.lit("  nan ")), (4, 1, F.lit("")), (4, 2, F.concat(F.lit(" "), "o_orderpriority")), other=F.col("o_orderpriority")).alias("note"),
         key_case((7, 0, F.lit("TRUE")), (7, 1, F.lit("1")), (7, 2, F.lit("Yes")), (7, 3, F.lit("false")), (7, 4, F.lit("0")), (7, 5, F.lit("NO")), other=F.lit("maybe")).alias("promotional_flag"),
-        F.col("o_orderstatus").alias("price_tier"),
+        F.col("o_orderstatus").alias("price_tier"), *more,
     )
 
 
+def day_first(other=None):
+    """The order's day as a European sheet writes it, on three of five rows."""
+    day = F.col("o_orderdate").cast("date")
+    return key_case((5, 0, F.date_format(day, "d/M/yyyy")), (5, 1, F.date_format(day, "d.M.yyyy")), (5, 2, F.date_format(day, "dd-MM-yyyy HH:mm")), other=F.lit(other).cast("string"))
+
+
 _DAY = """CASE WHEN o_orderkey % 5 IN (0, 1, 2) THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 5 = 3 THEN DATE '1970-01-01' END"""
 
 
-@register(f"SELECT o_orderkey, CAST({_DAY} AS VARCHAR) AS order_date FROM orders")
+@register(f"""SELECT o_orderkey, CAST({_DAY} AS VARCHAR) AS order_date,
+    CASE WHEN o_orderkey % 5 IN (0, 1, 2) THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS due_date FROM orders""")
 def serial_dates(b):
-    return raw_orders(b).select("o_orderkey", dates.parse_date("order_date").alias("order_date"))
+    both = date_order.with_orders(raw_orders(b, day_first().alias("due_date")), ["order_date", "due_date"], [])
+    return both.select("o_orderkey", *[dates.parse_date(c, order=F.col("_orders")[c]).alias(c) for c in ("order_date", "due_date")])
+
+
+@register("""
+WITH written AS (
+    SELECT o_orderpriority AS file, o_orderkey % 5 AS k, day(CAST(o_orderdate AS DATE)) AS d, month(CAST(o_orderdate AS DATE)) AS m FROM orders WHERE o_orderkey % 5 < 3),
+counts AS (
+    SELECT file, c AS "column", CASE WHEN c = 'order_date' OR k = 0 THEN '/' WHEN k = 1 THEN '.' ELSE '-' END AS separator, d > 12 AS sole, c = 'due_date' AS by_day
+    FROM written, (VALUES ('order_date'), ('due_date')) t(c) WHERE c = 'due_date' OR k = 2)
+SELECT file, "column", separator, count(*) FILTER (sole AND NOT by_day) AS month_only, count(*) FILTER (sole AND by_day) AS day_only,
+    count(*) FILTER (NOT sole) AS either,
+    CASE WHEN max(CASE WHEN by_day THEN 1 ELSE 0 END) = 1 THEN 'day' ELSE 'month' END AS "order"
+FROM counts GROUP BY file, "column", separator""")
+def date_orders(b):
+    rows = raw_orders(b, day_first("no date").alias("due_date"), F.col("o_orderpriority").alias("file"))
+    columns = ["order_date", "due_date"]
+    told = date_order.orders(rows, columns, ["file"]).select("file", "column", "order")
+    return date_order.evidence(rows, columns, ["file"]).join(told, ["file", "column"])
 
 
 @register("SELECT count(*) FILTER (o_orderkey % 5 = 3) AS flagged, count(*) AS rows FROM orders")
@@ -111,13 +136,15 @@ def clean_table(b):
 SELECT 'orders' AS "table", c AS "column", a AS action, n AS affected FROM (
     SELECT 'order_date' AS c, 'convert_serial_dates' AS a, count(*) FILTER (o_orderkey % 5 = 0) AS n FROM orders
     UNION ALL SELECT 'order_date', 'flag_1970_dates', count(*) FILTER (o_orderkey % 5 = 3) FROM orders
+    UNION ALL SELECT 'order_date', 'coerce_dates', count(*) FILTER (o_orderkey % 5 = 4) FROM orders
+    UNION ALL SELECT 'due_date', 'coerce_dates', count(*) FILTER (o_orderkey % 5 > 2) FROM orders
     UNION ALL SELECT 'order_amount', 'coerce_numeric', count(*) FILTER (o_orderkey % 6 = 0) FROM orders
     UNION ALL SELECT NULL, 'drop_duplicates', count(*) - (SELECT count(*) FROM (SELECT DISTINCT
         CASE WHEN o_orderkey % 5 IN (0, 1, 2) THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 5 = 3 THEN DATE '1970-01-01' END,
         CASE WHEN o_orderkey % 6 > 1 THEN o_custkey END, CASE WHEN o_orderkey % 4 >= 2 THEN o_orderpriority END, o_orderkey % 4,
         o_orderkey % 7, o_orderstatus FROM orders)) FROM orders) WHERE n > 0""")
 def cleaning_log(b):
-    return clean.clean(raw_orders(b).drop("o_orderkey"), "orders")[1].drop("detail")
+    return clean.clean(raw_orders(b, day_first("later").alias("due_date")).drop("o_orderkey"), "orders")[1].drop("detail")
 
 
 _SLUG = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '-')"

@@ -20,7 +20,6 @@ DATE_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd",
     "yyyy/M/d",
-    "M/d/yyyy",
     "d-MMM-yyyy",
     "d MMM yyyy",
     "MMM d, yyyy",
@@ -67,15 +66,45 @@ def serial_to_timestamp(value: Column | str) -> Column:
     return F.when(is_serial(value), F.timestamp_seconds(F.unix_seconds(day.cast("timestamp")) + seconds))
 
 
-def parse_timestamp(value: Column | str, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Serials first, then the listed formats; anything else is null."""
+# Orders of day and month in numeric dates; which one a column uses is settled by ``operators.date_order``.
+MONTH_FIRST, DAY_FIRST = "month", "day"
+_NUMERIC = r"^(\d{1,2})([/.\-])(\d{1,2})\2(\d{4})(?:[ T](\d{1,2}:\d{2}(?::\d{2})?))?$"
+
+
+def numeric_separator(value: Column | str) -> Column:
+    """The sign between the numbers of a date such as 3/12/2024 or 3.12.2024 10:15; null for other texts."""
+    found = F.regexp_extract(strip(value), _NUMERIC, 2)
+    return F.when(found != "", found)
+
+
+def numeric_date(value: Column | str, order: str = MONTH_FIRST) -> Column:
+    """A date of two numbers and a year, read in one order; null where that gives no day of the calendar."""
+    text = strip(value)
+    part = {i: F.regexp_extract(text, _NUMERIC, i) for i in (1, 3, 4, 5)}
+    month, day = (part[1], part[3]) if order == MONTH_FIRST else (part[3], part[1])
+    time = F.when(F.length(part[5]) <= 5, F.concat(part[5], F.lit(":00"))).otherwise(part[5])
+    whole = F.concat_ws("-", part[4], month, day)
+    read = F.when(part[5] == "", F.try_to_timestamp(whole, F.lit("yyyy-M-d"))).otherwise(
+        F.try_to_timestamp(F.concat_ws(" ", whole, time), F.lit("yyyy-M-d H:mm:ss")))
+    return F.when(text.rlike(_NUMERIC), read)
+
+
+def parse_timestamp(value: Column | str, formats: Sequence[str] = DATE_FORMATS, order: Column | str | None = None) -> Column:
+    """Serials first, then the listed formats, then numeric dates in one order; anything else is null.
+
+    ``order`` is ``month`` or ``day``, or a column of these; null and None are month-first.
+    """
     text = strip(value)
     tried = [read_format(text, fmt) for fmt in formats]
-    return F.coalesce(serial_to_timestamp(value), *tried)
+    if isinstance(order, Column):
+        numeric = F.when(order == DAY_FIRST, numeric_date(value, DAY_FIRST)).otherwise(numeric_date(value, MONTH_FIRST))
+    else:
+        numeric = numeric_date(value, order or MONTH_FIRST)
+    return F.coalesce(serial_to_timestamp(value), *tried, numeric)
 
 
-def parse_date(value: Column | str, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    return parse_timestamp(value, formats).cast("date")
+def parse_date(value: Column | str, formats: Sequence[str] = DATE_FORMATS, order: Column | str | None = None) -> Column:
+    return parse_timestamp(value, formats, order).cast("date")
 
 
 def month_text(value: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import BOOLEANS, NUMERIC_FRAGMENTS, NUMERICS
 from ..functions.dates import is_serial, parse_timestamp
 from ..functions.text import blank_to_null, parse_bool
+from . import date_order
 
 LOG_SCHEMA = "table string, column string, action string, affected long, detail string"
 
@@ -38,36 +39,40 @@ def declared_kinds(columns: Iterable[str]) -> dict[str, str]:
     return kinds
 
 
-def guess_kinds(df: DataFrame, known: Mapping[str, str]) -> dict[str, str]:
-    """Kinds of the columns the catalog does not know.
+def guess_kinds(df: DataFrame, known: Mapping[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+    """(kinds of the columns the catalog does not know, order of day and month of all date columns).
 
     A name holding ``date`` or a numeric fragment is a candidate; it counts when at least half of the non-null values
-    parse, so that text columns such as price_tier stay text. One pass; the driver sees two counts per candidate.
+    parse, so that text columns such as price_tier stay text. One pass; the driver sees a few counts per candidate.
     """
+    texts = {n for n, t in df.dtypes if t == "string"}
     candidates = {}
     for name in df.columns:
         if name in known:
             continue
         low = name.lower()
         if "date" in low:
-            candidates[name] = ("date", parse_timestamp(_c(name)))
+            parsed = F.coalesce(*[parse_timestamp(_c(name), order=o) for o in ("month", "day")])
+            candidates[name] = ("date", parsed)
         elif any(f in low for f in NUMERIC_FRAGMENTS):
             candidates[name] = ("number", as_number(_c(name)))
-    if not candidates:
-        return {}
-    counts = df.agg(*[
+    written = [n for n in df.columns if n in texts and (known.get(n) == "date" or candidates.get(n, ("",))[0] == "date")]
+    if not candidates and not written:
+        return {}, {}
+    counts = df.agg(*date_order.vote_counts(written), *[
         c for i, (n, (_, parsed)) in enumerate(candidates.items())
         for c in (F.count(blank_to_null(_c(n))).alias(f"n{i}"), F.count(parsed).alias(f"p{i}"))
     ]).first()
-    return {
+    kinds = {
         n: kind for i, (n, (kind, _)) in enumerate(candidates.items()) if counts[f"n{i}"] and 2 * counts[f"p{i}"] >= counts[f"n{i}"]
     }
+    return kinds, date_order.column_orders(counts, written)
 
 
-def typed(name: str, kind: str | None) -> Column:
+def typed(name: str, kind: str | None, order: str | None = None) -> Column:
     value = _c(name)
     if kind == "date":
-        return parse_timestamp(value).alias(name)
+        return parse_timestamp(value, order=order).alias(name)
     if kind == "number":
         return as_number(value).alias(name)
     return value.alias(name)
@@ -79,14 +84,15 @@ def clean(df: DataFrame, table: str, kinds: Mapping[str, str] | None = None) ->
     Order: dates (serials first), numbers, empty rows, exact duplicates, then trimming and null tokens. Duplicates are
     therefore judged before trimming, and rows differing in blanks only both stay. Duplicates fall to one aggregation
     that is combined before the shuffle, so many copies of one row are no hot spot. A ``_position`` column is carried
-    along; of repeated rows the first stays.
+    along; of repeated rows the first stays. A text column of dates is read in the one order of day and month that more of
+    its values ask for.
     """
-    if kinds is None:
-        kinds = declared_kinds(df.columns)
-        kinds = {**kinds, **guess_kinds(df, kinds)}
+    known = declared_kinds(df.columns) if kinds is None else kinds
+    guessed, orders = guess_kinds(df if kinds is None else df.select(*[_c(n) for n, k in known.items() if k == "date"]), known)
+    kinds = {**known, **guessed} if kinds is None else kinds
     names = [c for c in df.columns if c != POSITION]
     places = [c for c in df.columns if c == POSITION]
-    repaired = df.select(*[typed(n, kinds.get(n)) for n in names], *places)
+    repaired = df.select(*[typed(n, kinds.get(n), orders.get(n)) for n in names], *places)
     filled = repaired.filter(F.coalesce(*[_c(n).cast("string") for n in names]).isNotNull())
     unique = filled.groupBy(*[_c(n) for n in names]).agg(F.count(F.lit(1)).alias("_copies"), *[F.min(p).alias(p) for p in places])
     out = unique.select(*[
@@ -94,11 +100,14 @@ def clean(df: DataFrame, table: str, kinds: Mapping[str, str] | None = None) ->
         else (blank_to_null(_c(n)).alias(n) if t == "string" else _c(n))
         for n, t in repaired.dtypes
     ])
-    return out, cleaning_log(df, unique, table, kinds)
+    return out, cleaning_log(df, unique, table, kinds, orders)
 
 
-def cleaning_log(df: DataFrame, unique: DataFrame, table: str, kinds: Mapping[str, str]) -> DataFrame:
-    """One row per kind of change with the number of values or rows it touched; untouched ones are left out."""
+def cleaning_log(df: DataFrame, unique: DataFrame, table: str, kinds: Mapping[str, str], orders: Mapping[str, str]) -> DataFrame:
+    """One row per kind of change with the number of values or rows it touched; untouched ones are left out.
+
+    Dates that could be read in either order count as guessed if as many values of the column ask for one order as for the other.
+    """
     counts, labels = [], []
 
     def add(column: str | None, action: str, count: Column, detail: str) -> None:
@@ -108,7 +117,13 @@ def cleaning_log(df: DataFrame, unique: DataFrame, table: str, kinds: Mapping[st
     for name, kind in kinds.items():
         if kind == "date":
             add(name, "convert_serial_dates", F.count_if(is_serial(_c(name))), "spreadsheet serial numbers converted")
-            add(name, "flag_1970_dates", F.count_if(F.year(parse_timestamp(_c(name))) == 1970), "dates that may come from a zero epoch")
+            read = parse_timestamp(_c(name), order=orders.get(name))
+            add(name, "flag_1970_dates", F.count_if(F.year(read) == 1970), "dates that may come from a zero epoch")
+            if name in orders:
+                cast = {n: F.count_if(v) for n, v in date_order.votes(_c(name)).items()}
+                guessed = F.when(cast["month_only"] == cast["day_only"], cast["either"])
+                add(name, "guess_date_order", guessed, f"dates that fit both orders, read {orders[name]}-first without evidence")
+                add(name, "coerce_dates", F.count(blank_to_null(_c(name))) - F.count(read), "values that are no dates became null")
         elif kind == "number":
             lost = F.count(_c(name)) - F.count(as_number(_c(name)))
             add(name, "coerce_numeric", lost, "values that are no numbers became null")

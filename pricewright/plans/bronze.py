@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import BENEFITS_NUMBERS, BRONZE_NUMBERS, bronze_columns
 from ..functions.dates import parse_timestamp
 from ..functions.text import blank_to_null
-from ..operators import clean, headers, keys, reshape
+from ..operators import clean, date_order, headers, keys, reshape
 from ..operators.classify import route
 from ..session import materialise, staged
 from ..sources import delimited, files, workbook
@@ -80,8 +80,11 @@ def bronze_table(records: DataFrame, table: str, prefix: str, client_name: str,
     rows = reshape.table_records(records, table, columns)
     formats = keys.BENEFITS_FORMATS if options.benefits else keys.KEY_FORMATS
     numbers = {*BRONZE_NUMBERS, *(BENEFITS_NUMBERS if options.benefits else ())}
+    days = [c for c in columns if "date" in c]
+    # Files come from offices with customs of their own: the order of day and month is settled per file and column.
+    rows = date_order.with_orders(rows, days, ["file"]) if days else rows
     typed = rows.select(*POSITION, *[
-        parse_timestamp(F.col(c)).alias(c) if "date" in c
+        parse_timestamp(F.col(c), order=F.col("_orders")[c]).alias(c) if "date" in c
         else F.trim(F.col(c)).try_cast("decimal(18,4)").alias(c) if c in numbers
         else blank_to_null(c).alias(c)
         for c in columns
@@ -108,6 +111,12 @@ def bronze_table(records: DataFrame, table: str, prefix: str, client_name: str,
     return typed.select(F.lit(client_name).alias("client_name_tag"), *[c for c in typed.columns])
 
 
+def date_report(records: DataFrame, table: str, options: BronzeOptions = BronzeOptions()) -> DataFrame:
+    """(file, column, counts, order, ambiguous) of a table's date columns: how each file's dates are read, and what is a guess."""
+    columns = bronze_columns(table, options.benefits)
+    return date_order.orders(reshape.table_records(records, table, columns), [c for c in columns if "date" in c], ["file"])
+
+
 # Name column, key column and kind of the keys made from names.
 DICTIONARIES = (
     ("customer_name", "customer_id", "CUST"), ("product_name", "product_sku", "SKU"),

@@ -5,7 +5,8 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from pricewright.catalog import TABLES
-from pricewright.operators import classify, clean, context, enrich, entities, keys, ordering, profile, quality, reshape
+from pricewright.functions import dates
+from pricewright.operators import classify, clean, context, date_order, enrich, entities, keys, ordering, profile, quality, reshape
 
 
 def test_running_matches_a_plain_window(spark, uncoalesced):
@@ -40,6 +41,37 @@ def test_clean_order_and_log(spark):
     }
 
 
+def test_dates_are_read_in_the_order_of_their_column(spark):
+    df = spark.createDataFrame([
+        ("25/12/2023", "12/25/2023", "01/02/2023", "1.2.2023", "25/12/2023"),
+        ("03/04/2023", "03/04/2023", "03/04/2023", "3.4.2023", "12/26/2023"),
+        (" 3-4-2023 10:15 ", "2023-04-03", "soon", "30.2.2023", "12/27/2023"),
+    ], "day_date string, month_date string, either_date string, dot_date string, mixed_date string")
+    out, log = clean.clean(df, "t")
+    got = {c: sorted(str(v) for v in out.toPandas()[c].dt.strftime("%Y-%m-%d %H:%M").fillna("-")) for c in out.columns}
+    assert got == {
+        "day_date": ["2023-04-03 00:00", "2023-04-03 10:15", "2023-12-25 00:00"], "month_date": ["2023-03-04 00:00", "2023-04-03 00:00", "2023-12-25 00:00"],
+        "either_date": ["-", "2023-01-02 00:00", "2023-03-04 00:00"], "dot_date": ["-", "2023-02-01 00:00", "2023-04-03 00:00"],
+        "mixed_date": ["-", "2023-12-26 00:00", "2023-12-27 00:00"],
+    }
+    entries = {(r.column, r.action): r.affected for r in log.collect()}
+    assert entries == {
+        ("either_date", "guess_date_order"): 2, ("either_date", "coerce_dates"): 1, ("dot_date", "guess_date_order"): 2, ("dot_date", "coerce_dates"): 1,
+        ("mixed_date", "coerce_dates"): 1,
+    }
+
+
+def test_date_orders_per_file(spark):
+    df = spark.createDataFrame([("eu.csv", "25/12/2023", None), ("eu.csv", "01/02/2023", "x"), ("us.csv", "01/02/2023", None), ("us.csv", "12/31/2023", None), (None, "01/02/2023", "9.9.2023")],
+                               "file string, a string, b string")
+    told = {(r.file, r.column): (r.order, r.ambiguous) for r in date_order.orders(df, ["a", "b"], ["file"]).collect()}
+    assert told == {("eu.csv", "a"): ("day", False), ("us.csv", "a"): ("month", False), (None, "a"): ("month", True), (None, "b"): ("day", True)}
+    read = date_order.with_orders(df, ["a", "b"], ["file"])
+    got = rows(read.select("file", dates.parse_date("a", order=F.col("_orders")["a"]).cast("string")))
+    assert got == sorted([("eu.csv", "2023-12-25"), ("eu.csv", "2023-02-01"), ("us.csv", "2023-01-02"), ("us.csv", "2023-12-31"), (None, "2023-01-02")], key=repr)
+    assert date_order.orders(df.limit(0), ["a"], ["file"]).count() == 0
+
+
 def test_catalog_type_beats_name_fragment(spark):
     df = spark.createDataFrame([("Default", "5")], "price_tier string, list_price string")
     out, _ = clean.clean(df, "t")
