@@ -80,12 +80,45 @@ def priority(files: DataFrame, wanted: Sequence[str], by: str = "name") -> DataF
     return kept.select(*files.columns).distinct()
 
 
+#: Letters of the pieces by which partial names are looked up.
+GRAM = 3
+
+
+def grams(text: Column, size: Column | int = GRAM) -> Column:
+    """The distinct pieces of ``size`` letters of a text, none if it is shorter."""
+    size = F.lit(size) if isinstance(size, int) else size
+    places = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size)))).otherwise(F.array().cast("array<string>"))
+
+
+def first_containing(parts: DataFrame, names: DataFrame, part: str, name: str, gram: int = GRAM) -> DataFrame:
+    """(part, name): the first name, in order, that contains each part; parts found nowhere are left out.
+
+    Names are indexed by their pieces of ``gram`` letters, as many as they have letters. A part looks up the rarest of its
+    own pieces, and what stands there is compared in full. Parts shorter than that are looked up whole, in an index of
+    their own length. A part with a piece that no name has meets nothing.
+    """
+    asked = parts.select(F.col(part).alias("_part")).where(F.length("_part") > 0).distinct()
+    asked = asked.withColumn("_size", F.least(F.length("_part"), F.lit(gram)))
+    asked = staged(asked.withColumn("_grams", grams(F.col("_part"), F.col("_size"))), "parts")
+    sizes = [r[0] for r in asked.select("_size").distinct().collect()]  # at most ``gram`` numbers
+    wanted = asked.select(F.explode("_grams").alias("_gram")).distinct()
+    every = F.flatten(F.array(*[grams(F.col(name), n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    index = staged(names.select(F.col(name).alias("_name"), F.explode(every).alias("_gram")).join(wanted, "_gram", "left_semi"), "grams")
+    held = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_names"))
+    probes = asked.select("_part", F.explode("_grams").alias("_gram")).join(held, "_gram", "left")
+    # Without a name that has the piece the whole part can't be in any.
+    rarest = probes.groupBy("_part").agg(F.min(F.struct(F.coalesce("_names", F.lit(0)).alias("n"), "_gram")).alias("r")).where("r.n > 0")
+    candidates = rarest.select("_part", F.col("r._gram").alias("_gram")).join(index, "_gram")
+    return candidates.where(F.col("_name").contains(F.col("_part"))).groupBy(F.col("_part").alias(part)).agg(F.min("_name").alias(name))
+
+
 def resolve(decisions: DataFrame, sheets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(decisions with the real file and sheet names, decisions that match nothing).
 
     A decision names a file by name, relative path or a part of either, and a sheet in any case; delimited files have
-    one sheet whatever the decision calls it. ``sheets`` holds (file, sheet). Partial names are matched by equality
-    with the pieces of that length, each piece reduced to its first file before it meets a request.
+    one sheet whatever the decision calls it. ``sheets`` holds (file, sheet). Partial names mean the first file that
+    contains them, found through an index of short pieces.
     """
     asked = staged(decisions.select(F.col("file").alias("_file"), F.col("sheet").alias("_sheet")).distinct(), "asked")
     files = staged(sheets.select("file").distinct().withColumn("name", F.element_at(F.split("file", "/"), -1)), "files")
@@ -93,14 +126,8 @@ def resolve(decisions: DataFrame, sheets: DataFrame) -> tuple[DataFrame, DataFra
     exact = names.join(files, names["_file"] == files["name"]).select("_file", "file").unionByName(
         names.join(files, names["_file"] == files["file"]).select("_file", "file")
     )
-    rest = staged(names.join(exact, "_file", "left_anti"), "partial")
-    # At most as many lengths as the longest file name has letters.
-    lengths = [r[0] for r in rest.select(F.length("_file")).distinct().collect() if r[0]]
-    sized = files.select("file", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("n"))
-    pieces = sized.filter(F.col("n") <= F.length("file")).select(
-        "file", "n", F.explode(F.sequence(F.lit(1), F.length("file") - F.col("n") + 1)).alias("at")
-    ).select("file", F.expr("substring(file, at, n)").alias("_file"))
-    partial = rest.join(pieces.groupBy("_file").agg(F.min("file").alias("file")), "_file").select("_file", "file")
+    rest = names.join(exact, "_file", "left_anti")
+    partial = first_containing(rest, files, "_file", "file")
     chosen = exact.unionByName(partial).groupBy("_file").agg(F.min("file").alias("_real_file"))
 
     with_file = asked.join(chosen, "_file")
