@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -31,22 +32,73 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _FOLD = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def pieces(text: str | None) -> list[list[bytes]]:
-    """Words of each piece of a text."""
-    folded = (text or "").encode("utf-8", "replace").translate(_FOLD)
-    return [p.split() for p in folded.split(b"\n")]  # of bytes' white space only blanks are left
-
-
-def _tokens(folded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(number of each word, hash of each number, words of each piece, words of each text) of many folded texts at once."""
-    texts = pc.split_pattern(pa.array(folded, pa.large_binary()).cast(pa.large_string()), "\n")
-    split = pc.ascii_split_whitespace(texts.values)
+@dataclass
+class Chunk:
+    """The words of many texts in a row: a word is a number, equal for equal words."""
+
+    word: np.ndarray
+    known: pa.Array
+    hashes: np.ndarray
+    room: np.ndarray
+    text: np.ndarray
+    language: np.ndarray
+    names: list[str]
+    marks: np.ndarray
+
+    def prints(self, length: int) -> np.ndarray:
+        seeds = np.array([xxhash.xxh3_64_intdigest(n) for n in self.names], np.uint64)
+        return fingerprints(self.hashes[self.word], seeds[self.language[self.text]], length)
+
+    def equal(self, where: np.ndarray, lead: np.ndarray, length: int) -> np.ndarray:
+        """Whether the n-grams at two places are the same words of the same language."""
+        out = self.language[self.text[where]] == self.language[self.text[lead]]
+        for i in range(length):
+            out &= self.word[where + i] == self.word[lead + i]
+        return out
+
+    def groups(self, where: np.ndarray, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first occurrence, number of occurrences) of each n-gram among ``where``.
+
+        Those that share a fingerprint are compared with the first of them, word by word; any that differs counts by itself.
+        """
+        where = where[np.argsort(prints[where], kind="stable")]
+        if not len(where):
+            return where, where
+        new = np.r_[True, prints[where[1:]] != prints[where[:-1]]]
+        same = self.equal(where, where[np.flatnonzero(new)][np.cumsum(new) - 1], length)
+        counts = np.add.reduceat(same.astype(np.int64), np.flatnonzero(new))
+        return np.concatenate([where[new], where[~same]]), np.concatenate([counts, np.ones((~same).sum(), np.int64)])
+
+
+def _chunk(texts: list[tuple[str, bytes, int]]) -> Chunk:
+    langs, folded, marks = zip(*texts)
+    split_texts = pc.split_pattern(pa.array(folded, pa.large_binary()).cast(pa.large_string()), "\n")
+    split = pc.ascii_split_whitespace(split_texts.values)  # only blanks are left of it
     there = pc.greater(pc.binary_length(split.values), 0)
     upto = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])
     ends = upto[split.offsets.to_numpy()]
     coded = split.values.filter(there).dictionary_encode()
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
-    return coded.indices.to_numpy().astype(np.int64), hashes, np.diff(ends), np.diff(ends[texts.offsets.to_numpy()])
+    word, sizes = coded.indices.to_numpy(), np.diff(ends)
+    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(word))  # words left in the piece
+    text = np.repeat(np.arange(len(texts)), np.diff(ends[split_texts.offsets.to_numpy()]))
+    names, language = np.unique(langs, return_inverse=True)
+    return Chunk(word, coded.dictionary, hashes, room, text, language, names.tolist(), np.array(marks, np.int64))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    """Texts (language, text, mark) in portions of about CHUNK_BYTES; a longer text is a portion of its own."""
+    texts, size = [], 0
+    for batch in batches:
+        for lang, text, mark in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            folded = (text.as_py() or "").encode("utf-8", "replace").translate(_FOLD)
+            if texts and size + len(folded) > CHUNK_BYTES:
+                yield _chunk(texts)
+                texts, size = [], 0
+            texts.append((lang, folded, mark))
+            size += len(folded)
+    if texts:
+        yield _chunk(texts)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,92 +130,47 @@ def _allowed(prints: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-_COUNTED = "words int, fp long, n long, lang string, t1 long, t2 long, at int"
-
-
 def _count(lengths: tuple[int, ...], frequent: Broadcast | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-grams of some lengths with their counts, each with a pointer to one occurrence: text and number of its first word.
-
-    With ``frequent``, only n-grams all of whose parts one word shorter than the least length are in it are counted.
-    Occurrences that share a fingerprint with a first one but not its words or language leave as rows of their own.
-    """
-    schema = pa.schema([("words", pa.int32()), ("fp", pa.int64()), ("n", pa.int64()), ("lang", pa.string()), ("t1", pa.int64()), ("t2", pa.int64()), ("at", pa.int32())])
+    """(fp, n) of the n-grams of some lengths; with ``frequent``, of those all of whose parts one word shorter than the least are in it."""
     bits, part = np.frombuffer(frequent.value, np.uint8) if frequent else None, min(lengths) - 1
-    texts: list[tuple] = []
-
-    def flush():
-        langs, folded, t1, t2 = zip(*texts)
-        word, known, pieces_of, words_of = _tokens(folded)
-        hashes, first = known[word], np.cumsum(words_of) - words_of
-        room = np.repeat(np.cumsum(pieces_of), pieces_of) - np.arange(len(word))  # words left in the piece
-        owner = np.repeat(np.arange(len(texts)), words_of)
-        names, language = np.unique(langs, return_inverse=True)
-        named, pointers = pa.array(names.tolist(), pa.string()), [np.array(t, np.int64) for t in (t1, t2)]
-        seeds = np.array([xxhash.xxh3_64_intdigest(lang) for lang in names.tolist()], np.uint64)[language][owner]
-        inner = _allowed(fingerprints(hashes, seeds, part), bits) if frequent else None
+    for chunk in _chunks(batches):
+        inner = _allowed(chunk.prints(part), bits) if frequent else None
         for length in lengths:
-            prints = fingerprints(hashes, seeds, length)
-            good = room[: len(prints)] >= length
+            prints = chunk.prints(length)
+            good = chunk.room[: len(prints)] >= length
             for i in range(length - part + 1 if frequent else 0):
                 good &= inner[i : i + len(prints)]
-            where = np.flatnonzero(good)
-            where = where[np.argsort(prints[where], kind="stable")]
-            if not len(where):
-                continue
-            new = np.r_[True, prints[where[1:]] != prints[where[:-1]]]
-            lead = where[np.flatnonzero(new)][np.cumsum(new) - 1]
-            differs = language[owner[where]] != language[owner[lead]]
-            for i in range(length):
-                differs |= word[where + i] != word[lead + i]
-            counts = np.add.reduceat((~differs).astype(np.int64), np.flatnonzero(new))
-            rows = np.concatenate([where[new], where[differs]])
-            order = np.argsort(rows)  # by text, so that pointers are small in columns
-            rows, counts = rows[order], np.concatenate([counts, np.ones(differs.sum(), np.int64)])[order]
-            text = owner[rows]
-            for i in range(0, len(rows), 1 << 16):
-                cut, of = rows[i : i + (1 << 16)], text[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(cut), length, np.int32)), pa.array(prints[cut].view(np.int64)), pa.array(counts[i : i + (1 << 16)]),
-                    named.take(pa.array(language[of])), pa.array(pointers[0][of]), pa.array(pointers[1][of]),
-                    pa.array((cut - first[of]).astype(np.int32)),
-                ], schema=schema)
-        texts.clear()
+            found, counts = np.unique(prints[good], return_counts=True)
+            whole = pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], names=["fp", "n"])
+            yield from (whole.slice(i, 1 << 16) for i in range(0, len(whole), 1 << 16))
 
-    size = 0
-    for batch in batches:
-        langs, t1, t2 = (batch.column(i).to_pylist() for i in (0, 2, 3))
-        for i, text in enumerate(batch.column(1)):
-            folded = (text.as_py() or "").encode("utf-8", "replace").translate(_FOLD)
-            texts.append((langs[i], folded, t1[i], t2[i]))
-            size += len(folded)
-            if size > CHUNK_BYTES:
-                yield from flush()
-                size = 0
-    if texts:
-        yield from flush()
 
+_PHRASES = "lang string, words int, phrase string, seen long, n long"
 
-def _in_set(frequent: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose fingerprint may be frequent."""
-    bits = np.frombuffer(frequent.value, np.uint8)
-    for batch in batches:
-        yield batch.filter(pa.array(_allowed(batch.column(1).to_numpy().view(np.uint64), bits)))
 
+def _show(longest: int, frequent: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases of the fingerprints in ``frequent``, with their occurrences and the mark of a text that holds them.
 
-def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words at each pointer of a text."""
-    schema = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
-    rows: list[tuple] = []
-    for batch in batches:
-        for lang, text, pointers in zip(*(batch.column(i) for i in range(3))):
-            lang, words = lang.as_py(), [w for p in pieces(text.as_py()) for w in p]
-            for p in pointers.as_py():
-                rows.append((lang, p["words"], b" ".join(words[p["at"] : p["at"] + p["words"]]).decode(), p["n"]))
-            if len(rows) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    Within a chunk an n-gram is a pointer to its first occurrence, which all others of its fingerprint are compared with;
+    its words are written out once. A row of no words tells the words of each language.
+    """
+    schema = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("seen", pa.int64()), ("n", pa.int64())])
+    bits = np.frombuffer(frequent.value, np.uint8)
+    for chunk in _chunks(batches):
+        words = np.bincount(chunk.language[chunk.text], minlength=len(chunk.names))
+        yield pa.RecordBatch.from_pydict({"lang": chunk.names, "words": [0] * len(words), "phrase": [None] * len(words), "seen": [0] * len(words), "n": words.tolist()}, schema)
+        names = pa.array(chunk.names, pa.string())
+        for length in range(1, longest + 1):
+            prints = chunk.prints(length)
+            rows, counts = chunk.groups(np.flatnonzero((chunk.room[: len(prints)] >= length) & _allowed(prints, bits)), prints, length)
+            for i in range(0, len(rows), 1 << 16):
+                at = rows[i : i + (1 << 16)]
+                parts = [chunk.known.take(pa.array(chunk.word[at + j])) for j in range(length)]
+                yield pa.RecordBatch.from_arrays([
+                    names.take(pa.array(chunk.language[chunk.text[at]])), pa.array(np.full(len(at), length, np.int32)),
+                    pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).cast(pa.string()),
+                    pa.array(chunk.marks[chunk.text[at]]), pa.array(counts[i : i + (1 << 16)]),
+                ], schema=schema)
 
 
 def _bit_set(prints: DataFrame, bits: int) -> Broadcast:
@@ -180,34 +187,26 @@ def _bit_set(prints: DataFrame, bits: int) -> Broadcast:
 def frequent_phrases(
     docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, min_count: int = MIN_COUNT, filter_bits: int = FILTER_BITS
 ) -> tuple[DataFrame, DataFrame]:
-    """(phrases, totals): (lang, words, phrase, f) of all phrases with ``min_count`` occurrences, and (lang, n) of all words.
+    """(phrases, totals): (lang, words, phrase, f, seen) of all phrases with ``min_count`` occurrences, and (lang, n) of all words.
 
     Passes over the texts count single words, pairs, and all longer phrases: tasks hash every n-gram from prefix polynomials
-    and count those whose parts were frequent in the pass before, and the shuffle adds up counts by fingerprint. Every
-    counted row points to one occurrence that its task compared with all others it counted. The pointers of frequent
-    fingerprints are then joined with the texts, and what stands there is counted by its words: phrases that share a
-    fingerprint are told apart, and no rare phrase is ever written out.
+    and count those whose parts were frequent in the pass before, and the shuffle adds up counts by fingerprint. A last pass
+    takes the n-grams with a frequent fingerprint only. Tasks keep one pointer per fingerprint, compare all its occurrences
+    with the words there and write these out once, with a mark of the text (``seen``, its xxhash64); the shuffle adds up
+    by words. So counts are of words, not of fingerprints: phrases that share one are told apart, and rare ones are dropped.
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    rows = rows.withColumns({"t1": F.xxhash64("lang", "text"), "t2": F.xxhash64(F.lit(7919), "lang", "text")})
-    frequent, pointers, totals = None, None, None
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    frequent, heavy = None, None
     for lengths in [(1,), (2,), tuple(range(3, longest + 1))]:
-        if not lengths or lengths[0] > longest:
-            continue
-        counted = staged(rows.mapInArrow(partial(_count, lengths, frequent), _COUNTED), f"grams{lengths[0]}")
-        if frequent is None:
-            totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
-        heavy = staged(counted.groupBy("fp").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count).select("fp"), f"frequent{lengths[0]}")
-        frequent = _bit_set(heavy, filter_bits)
-        # Nearly all rows end at the set; the few left meet the frequent fingerprints themselves.
-        found = counted.mapInArrow(partial(_in_set, frequent), _COUNTED).join(heavy.hint("shuffle_hash"), "fp", "left_semi")
-        found = found.select("t1", "t2", "words", "at", "n")
-        pointers = found if pointers is None else pointers.union(found)
-    asked = pointers.groupBy("t1", "t2").agg(F.collect_list(F.struct("words", "at", "n")).alias("pointers"))
-    texts = rows.groupBy("t1", "t2").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
-    shown = texts.join(asked.hint("shuffle_hash"), ["t1", "t2"]).select("lang", "text", "pointers").mapInArrow(_phrases, "lang string, words int, phrase string, n long")
-    phrases = shown.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    return staged(phrases, "phrases"), totals
+        if lengths and lengths[0] <= longest:
+            counted = rows.mapInArrow(partial(_count, lengths, frequent), "fp long, n long")
+            found = staged(counted.groupBy("fp").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count).select("fp"), f"frequent{lengths[0]}")
+            frequent, heavy = _bit_set(found, filter_bits), found if heavy is None else heavy.union(found)
+    shown = rows.mapInArrow(partial(_show, longest, _bit_set(heavy, filter_bits)), _PHRASES)
+    phrases = shown.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f"), F.min("seen").alias("seen"))
+    phrases = staged(phrases.where((F.col("words") == 0) | (F.col("f") >= min_count)), "phrases")
+    return phrases.where("words > 0"), phrases.where("words = 0").select("lang", F.col("f").alias("n"))
 
 
 def collocations(

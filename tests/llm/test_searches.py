@@ -161,18 +161,19 @@ def test_collocations(spark, corpus):
     assert collocations.collocations(docs.limit(0)).count() == 0
 
 
-def test_equal_fingerprints_are_told_apart(spark, corpus, monkeypatch):
-    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de"], "text": ["a b a b c", "a b"], "t1": [1, 2], "t2": [3, 4]})
+def test_equal_fingerprints_are_told_apart(monkeypatch):
+    class All:
+        value = bytes([255] * 8)
+
     monkeypatch.setattr(collocations, "fingerprints", lambda hashes, seeds, length: np.zeros(max(0, len(hashes) - length + 1), np.uint64))
-    rows = [r for out in collocations._count((2,), None, iter([batch])) for r in out.to_pylist()]
-    # The first has its occurrences counted; others point to themselves, with their own words.
-    assert sorted((r["lang"], r["n"], r["at"]) for r in rows) == [("de", 1, 0), ("en", 1, 1), ("en", 1, 3), ("en", 2, 0)]
-    shown = pa.RecordBatch.from_pydict({"lang": ["en"], "text": ["a b a b c"], "pointers": [[{"words": 2, "at": r["at"], "n": r["n"]} for r in rows if r["lang"] == "en"]]})
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de"], "text": ["a b a b c", "a b"], "mark": [1, 2]})
     phrases = Counter()
-    for out in collocations._phrases(iter([shown])):
+    for out in collocations._show(2, All, iter([batch])):
         for r in out.to_pylist():
-            phrases[r["phrase"]] += r["n"]
-    assert phrases == {"a b": 2, "b a": 1, "b c": 1}
+            phrases[r["lang"], r["phrase"]] += r["n"]
+            assert r["phrase"] is None or r["seen"] == {"en": 1, "de": 2}[r["lang"]]
+    assert phrases == {("en", "a"): 2, ("en", "b"): 2, ("en", "c"): 1, ("de", "a"): 1, ("de", "b"): 1, ("en", "a b"): 2, ("en", "b a"): 1,
+                       ("en", "b c"): 1, ("de", "a b"): 1, ("en", None): 5, ("de", None): 2}
 
 
 def test_prefix_polynomials():
