@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import BENEFITS_ROUTES, TABLES
 from ..functions import dates, numeric, text
-from ..operators import classify, clean, context, date_order, enrich, entities, headers, keys, profile, quality, reshape
-from ..plans import bronze
+from ..operators import asof, classify, clean, context, date_order, enrich, entities, headers, keys, profile, quality, reshape, similar_names, sketches
+from ..plans import bronze, filters
 from ..sources import files
 from ..sources.tables import merge_into
 from .bindings import Bindings
@@ -543,6 +543,32 @@ def near_names(b):
     return entities.near_names(entities.name_groups(spelled_customers(b))).select(F.col("key").alias("near"), "near_key", "score")
 
 
+def trading_names(b: Bindings) -> DataFrame:
+    """Every customer under names that share words: in another order, in the plural, with words missing."""
+    name, nation = F.col("c_name"), F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string"))
+    variants = F.array(
+        F.concat(name, F.lit(" Holdings "), nation, F.lit(" Trade")), F.concat(nation, F.lit(" Trade Holding "), name),
+        F.concat(name, F.lit(" Trade")), F.concat("c_mktsegment", F.lit(" "), name, F.lit(" Trades")))
+    return b.raw("customer").select(F.explode(variants).alias("name"))
+
+
+@register("""
+WITH names AS (SELECT DISTINCT unnest([c_name || ' Holdings Nation ' || c_nationkey || ' Trade', 'Nation ' || c_nationkey || ' Trade Holding ' || c_name,
+    c_name || ' Trade', c_mktsegment || ' ' || c_name || ' Trades']) AS name FROM customer),
+tokened AS (SELECT name, list_sort(list_distinct([CASE WHEN regexp_matches(w, '^.{2,}[^s]s$') THEN w[:-2] ELSE w END
+    FOR w IN string_split(lower(regexp_replace(name, '[^A-Za-z0-9]+', ' ', 'g')), ' ')])) AS tokens FROM names),
+sets AS (SELECT tokens, arg_min(name, (-length(name), name)) AS canonical FROM tokened GROUP BY tokens),
+words AS (SELECT canonical, unnest(tokens) AS token FROM sets),
+weights AS (SELECT token, CAST(round(1000 * ln(1 + (SELECT count(*) FROM sets)::DOUBLE / count(*))) AS BIGINT) AS weight FROM words GROUP BY token),
+totals AS (SELECT canonical, CAST(sum(weight) AS BIGINT) AS total FROM words JOIN weights USING (token) GROUP BY canonical),
+shared AS (SELECT a.canonical, b.canonical AS other, CAST(sum(weight) AS BIGINT) AS common
+    FROM words a JOIN words b ON a.token = b.token AND a.canonical < b.canonical JOIN weights w ON w.token = a.token GROUP BY a.canonical, b.canonical)
+SELECT s.canonical, other, common, x.total + y.total - common AS "union", 100 * common // (x.total + y.total - common) AS score
+FROM shared s JOIN totals x ON x.canonical = s.canonical JOIN totals y ON y.canonical = other WHERE 100 * common >= 60 * (x.total + y.total - common)""")
+def token_names(b):
+    return similar_names.similar_names(entities.name_groups(trading_names(b)))
+
+
 @register("""SELECT * EXCLUDE (p) FROM (SELECT client_id, customer_segment, loss_reason, deal_id, discount_pct::DOUBLE AS discount_pct,
     row_number() OVER (PARTITION BY client_id, customer_segment, loss_reason ORDER BY deal_close_date DESC, CAST(deal_id AS BIGINT) DESC) AS p FROM deals) WHERE p = 1""")
 def dedup_keep_last(b):
@@ -796,4 +822,74 @@ def wide_detection(b):
     return reshape.sheet_plans(sheets, told).select(F.col("file").cast("long").alias("o_orderkey"), "wide")
 
 
+@register("""SELECT r.transaction_id, r.product_sku, CAST(CAST(h.effective_date AS DATE) AS VARCHAR) AS effective_date, CAST(h.list_price AS DOUBLE) AS list_price,
+    CAST(h.list_price - r.invoice_price AS DOUBLE) AS below_list
+    FROM fact_revenue r ASOF LEFT JOIN price_history h ON r.product_sku = h.product_sku AND r.transaction_date >= h.effective_date""")
+def price_in_force(b):
+    sold = b.fact_revenue.select("transaction_id", "product_sku", "transaction_date", "invoice_price")
+    priced = asof.as_of(sold, b.fact_list_price_history, ["product_sku"], "transaction_date", "effective_date", ["list_price"])
+    return priced.select("transaction_id", "product_sku", "effective_date", numeric.num("list_price").alias("list_price"),
+                         numeric.num(F.col("list_price") - F.col("invoice_price")).alias("below_list"))
+
+
+@register("""SELECT client_id, sales_channel, geography, CAST(grouping_id(client_id, sales_channel, geography) AS BIGINT) AS level,
+    CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(quantity) AS DOUBLE) AS quantity, count(*) AS rows
+    FROM fact_revenue GROUP BY CUBE (client_id, sales_channel, geography)""")
+def revenue_cube(b):
+    cube = filters.grouped_sets(b.fact_revenue, ["client_id", "sales_channel", "geography"], {"revenue": "revenue", "quantity": "quantity"})
+    return cube.withColumns({c: numeric.num(c) for c in ("revenue", "quantity")})
+
+
+@register("""SELECT client_id, sales_channel, geography, CAST(grouping_id(client_id, sales_channel, geography) AS BIGINT) AS level,
+    CAST(sum(revenue) AS DOUBLE) AS revenue, count(*) AS rows FROM fact_revenue GROUP BY GROUPING SETS ((client_id, geography), (sales_channel), ())""")
+def revenue_sets(b):
+    sets = [["client_id", "geography"], ["sales_channel"], []]
+    return filters.grouped_sets(b.fact_revenue, ["client_id", "sales_channel", "geography"], {"revenue": "revenue"}, sets).withColumn("revenue", numeric.num("revenue"))
+
+
+def _files_of_cells(b) -> DataFrame:
+    """Text cells of several tables, each dealt to files by a key."""
+    def cells(table, key, *columns):
+        rows = b.raw(table).withColumn("file", F.concat(F.lit(f"{table}-"), F.col(key) % 7))
+        listed = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+        return rows.select("file", F.explode(listed).alias("c")).select("file", "c.*")
+    parts = cells("orders", "o_orderkey", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"), cells("part", "p_partkey", "p_name", "p_type"), cells("lineitem", "l_orderkey", "l_returnflag", "l_partkey")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_CELL_COLUMNS = (("orders", "o_orderkey"), ("orders", "o_custkey"), ("orders", "o_orderpriority"), ("orders", "o_orderstatus"), ("part", "p_name"), ("part", "p_type"), ("lineitem", "l_returnflag"), ("lineitem", "l_partkey"))
+
+
+@register(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS filled, CAST(min(length(CAST({c} AS VARCHAR))) AS INTEGER) AS shortest,
+    CAST(max(length(CAST({c} AS VARCHAR))) AS INTEGER) AS longest, min(CAST({c} AS VARCHAR)) AS smallest, max(CAST({c} AS VARCHAR)) AS largest,
+    count(DISTINCT {c}) AS n_distinct, true AS distinct_within, true AS frequent_within FROM {t}""" for t, c in _CELL_COLUMNS))
+def merged_profiles(b):
+    """Sketches per file, merged, beside the exact counts that bound their errors."""
+    cells = _files_of_cells(b)
+    merged = sketches.profile_of(sketches.merge_sketches(sketches.sketch_columns(cells)), 1)
+    counts = sketches.exact_counts(cells)
+    exact = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("most"))
+    near = F.abs(F.col("n_distinct") - F.col("n")) <= 4 * sketches.HLL_ERROR * F.col("n") + 1
+    top = F.coalesce(F.get("frequent", F.lit(0))["count"], F.lit(0))
+    listed = (F.col("most") * sketches.FOLLOWED <= F.col("rows")) | (F.abs(top - F.col("most")) * sketches.FOLLOWED <= 2 * F.col("rows"))
+    return merged.join(exact, "column").select("column", "rows", "filled", "shortest", "longest", "smallest", "largest", F.col("n").alias("n_distinct"),
+                                               near.alias("distinct_within"), listed.alias("frequent_within"))
+
+
+@register("""
+SELECT CAST(c_custkey AS VARCHAR) AS client_id, f AS field, v AS value FROM (
+    SELECT c_custkey, unnest([{f: 'company_name', v: c_name}, {f: 'profile.industry.value', v: lower(c_mktsegment)}, {f: 'profile.industry.source', v: 'team-entered'},
+        {f: 'profile.size', v: CAST(c_nationkey AS VARCHAR)}, {f: 'tags', v: '["a","' || c_mktsegment || '"]'}, {f: 'contacts.0.name', v: 'first ' || c_custkey},
+        {f: 'contacts.1.name', v: 'second'}, {f: 'nothing', v: NULL}], recursive := true) FROM customer WHERE c_custkey % 10 > 0) WHERE v IS NOT NULL""")
+def context_files(b):
+    industry = F.struct(F.lower("c_mktsegment").alias("value"), F.lit("team-entered").alias("source"))
+    contacts = F.array(F.struct(F.concat(F.lit("first "), F.col("c_custkey").cast("string")).alias("name")), F.struct(F.lit("second").alias("name")))
+    document = F.to_json(F.struct(
+        F.col("c_name").alias("company_name"), F.struct(industry.alias("industry"), F.col("c_nationkey").alias("size")).alias("profile"),
+        F.array(F.lit("a"), "c_mktsegment").alias("tags"), contacts.alias("contacts"), F.lit(None).cast("string").alias("nothing")), {"ignoreNullFields": "false"})
+    cut = F.when(F.col("c_custkey") % 10 == 0, F.substring(document, F.lit(1), F.length(document) - 3)).otherwise(document)
+    files = b.raw("customer").select(F.col("c_custkey").cast("string").alias("client_id"), cut.alias("content"))
+    return context.flatten_json(files)[0].select("client_id", "field", "value")
+
+
 SQL = {name: statement(sql) for name, sql in _SQL.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +59,25 @@ def build_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns)
 
 
+def grouped_sets(
+    df: DataFrame, columns: Sequence[str], sums: Mapping[str, str], sets: Sequence[Sequence[str]] | None = None, count: str = "rows"
+) -> DataFrame:
+    """Totals over several combinations of ``columns`` at once: (columns, ``level``, ``sums``, ``count``).
+
+    ``sums`` names each total and the column it adds up; without ``sets`` all combinations are there (a cube). ``level`` is
+    the grouping id: a bit for each column, the first the highest, set where it is summed over, which tells a total from a
+    null in the data. The facts are read and shuffled once, down to one row per full combination; the sets are
+    written out from those few rows.
+    """
+    unknown = {c for s in sets or () for c in s} - set(columns)
+    if unknown or len(set(columns)) != len(columns):
+        raise ValueError(f"sets take distinct columns out of {list(columns)}; not available: {sorted(unknown)}")
+    fine = df.groupBy(*columns).agg(*[F.sum(F.col(c)).alias(n) for n, c in sums.items()], F.count(F.lit(1)).alias(count))
+    grouped = fine.cube(*columns) if sets is None else fine.groupingSets([[F.col(c) for c in s] for s in sets], *columns)
+    totals = [F.sum(n).alias(n) for n in (*sums, count)]
+    return grouped.agg(F.grouping_id().cast("long").alias("level"), *totals).select(*columns, "level", *sums, count)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """Sharded CSV with a header in every part."""
     df.write.mode("errorifexists").option("header", True).csv(path)
