@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import ALIASES, FALLBACK_RULES, TABLES
+from ..catalog import ALIASES, BENEFITS_ALIASES, BRONZE_BENEFITS, FALLBACK_RULES, TABLES, bronze_columns
 from ..functions.text import normal_header, strip
 
 
@@ -65,6 +65,13 @@ def header_rules(aliases: Mapping[str, Sequence[str]] = ALIASES, columns: Mappin
     return rules
 
 
+def benefits_rules() -> list[tuple[str, str, str, int]]:
+    """Header rules with the benefits-management spellings, also for the tables only that domain has; its own come first."""
+    columns = {**{t.name: ("client_id", *t.columns) for t in TABLES.values()}, **{t: bronze_columns(t, benefits=True) for t in BRONZE_BENEFITS}}
+    spellings = {c: tuple(dict.fromkeys((*BENEFITS_ALIASES.get(c, ()), *ALIASES.get(c, ())))) for c in (*BENEFITS_ALIASES, *ALIASES)}
+    return header_rules(spellings, columns)
+
+
 def map_columns(columns: DataFrame, rules: Sequence[tuple[str, str, str, int]] | None = None) -> DataFrame:
     """Canonical column per (source, target_table, column); unmapped headers get null.
 
@@ -83,7 +90,8 @@ def map_columns(columns: DataFrame, rules: Sequence[tuple[str, str, str, int]] |
 def apply_decisions(mapped: DataFrame, decisions: DataFrame, columns: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Fill headers the rules left open from outside decisions (source, target_table, column, canonical).
 
-    Decisions for headers already mapped, or naming a column the table does not have, are ignored.
+    Decisions for headers already mapped, or naming a column the table does not have, are ignored; of several for one
+    header the first by alphabet counts.
     """
     spark = mapped.sparkSession
     allowed = columns or {t.name: t.columns for t in TABLES.values()}
@@ -91,7 +99,7 @@ def apply_decisions(mapped: DataFrame, decisions: DataFrame, columns: Mapping[st
     valid = (
         decisions.select("source", "target_table", "column", F.col("canonical").alias("_decided"))
         .join(F.broadcast(catalog), ["target_table", "_decided"], "left_semi")
-        .dropDuplicates(["source", "target_table", "column"])
+        .groupBy("source", "target_table", "column").agg(F.min("_decided").alias("_decided"))
     )
     return (
         mapped.join(valid, ["source", "target_table", "column"], "left")

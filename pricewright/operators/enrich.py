@@ -92,9 +92,17 @@ def merge_counts(before: DataFrame, after: DataFrame, table: str, column: str =
 
 
 def enrich(df: DataFrame, lookup: DataFrame, name: str = "customer_name", fields: Sequence[str] = ENRICHED) -> DataFrame:
-    """Fill missing attributes from a lookup by name; values present are never replaced."""
+    """Fill missing attributes from a lookup by name; values present are never replaced.
+
+    Of several lookup rows of one name the fullest counts, of equally full ones the first by value.
+    """
     extra = lookup.select(F.col(name), *[blank_to_null(f).alias(f"_new_{f}") for f in fields if f in lookup.columns])
-    extra = extra.dropDuplicates([name])
+    new = [c for c in extra.columns if c != name]
+    if new:
+        known = sum((F.col(c).isNotNull().cast("int") for c in new[1:]), F.col(new[0]).isNotNull().cast("int"))
+        extra = extra.groupBy(name).agg(F.min(F.struct((-known).alias("_order"), *new)).alias("_e")).select(name, *[f"_e.{c}" for c in new])
+    else:
+        extra = extra.distinct()
     out = df.join(extra, name, "left")
     for f in fields:
         new = F.col(f"_new_{f}") if f in lookup.columns else F.lit(None).cast("string")

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..session import materialise
 
 # Legal forms dropped from the end of a name.
 LEGAL_FORMS = (
@@ -50,28 +49,6 @@ def near_edges(keys: DataFrame, min_letters: int = 1) -> DataFrame:
     return replaced.unionByName(missing).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "key") -> DataFrame:
-    """Smallest member of each node's connected component, as column ``root``.
-
-    Labels move along edges and then jump to their label's label, until nothing changes. Every round is written to the
-    checkpoint folder, so lineage stays short and a lost executor costs one round.
-    """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = materialise(both)
-    linked = both.select(F.col("src").alias("v")).distinct()
-    labels = materialise(linked.select("v", F.col("v").alias("root")))
-    while True:
-        seen = both.join(labels.select(F.col("v").alias("src"), "root"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("root").alias("near"))
-        moved = labels.join(seen, "v").select("v", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        jump = moved.select(F.col("v").alias("root"), F.col("root").alias("further"))
-        nxt = materialise(moved.join(jump, "root").select("v", "old", F.col("further").alias("root")))
-        changed = nxt.filter(F.col("old") != F.col("root")).limit(1).count()
-        labels = nxt.select("v", "root")
-        if not changed:
-            break
-    return nodes.join(labels.withColumnRenamed("v", node), node, "left").withColumn("root", F.coalesce("root", node))
-
-
 def name_groups(names: DataFrame, name: str = "name") -> DataFrame:
     """(name, key, canonical): names of equal normal form, under the longest spelling, ties by alphabet. One aggregate."""
     keyed = names.select(strip(name).alias("name")).filter(F.col("name") != "").distinct().withColumn("key", normal_name(F.col("name")))
@@ -101,7 +78,8 @@ def merge_map(groups: DataFrame, decisions: DataFrame | None = None, min_score:
     """(name, canonical) of names to be replaced.
 
     Equal normal forms merge by rule. With ``min_score``, a group also goes to its best near name of at least that score,
-    if that one itself stays. ``decisions`` (name, canonical) override both, also to keep a name as it is.
+    if that one itself stays. ``decisions`` (name, canonical) override both, also to keep a name as it is; of several for one
+    name the first by alphabet counts.
     """
     found = groups.select("name", "canonical")
     if min_score is not None:
@@ -110,6 +88,6 @@ def merge_map(groups: DataFrame, decisions: DataFrame | None = None, min_score:
         moved = best.select("key", "to.*").join(best.select(F.col("key").alias("near_key")), "near_key", "left_anti")
         found = groups.join(moved, "key", "left").select("name", F.coalesce("near_canonical", "canonical").alias("canonical"))
     if decisions is not None:
-        told = decisions.select("name", "canonical").dropDuplicates(["name"])
+        told = decisions.groupBy("name").agg(F.min("canonical").alias("canonical"))
         found = found.join(told, "name", "left_anti").unionByName(told)
     return found.filter(F.col("name") != F.col("canonical"))

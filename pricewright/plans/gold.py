@@ -25,7 +25,7 @@ VIEWS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
     "deal_scorecard": (d.deal_scorecard, ("fact_deal_opportunity", "dim_sales_rep")),
     "churn_risk": (r.churn_risk, ("fact_revenue", "dim_customer", "fact_recurring_revenue")),
     "geo_pricing": (r.geo_pricing, ("fact_revenue",)),
-    "opportunities": (o.opportunities, ("fact_revenue", "fact_deal_opportunity", "fact_rebate_incentive", "view:churn_risk")),
+    "opportunities": (o.opportunities, ("fact_revenue", "fact_deal_opportunity", "fact_rebate_incentive", "dim_customer", "fact_recurring_revenue")),
     "price_band": (d.price_band, ("fact_deal_opportunity",)),
     "win_loss": (d.win_loss, ("fact_deal_opportunity",)),
     "deal_velocity": (d.deal_velocity, ("fact_deal_opportunity", "dim_sales_rep")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -29,11 +31,14 @@ def classify_tables(names: list[str], spark, decisions: Mapping[str, str] | None
     return {n: t for n, t in targets.items() if t in TABLES}
 
 
-def column_map(df: DataFrame, target: str, decisions: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Source column -> canonical column: rules first, then outside decisions for the rest. A handful of headers."""
+def column_map(df: DataFrame, target: str, decisions: Mapping[str, str] | None = None, benefits: bool = False) -> dict[str, str]:
+    """Source column -> canonical column: rules first, then outside decisions for the rest. A handful of headers.
+
+    ``benefits`` adds the spellings of the benefits-management domain.
+    """
     spark = df.sparkSession
     columns = spark.createDataFrame([("t", target, c) for c in df.columns], "source string, target_table string, column string")
-    mapped = k.map_columns(columns)
+    mapped = k.map_columns(columns, k.benefits_rules() if benefits else None)
     if decisions:
         told = spark.createDataFrame([("t", target, a, b) for a, b in decisions.items()], "source string, target_table string, column string, canonical string")
         mapped = k.apply_decisions(mapped, told)
@@ -49,19 +54,23 @@ def load(
     tables: Mapping[str, str] | None = None,
     columns: Mapping[str, Mapping[str, str]] | None = None,
     dry_run: bool = False,
+    benefits: bool = False,
 ) -> DataFrame:
     """Write every table the rules or decisions place, dimensions first; return one summary row per source table.
 
     Natural keys are merged: of rows with one key the one of the last source table stays, in a source the last by its
     ``_position``, where it has one. Generated keys are made over all sources of a table and replace the client's slice. Rows
     without a required value go to the table ``rejected``, as JSON with their source. A dry run counts and writes nothing.
+
+    What is recorded about a load is kept under a mark of its content: the same rows loaded again, also after a failure
+    half-way, leave one set of records. Terminations are checked against the book of business where both are there.
     """
-    spark = store.spark
+    spark, marks = store.spark, []
     targets = classify_tables(list(silver), spark, tables)
     summary, total = [], 0
     by_target: dict[str, list[tuple[str, DataFrame, dict[str, str]]]] = {}
     for name, target in targets.items():
-        mapping = column_map(silver[name], target, (columns or {}).get(name))
+        mapping = column_map(silver[name], target, (columns or {}).get(name), benefits)
         by_target.setdefault(target, []).append((name, silver[name], mapping))
     loaded = []
     for target in in_load_order(list(by_target)):
@@ -69,14 +78,15 @@ def load(
         for place, (name, df, mapping) in enumerate(by_target[target]):
             good, bad = to_canonical(df, spec, mapping, client_id, keep=[POSITION], keyed=False)
             good, bad = staged(good, "good"), staged(bad.drop(POSITION), "rejected")
-            counts = (good.count(), bad.count())
+            counts, mark = zip(*[content_mark(df) for df in (good, bad)])
+            marks.append((name, target, *mark))
             summary.append((name, target, *counts, mapping))
             total += counts[0]
             position = F.col(POSITION) if POSITION in good.columns else F.lit(None).cast(POSITION_TYPE)
             order = F.struct(F.lit(place).alias("source"), position.cast(POSITION_TYPE).alias("position"))
             parts.append(good.drop(POSITION).withColumn(ORDER, order))
             if counts[1] and not dry_run:
-                store.append("rejected", rejected(bad, client_id, name, target))
+                store.append("rejected", rejected(bad, client_id, name, target), load_mark(client_id, marks[-1:]))
         if dry_run:
             continue
         rows = union_records(parts)
@@ -90,17 +100,38 @@ def load(
         summary, "source string, target_table string, rows long, rejected long, mapping map<string,string>"
     )
     if not dry_run:
-        store.append("meta_data_source", lineage(result, client_id))
-        store.append("meta_run", run_record(result, client_id, "load"))
+        mark = load_mark(client_id, marks)
+        store.append("meta_data_source", lineage(result, client_id), mark)
+        store.append("meta_run", run_record(result, client_id, "load"), mark)
         found, missing = check_load(store, client_id, loaded)
         grade = quality.overall_grade(found).first()["grade"] if found is not None else None
-        for name, report in (("quality_report", found), ("fk_report", missing)):
+        unlinked = termination_links(silver, client_id)
+        for name, report in (("quality_report", found), ("fk_report", missing), ("termination_report", unlinked)):
             if report is not None:
-                store.append(name, report.withColumn("checked_at", F.current_timestamp()))
+                store.append(name, report.withColumn("checked_at", F.current_timestamp()), mark)
         store.upsert("clients", client_row(spark, client_id, client_name, industry, total, len(loaded), grade), ["client_id"])
     return result
 
 
+def content_mark(df: DataFrame) -> tuple[int, str]:
+    """(rows, a mark of their content whatever their order), in one pass."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("*")).alias("x"), F.sum(F.xxhash64(F.lit(1), "*").cast("decimal(38,0)")).alias("s")).first()
+    return row["n"], f"{row['n']}/{row['x']}/{row['s']}"
+
+
+def load_mark(client_id: str, marks: list[tuple]) -> str:
+    return hashlib.md5(json.dumps([client_id, *marks]).encode()).hexdigest()
+
+
+def termination_links(silver: Mapping[str, DataFrame], client_id: str) -> DataFrame | None:
+    """Terminated clients that the book of business doesn't know; None where one of the two tables is missing."""
+    ended = next((df for n, df in silver.items() if "termination" in n and "client_name" in df.columns), None)
+    book = next((df for n, df in silver.items() if "book_of_business" in n and "client_name" in df.columns), None)
+    if ended is None or book is None:
+        return None
+    return quality.unlinked_terminations(ended, book).select(F.lit(client_id).alias("client_id"), "client_name", "rows")
+
+
 #: Dimensions and the key by which facts refer to them.
 PARENTS = {"dim_customer": "customer_id", "dim_product": "product_sku", "dim_sales_rep": "sales_rep_id", "dim_contract": "contract_id"}
 
@@ -177,7 +208,7 @@ def write_layer(store: TableStore, tables: Mapping[str, DataFrame], client_id: s
         store.replace(f"{stage}_{name}", rows, [client_id])
         counts.append((name, store.read(f"{stage}_{name}", client_id).count(), 0))
     record = run_record(store.spark.createDataFrame(counts, "source string, rows long, rejected long"), client_id, stage)
-    store.append("meta_run", record)
+    store.append("meta_run", record, load_mark(client_id, [stage, *counts]))
     return record
 
 

@@ -183,6 +183,10 @@ def geo_pricing(revenue: DataFrame) -> DataFrame:
     )
 
 
+def month_number(day: str) -> Column:
+    return F.year(day) * 12 + F.month(day)
+
+
 def churn_risk(
     revenue: DataFrame,
     customers: DataFrame,
@@ -196,9 +200,14 @@ def churn_risk(
     transaction. Facts shrink to customer-months first; the last transaction comes from the same months, columns and all,
     so that one scan and one exchange serve both.
     """
-    months = revenue.groupBy(
-        "client_id", "customer_id", (F.year("transaction_date") * 12 + F.month("transaction_date")).alias("m")
-    ).agg(total("revenue").alias("rev"), F.max("transaction_date").alias("last_day"))
+    months = revenue.groupBy("client_id", "customer_id", month_number("transaction_date").alias("m")).agg(
+        total("revenue").alias("rev"), F.max("transaction_date").alias("last_day")
+    )
+    return churn_of_months(months, customers, recurring, recency_days, weights)
+
+
+def churn_of_months(months: DataFrame, customers: DataFrame, recurring: DataFrame, recency_days: int = 180, weights: tuple[float, float, float] = (40.0, 40.0, 20.0)) -> DataFrame:
+    """``churn_risk`` from (client_id, customer_id, m, rev, last_day), one row per customer and month."""
     latest = months.groupBy("client_id").agg(F.max(F.struct("last_day", "m", "rev")).alias("t"))
     anchor = latest.select("client_id", F.col("t.last_day").alias("today"), F.col("t.m").alias("m1"))
     age = F.col("m1") - F.col("m")

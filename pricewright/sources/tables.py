@@ -124,9 +124,9 @@ class TableStore:
             current = self.read(table).join(source.select("client_id").distinct(), "client_id", "left_semi")
         self.replace(table, merge_into(current, source, keys, order))
 
-    def append(self, table: str, df: DataFrame) -> None:
-        """Append-only tables such as run and lineage records."""
-        df.write.mode("append").parquet(f"{self.root}/{table}")
+    def append(self, table: str, df: DataFrame, load: str) -> None:
+        """Records of one load, such as run and lineage records, beside those of others; the same load again replaces its own."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{table}/load={load}")
 
 
 def merge_into(target: DataFrame | None, source: DataFrame, keys: Sequence[str], order=None) -> DataFrame:

@@ -226,16 +226,6 @@ def brute_edges(names):
     return root
 
 
-def test_components_equal_brute_force(spark):
-    import random
-
-    rng = random.Random(5)
-    names = sorted({"".join(rng.choice("abc") for _ in range(rng.choice((6, 7)))) for _ in range(120)})
-    keyed = spark.createDataFrame([(n,) for n in names], "key string")
-    got = {r.key: r.root for r in entities.components(keyed, entities.near_edges(keyed)).collect()}
-    assert got == brute_edges(names)
-
-
 def test_merges_and_decisions(spark):
     groups = spark.createDataFrame([("a", "A Co"), ("b", "A Co"), ("A Co", "A Co")], "name string, canonical string")
     told = spark.createDataFrame([("a", "a")], "name string, canonical string")
@@ -315,3 +305,24 @@ def test_benefits_checks(spark):
 def test_payload_leaves_nulls_out(spark):
     df = spark.createDataFrame([(1, float("nan"), None)], "a int, b double, c string")
     assert clean.without_nulls(df).first().payload == '{"a":1}'
+
+
+def test_clashing_rows_have_one_winner(spark):
+    names = spark.createDataFrame([("Acme",), ("Zen",)], "name string")
+    told = spark.createDataFrame([("Acme", "Beta"), ("Acme", "Alpha")], "name string, canonical string")
+    assert rows(entities.merge_map(entities.name_groups(names), told.repartition(3))) == [("Acme", "Alpha")]
+    lookup = spark.createDataFrame([("A", "x", None), ("A", "z", "s"), ("A", "y", "s"), (None, "q", "q")], "customer_name string, industry string, segment string")
+    out = enrich.enrich(spark.createDataFrame([("A",), (None,)], "customer_name string"), lookup.repartition(4))
+    assert rows(out.select("customer_name", "industry", "segment")) == [("A", "y", "s"), (None, None, None)]
+    headers = spark.createDataFrame([("s", "fact_revenue", "what")], "source string, target_table string, column string")
+    clash = spark.createDataFrame([("s", "fact_revenue", "what", "revenue"), ("s", "fact_revenue", "what", "cogs")], "source string, target_table string, column string, canonical string")
+    assert classify.apply_decisions(classify.map_columns(headers), clash).first()["canonical"] == "cogs"
+
+
+def test_benefits_headers(spark):
+    asked = [("transaction_fact", "NR", "revenue"), ("book_of_business_fact", "Lives", "lives_covered"), ("contract", "PEPM", "pepm_rate"), ("fact_revenue", "nr", "revenue"),
+             ("terminations_fact", "GA", "broker_name"), ("book_of_business_fact", "jan_1", "effective_date"), ("fact_revenue", "Amount", "revenue"), ("contract", "nothing", None)]
+    headers = spark.createDataFrame([("s", t, c) for t, c, _ in asked], "source string, target_table string, column string")
+    got = {(r.target_table, r["column"]): r.canonical for r in classify.map_columns(headers, classify.benefits_rules()).collect()}
+    assert got == {(t, c): m for t, c, m in asked}
+    assert classify.map_columns(headers).where("canonical IS NOT NULL").count() == 1

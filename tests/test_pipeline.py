@@ -163,7 +163,12 @@ def test_folder_to_dashboard(spark, folder, tmp_path):
     load.load(store, silver_tables, "acme", "Acme Client")  # the same load again changes nothing
     stored = store.read("fact_revenue")
     assert stored.count() == 25 and store.read("clients").first().total_records == 25
-    assert spark.read.parquet(f"{store.root}/meta_data_source").count() == 2
+    for name, n in (("meta_data_source", 1), ("meta_run", 1), ("rejected", 5)):  # records of one load, however often it ran
+        assert spark.read.parquet(f"{store.root}/{name}").count() == n
+    more = {n: df.limit(df.count() - 1) for n, df in silver_tables.items()}
+    load.load(store, more, "acme", "Acme Client")
+    assert spark.read.parquet(f"{store.root}/meta_run").count() == 2
+    load.load(store, silver_tables, "acme", "Acme Client")
     pareto = gold.read_view("sku_pareto", store.read, "acme").orderBy("cum_pct").collect()
     assert pareto[-1].cum_pct == pytest.approx(100) and len(pareto) == 2
 
@@ -192,6 +197,8 @@ def test_benefits_tables(spark):
     book = records.withColumn("target_table", F.lit("book_of_business_fact"))
     named = bronze.build(book, ["book_of_business_fact"], "PBM", "ignored", options)["book_of_business_fact"]
     assert rows(named.select("client_name", "client_id")) == [("A Co", "PBM-CLI-0001"), ("B Co", "PBM-CLI-0002")]
+    unlinked = load.termination_links({"terminations_fact": out, "book_of_business_fact": named.filter("client_name = 'A Co'")}, "PBM")
+    assert rows(unlinked) == [("PBM", "B Co", 1)] and load.termination_links({"terminations_fact": out}, "PBM") is None
 
 
 def test_store_keeps_other_clients(spark, tmp_path):

@@ -158,13 +158,32 @@ def test_one_scan_of_the_facts(spark, tmp_path):
     assert plan.count("ReusedExchange") >= 1
 
 
+def test_one_scan_for_all_opportunities(spark, tmp_path):
+    day = F.expr("date_add(date'2024-01-01', cast(id % 300 as int))")
+    facts = spark.range(500).select(
+        F.lit("c").alias("client_id"), (F.col("id") % 7).cast("string").alias("customer_id"), (F.col("id") % 3).cast("string").alias("geography"), day.alias("transaction_date"),
+        *[F.col("id").cast("string").alias(c) for c in ("revenue", "cogs", "quantity")])
+    facts.write.parquet(str(tmp_path / "facts"))
+    deals = spark.createDataFrame([("c", "Won", "40", "1000")], "client_id string, deal_outcome string, discount_pct string, deal_value string")
+    rebates = spark.createDataFrame([("c", "50", "20")], "client_id string, accrued_amount string, paid_amount string")
+    customers = spark.createDataFrame([("c", "1", "n")], "client_id string, customer_id string, customer_name string")
+    recurring = spark.createDataFrame([("c", "1", "5")], "client_id string, customer_id string, nps_score string")
+    out = opportunities.opportunities(spark.read.parquet(str(tmp_path / "facts")), deals, rebates, customers, recurring)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet", plan)) == 1 and "ReusedExchange" in plan
+
+
 def test_all_opportunity_rules_can_fire(spark):
-    revenue = spark.createDataFrame([("c", "1", "north", "90", "100", "10"), ("c", "2", "south", "300", "50", "10")], "client_id string, customer_id string, geography string, revenue string, cogs string, quantity string")
+    revenue = spark.createDataFrame([
+        ("c", "1", "north", "90", "100", "10", "2024-06-30"), ("c", "2", "south", "300", "50", "10", "2024-06-30"), ("c", "3", "west", "2000", "500", "20", "2024-01-01"),
+    ], "client_id string, customer_id string, geography string, revenue string, cogs string, quantity string, d string").withColumn("transaction_date", F.col("d").cast("date"))
     deals = spark.createDataFrame([("c", "Won", "40", "1000")], "client_id string, deal_outcome string, discount_pct string, deal_value string")
     rebates = spark.createDataFrame([("c", "50", "20")], "client_id string, accrued_amount string, paid_amount string")
-    churn = spark.createDataFrame([("c", 80.0, 2.0)], "client_id string, risk_score double, revenue double")
-    got = {r.type: round(r.impact_mid, 4) for r in opportunities.opportunities(revenue, deals, rebates, churn).collect()}
-    assert got == {"Discount": 250.0, "Margin": 10.0, "Rebate": 30.0, "Geography": 105.0, "Retention": 1000.0}
+    customers = spark.createDataFrame([("c", "3", "gone")], "client_id string, customer_id string, customer_name string")
+    recurring = spark.createDataFrame([("c", "3", "10")], "client_id string, customer_id string, nps_score string")
+    got = {r.type: round(r.impact_mid, 4) for r in opportunities.opportunities(revenue, deals, rebates, customers, recurring).collect()}
+    assert got == {"Discount": 250.0, "Margin": 10.0, "Rebate": 30.0, "Geography": 805.0, "Retention": 1000.0}
 
 
 def test_price_corridor_counts_all_rows(spark):
