@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import running
@@ -11,8 +13,8 @@ from .common import staged, table, word_count
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = "mix-1"
-#: Slices of the shuffled order of a source, and of the virtual time.
-SLICES = 4096
+#: Documents that a slice of the shuffled order, or of the virtual time, has about.
+SLICE_ROWS = 4096
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -36,34 +38,42 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     return levels.join(F.broadcast(free)).select("source", "srank", "source_size", target.alias("target"))
 
 
+def place(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A document's place in the shuffled order: a seeded hash of id and text, so that only equal rows share it."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS,
     max_repeats: int = MAX_REPEATS, seed: str = SEED,
 ) -> DataFrame:
     """How often each document is taken so that the sources' words come to their targets.
 
-    A source's documents are shuffled by a seeded hash; pass e over them follows pass e - 1. A copy's virtual finish
+    A source's documents are shuffled by a seeded hash of id and text; pass e over them follows pass e - 1. A copy's virtual finish
     time is the words of its source up to it, divided by the source's target. All copies are ordered by finish time
     and taken while their words fit into the total budget, the words of all documents. Both running sums go over
-    ordered slices, so neither a source nor the whole order meets in one task.
+    ordered slices of a few thousand documents, whatever their number, so neither a source nor the whole order, nor the rows of
+    one id or of none, meet in one task. The order is total but for equal rows, which weigh the same: reruns agree.
 
-    Returns one row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken. A null text has size 0; a
+    Returns one row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken, place. A null text has size 0; a
     null source is a source; rows that repeat count each for itself. Documents of size 0 take their place in the order
     and are taken with 0 words; a source without words has target 0, and its documents none. An empty table gives an empty one.
     """
     sizes = staged(docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-        F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("u"),
+        place(F.col(doc_id), F.col(text), seed).alias("u"),
     ), "sizes")
     goal = staged(targets(sizes, weights, max_repeats).coalesce(1), "targets")
     placed = sizes.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    cut = F.conv(F.substring("u", 1, 3), 16, 10).cast("int")
+    # Hexadecimal digits of the place that a slice is known by; seven make 2^28 slices.
+    digits = min(7, max(1, math.ceil(math.log(max(1, sizes.count()) / SLICE_ROWS, 16))))
+    cut = F.conv(F.substring("u", 1, digits), 16, 10).cast("int")
     queued = staged(running(placed, ["srank"], [F.col("u"), F.col("doc_id")], {"cum": F.col("size")}, "n", cut), "queue")
     passes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(max_repeats), F.ceil(_turns()).cast("int"))))
     copies = queued.where("source_size > 0").select("srank", "n", "size", "cum", "source_size", "target", F.explode(passes).alias("e"))
     copies = copies.select("srank", "n", "e", "size", _finish("e").alias("finish"))
     order = [F.col(c) for c in ("finish", "srank", "e", "n")]
-    tick = F.least(F.floor(F.col("finish") * SLICES), F.lit(4 * SLICES)).cast("int")
+    tick = F.floor(F.col("finish") * 16**digits).cast("long")
     passed = running(copies, [], order, {"spent": F.col("size")}, chunk=tick)
     budget = goal.agg(F.sum("source_size").alias("budget"))
     last = staged(passed.join(F.broadcast(budget)).where("spent <= budget").agg(F.max(F.struct(*order)).alias("last")), "cut")
@@ -73,7 +83,7 @@ def mix(
         for e in range(1, max_repeats + 1)
     )
     out = queued.join(F.broadcast(last)).withColumn("copies", taken)
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("u").alias("place"))
 
 
 def _finish(e):
@@ -91,14 +101,16 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The mixture itself: a document taken twice is there twice; its columns are those of ``docs``."""
-    times = mix(docs).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies")).where("_mix_copies > 0")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(F.col("_mix_id")))
+    # Equal rows lie behind one another in the order, so that the budget may end between them: the first of them decides.
+    times = mix(docs).groupBy(F.col("place").alias("_mix_place"), F.col("source").alias("_mix_source")).agg(F.max("copies").alias("_mix_copies")).where("_mix_copies > 0")
+    same = (place(docs["doc_id"], docs["text"]) == F.col("_mix_place")) & docs["source"].eqNullSafe(F.col("_mix_source"))
+    joined = docs.join(times, same)
     return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "_mix_copies")).alias("_mix_pass")).drop("_mix_pass")
 
 
 SQL = f"""
 WITH sizes AS (
-    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS u
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS u
     FROM documents),
 ranked AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS srank FROM sizes GROUP BY source),
 capped AS (SELECT *, CASE (srank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * {MAX_REPEATS} AS cap FROM ranked),
