@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import staged, table
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -22,7 +23,9 @@ _WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 #: The model is fitted on lines of about this many documents: those with a base span, and one of each other document.
 TRAIN_DOCS = 20_000
-#: Longest piece of a line used for fitting.
+#: Lines the model is fitted on at most; with more, a share of them is drawn by hash.
+TRAIN_LINES = 30_000
+#: Longest piece of a line used for fitting; a span that goes on behind the cut is one up to it.
 TRAIN_CHARS = 1_000
 EPOCHS, RATE, BATCH = 8, 0.2, 256
 #: Tagged spans shorter than this are no secrets.
@@ -261,25 +264,34 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0):
             text = text.as_py() or ""
             lines, at, share = text.split("\n"), 0, sign_share(text)
-            spans = [(s, e) for _, _, e, s in base_spans(text)]
+            spans, next_span = sorted({(s, e) for _, _, e, s in base_spans(text)}), 0  # no span crosses a line
             chosen = -1 if spans else len(text) % len(lines)
             for i, line in enumerate(lines):
-                mine = sorted({(max(0, s - at), min(len(line), e - at)) for s, e in spans if s < at + len(line) and e > at})
+                mine = []
+                while next_span < len(spans) and spans[next_span][0] < at + len(line):
+                    mine.append((spans[next_span][0] - at, spans[next_span][1] - at))
+                    next_span += 1
                 if mine or i == chosen:
                     low = max(0, mine[0][0] - TRAIN_CHARS // 2) if mine else 0
-                    inside = [(s - low, e - low) for s, e in mine if e - low <= TRAIN_CHARS]
+                    inside = [(s - low, min(e - low, TRAIN_CHARS)) for s, e in mine if s - low < TRAIN_CHARS]
                     rows.append((line[low : low + TRAIN_CHARS], [s for s, _ in inside], [e for _, e in inside], share))
                 at += len(line) + 1
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, schema)], schema=schema)
 
 
-def fit(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) -> Crf | None:
-    """A field learned from the base patterns' own spans on a bounded sample of documents; None where the sample has none."""
+def fit(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Crf | None:
+    """A field learned from the base patterns' own spans on a bounded sample; None where the sample has none.
+
+    About ``train_docs`` documents are drawn by hash, and of their lines, which may be many in a long document, ``train_lines``
+    at most about: that bounds what the driver gets and trains on.
+    """
     rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
     total = rows.count()
     share = min(1.0, train_docs / max(1, total))
     drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-    found = drawn.mapInArrow(_examples, "line string, starts array<int>, ends array<int>, signs double").distinct()
+    found = staged(drawn.mapInArrow(_examples, "line string, starts array<int>, ends array<int>, signs double").distinct(), "lines")
+    portion = min(1.0, train_lines / max(1, found.count()))
+    found = found.where(F.pmod(F.xxhash64("line", "starts", "signs"), F.lit(1 << 20)) < portion * (1 << 20))
     lines = sorted((r["line"], tuple(r["starts"]), tuple(r["ends"]), r["signs"]) for r in found.toLocalIterator())
     if not any(s for _, s, _, _ in lines):
         return None
@@ -289,6 +301,23 @@ def fit(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS) -> Cr
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
+def uncovered(found: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The found spans that ``spans`` together don't cover."""
+    merged: list[list[int]] = []
+    for _, s, e in sorted(spans, key=lambda x: x[1:]):
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    starts = [s for s, _ in merged]
+    out = []
+    for s, e in found:
+        i = bisect_right(starts, s) - 1
+        if i < 0 or merged[i][1] < e:
+            out.append((s, e))
+    return out
+
+
 def _scan(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     crf = shared.value
     types = [pa.int64()] * 4 + [pa.string()] * 2
@@ -303,7 +332,7 @@ def _scan(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows = []
         for i, mine, more in zip(ids, base, tagged):
             spans = [x[:3] for x in mine]
-            added = [("crf", s, e) for s, e in more if not any(s < be and e > bs for _, bs, be in spans)]
+            added = [("crf", s, e) for s, e in uncovered(more, spans)]
             counts = [sum(k == kind for k, _, _ in spans) for kind in KINDS[:3]]
             rows.append((i, *counts, hashlib.sha256(joined(spans).encode()).hexdigest(), joined(spans + added)))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -324,8 +353,8 @@ def _scan(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def scan(docs: DataFrame, crf: Crf | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``SCHEMA``, one row per row: counts and digest of the pattern matches, and all spans.
 
-    The field reads whole texts as sequences of tokens and adds spans of kind ``crf`` that overlap no pattern's match. Spans are
-    kind:start:end in code points, end exclusive, by start, then kind. A null or empty text has none; repeated rows give equal
+    The field reads whole texts as sequences of tokens and adds spans of kind ``crf`` unless the patterns' matches cover them, so
+    that a secret of which a pattern sees a part only is there as a whole, too. Spans are kind:start:end in code points, end exclusive, by start, then kind. A null or empty text has none; repeated rows give equal
     rows, an empty table an empty one; other columns are ignored. Without a field (``crf`` None) only the patterns count.
     """
     shared = docs.sparkSession.sparkContext.broadcast(crf)  # a fixed number of weights
