@@ -32,8 +32,8 @@ BANDS = {
 }
 #: Of unlisted scripts the documents' own spread replaces the bands above, up to this share: beyond it no vocabulary covers the text.
 MOST_FALLBACK = 0.95
-#: Documents that pass the base rules from which a spread is taken.
-LEAST_DOCS = 20
+#: Documents of a script at which their own spread weighs as much as the outer bounds; with more it weighs more.
+EVEN_DOCS = 20
 _SCRIPTS = {
     "Cyrillic": "Ѐ-ԯ", "Greek": "Ͱ-Ͽἀ-῿", "Arabic": "؀-ۿݐ-ݿ", "Hebrew": "֐-׿",
     "Devanagari": "ऀ-ॿ", "Thai": "฀-๿", "East Asian": "぀-ヿ㐀-鿿가-힯",
@@ -43,6 +43,8 @@ _BEYOND = re.compile("[Ͱ-
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 _ACCENTED = re.compile("[À-ɏḀ-ỿ]")
 _EAST_ASIAN = {"Kana": re.compile("[぀-ヿ]"), "Hangul": re.compile("[가-힯]")}
+#: No text of a vocabulary of 50,000 tokens has more bits a token.
+MOST_ENTROPY = 16.0
 WINDOW = 8
 #: Distinct words that a Python worker remembers (about 300 bytes each).
 CACHE_WORDS = 500_000
@@ -193,7 +195,7 @@ def _high(spread: str, margin: Column) -> Column:
     return p[2] + F.greatest(1.5 * (p[2] - p[1]), margin)
 
 
-def spreads(measured: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
+def spreads(measured: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bands drawn from the documents that pass the base rules: of characters per token and fallback share by part of a
     script, of entropy by part and order of magnitude of the tokens, as entropy grows with a text's length. A bound lies 1.5
     times the distance from the median to the percentile beyond that percentile, and at least a small margin."""
@@ -202,36 +204,42 @@ def spreads(measured: DataFrame, least_docs: int = LEAST_DOCS) -> tuple[DataFram
     lengths = sound.groupBy("part", "magnitude").agg(F.count(F.lit(1)).alias("n"), _spread("token_entropy").alias("b"))
     small = 0.03 * F.col("c")[1]
     return (
-        parts.where(F.col("n") >= least_docs).select("part", _low("c", small).alias("c_low"), _high("c", small).alias("c_high"), _high("f", F.lit(0.05)).alias("f_high")),
-        lengths.where(F.col("n") >= least_docs).select("part", "magnitude", _low("b", F.lit(1.0)).alias("b_low"), _high("b", F.lit(1.0)).alias("b_high")),
+        parts.select("part", F.col("n").alias("c_n"), _low("c", small).alias("c_low"), _high("c", small).alias("c_high"), _high("f", F.lit(0.05)).alias("f_high")),
+        lengths.select("part", "magnitude", F.col("n").alias("b_n"), _low("b", F.lit(1.0)).alias("b_low"), _high("b", F.lit(1.0)).alias("b_high")),
     )
 
 
 def judge(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: dict = BANDS, ranks: str = RANKS, pieces: str = PIECES,
-    least_docs: int = LEAST_DOCS,
+    even_docs: int = EVEN_DOCS,
 ) -> DataFrame:
     """Base counts and the fertility verdict of every document; texts are read once and not shuffled.
 
     Characters per token and token entropy come from a byte-level vocabulary, the byte-fallback share from a piece
     vocabulary; a word's tokens are those of the word after a space. A document is kept if the base rules pass and the
-    three measures lie within the bands of its most frequent script: those of ``bands`` and, where ``least_docs`` documents
-    or more show it, the spread of the documents themselves (``spreads``). Of scripts that ``bands`` doesn't list the spread
-    alone counts. A spread is that of real text as long as fewer than one in twenty of a script's documents are debris.
+    three measures lie within the bands of its most frequent script. A bound lies between that of ``bands`` and that of the
+    spread of the documents themselves (``spreads``), where the spread is the tighter one or ``bands`` doesn't list the script; with n
+    documents the spread has the weight n / (n + ``even_docs``), so that no single document turns the verdict of others. A spread is that of real text as long as fewer than one in twenty of a script's documents are debris.
 
     Returns the columns of ``SCHEMA``, one row per row. A null or empty text has no words, fails the base rules, and has
     null measures. Repeated rows give equal rows, an empty table an empty one; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     measured = staged(rows.mapInArrow(partial(_run, ranks, pieces, bands), _MEASURED), "measures")
-    parts, lengths = (F.broadcast(s) for s in spreads(measured, least_docs))  # a few hundred rows at most
-    unlisted = (F.col("script") == "other") & ~F.col("part").isin(*bands) & F.col("c_low").isNotNull()
-    least = F.when(unlisted, F.col("c_low")).otherwise(F.greatest("least", "c_low"))
-    most = F.when(unlisted, F.col("c_high")).otherwise(F.least("most", "c_high"))
-    share = F.when(unlisted, F.least("f_high", F.lit(MOST_FALLBACK))).otherwise(F.least("share", "f_high"))
+    parts, lengths = (F.broadcast(s) for s in spreads(measured))  # a few hundred rows at most
+    unlisted = (F.col("script") == "other") & ~F.col("part").isin(*bands)
+
+    def bound(outer: Column, spread: Column, n: str, tighter) -> Column:
+        """The outer bound moved towards the spread's by the weight of n documents; outwards only for unlisted scripts."""
+        moved = outer + (spread - outer) * F.col(n) / (F.col(n) + even_docs)
+        return F.coalesce(F.when(unlisted, moved), tighter(outer, moved), outer)
+
+    least, most, share, floor = (F.col(c) for c in ("least", "most", "share", "floor"))
     fine = (
-        F.col("chars_per_token").between(least, most) & (F.col("fallback_share") <= share)
-        & (F.col("token_entropy") >= F.greatest("floor", "b_low")) & F.coalesce(F.col("token_entropy") <= F.col("b_high"), F.lit(True))
+        (F.col("chars_per_token") >= bound(least, F.col("c_low"), "c_n", F.greatest)) & (F.col("chars_per_token") <= bound(most, F.col("c_high"), "c_n", F.least))
+        & (F.col("fallback_share") <= bound(share, F.least("f_high", F.lit(MOST_FALLBACK)), "c_n", F.least))
+        & (F.col("token_entropy") >= F.greatest(floor, bound(floor, F.col("b_low"), "b_n", F.greatest)))
+        & (F.col("token_entropy") <= bound(F.lit(MOST_ENTROPY), F.col("b_high"), "b_n", F.least))
     )
     out = measured.join(parts, "part", "left").join(lengths, ["part", "magnitude"], "left")
     return out.withColumn("kept", F.coalesce(~F.col("base_failed") & fine, F.lit(False))).select(*[c.split()[0] for c in SCHEMA.split(", ")])
