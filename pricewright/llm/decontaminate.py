@@ -14,8 +14,6 @@ SIMILARITY = 0.8
 #: Bits of a fingerprint that may differ, and the blocks of the index. Of 17 flips over 6 blocks, some block has at most 2.
 RADIUS = 17
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-#: Item shingles up to this number are broadcast (16 bytes each); beyond it the join shuffles.
-BROADCAST_SHINGLES = 2_000_000
 
 
 def plain_words(text: Column) -> Column:
@@ -68,7 +66,7 @@ def _flips(width: int, most: int) -> list[int]:
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    similarity: float = SIMILARITY, broadcast_shingles: int = BROADCAST_SHINGLES,
+    similarity: float = SIMILARITY,
 ) -> DataFrame:
     """Documents that hold a passage like a benchmark item: (doc_id, item_id, start, similarity), one row a pair.
 
@@ -87,17 +85,16 @@ def contaminated(
         .select("*", F.monotonically_increasing_id().alias("item"), F.size("iw").alias("n")).withColumn("shingles", own_shingles(F.col("iw"))),
         "items",
     )
-    small = items.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0] <= broadcast_shingles
-    maybe = F.broadcast if small else (lambda df: df)
     lengths = sorted(r[0] for r in items.select(F.least("n", F.lit(SHINGLE))).distinct().collect())  # five values at most
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("body"))
     worded = rows.select("doc_id", "version", plain_words(F.col("body")).alias("dw"))
-    anchors = items.select(F.posexplode("shingles").alias("q", "h"), "n").distinct()
+    # Written, so that Spark knows its size when it chooses the join.
+    anchors = staged(items.select(F.posexplode("shingles").alias("q", "h"), "n").distinct(), "anchors")
     hits = None
     for k in lengths:
         found = shingle_rows(worded.withColumn("size", F.size("dw")), "dw", k)
         mine = anchors.where(F.least("n", F.lit(SHINGLE)) == k)
-        part = found.join(maybe(mine), "h").select("doc_id", "version", F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("size") - F.col("n"))).alias("start"), "n")
+        part = found.join(mine, "h").select("doc_id", "version", F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("size") - F.col("n"))).alias("start"), "n")
         hits = part if hits is None else hits.union(part)
     if hits is None:
         hits = worded.select("doc_id", "version", F.lit(0).alias("start"), F.lit(0).alias("n")).limit(0)

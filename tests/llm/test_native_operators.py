@@ -151,8 +151,10 @@ def test_decontamination(spark, corpus):
             if best >= 0.8:
                 expected.add((d, b))
     docs = corpus([(i, t, None, None) for i, t in enumerate(texts)])
-    for limit in (10**6, 0):
-        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench, broadcast_shingles=limit).collect()}
+    for limit in ("10m", "-1"):  # the items broadcast by Spark, and not
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert got == expected
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
