@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import BENEFITS_ROUTES, TABLES
 from ..functions import dates, numeric, text
-from ..operators import asof, classify, clean, context, date_order, enrich, entities, headers, keys, profile, quality, reshape, similar_names, sketches
+from ..operators import asof, classify, clean, content, context, date_order, enrich, entities, headers, keys, profile, quality, reshape, similar_names, sketches
 from ..plans import bronze, filters
 from ..sources import files
 from ..sources.tables import merge_into
@@ -487,6 +487,31 @@ def column_decisions(b):
     return classify.apply_decisions(classify.map_columns(_header_rows(b)), told)
 
 
+# Columns of the orders whose headers say nothing, as files of one office name them, and what they hold.
+_UNNAMED = {"f1": ("o_custkey", "customer_id"), "f2": ("o_orderpriority", "loss_reason"), "f3": ("o_orderstatus", "deal_outcome"), "f4": ("CAST(o_orderdate AS DATE)", "deal_close_date"),
+            "f5": ("'Rep ' || CAST(o_custkey % 20 AS STRING)", "sales_rep_id"), "f6": ("o_orderkey", "deal_id")}
+
+
+def _order_cells(b, keep, source, names: int) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(c if names == 0 else v[1]).alias("column"), F.expr(v[0]).cast("string").alias("value")) for c, v in _UNNAMED.items()])
+    return b.raw("orders").where(keep).select(source.alias("source"), F.lit("fact_deal_opportunity").alias("target_table"), F.explode(cells).alias("c")).select("source", "target_table", "c.*")
+
+
+@register("""SELECT 'file ' || (o_orderkey % 3) AS source, 'fact_deal_opportunity' AS target_table, c AS "column", m AS canonical
+    FROM (SELECT DISTINCT o_orderkey % 3 AS o_orderkey FROM orders),
+    (VALUES ('f1', 'customer_id'), ('f2', 'loss_reason'), ('f3', 'deal_outcome'), ('f4', 'deal_close_date'), ('f5', 'sales_rep_id'), ('f6', NULL), ('Opp ID', 'deal_id')) t(c, m)""")
+def content_mapping(b):
+    """Files with meaningless headers, mapped by earlier loads of the same columns; order numbers are new in every load and stay open."""
+    key = F.col("o_orderkey")
+    new = _order_cells(b, key % 2 == 0, F.concat(F.lit("file "), (key % 3).cast("string")), 0)
+    old = _order_cells(b, key % 2 == 1, F.concat(F.lit("old "), (key % 5).cast("string")), 1).withColumnRenamed("column", "canonical")
+    known = content.merge(content.sketch(old, ["source", "target_table", "canonical"]), ["target_table", "canonical"])
+    found = content.map_by_content(content.sketch(new, ["source", "target_table", "column"]), known)
+    sources = new.select("source", "target_table").distinct()
+    headers_ = sources.select("source", "target_table", F.explode(F.array(*[F.lit(c) for c in (*_UNNAMED, "Opp ID")])).alias("column"))
+    return content.fill_mapping(classify.map_columns(headers_), found)
+
+
 def _asked(b) -> tuple[DataFrame, DataFrame]:
     key = F.col("c_custkey")
     number = F.format_string("%08d", key)

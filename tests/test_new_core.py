@@ -9,7 +9,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from pricewright.operators import asof, context, entities, similar_names, sketches
+from pricewright.operators import asof, content, context, entities, similar_names, sketches
 from pricewright.plans import filters
 
 
@@ -154,3 +154,25 @@ def test_context_files(spark, tmp_path):
     found, lost = context.flatten_json(deep, depth=2)
     assert rows(found.select("field", "value")) == [("x", "2")] and lost.first()["problem"] == "deeper than 2 levels: a.b"
     assert context.flatten_json(deep.limit(0))[0].count() == 0
+
+
+# mapping by content
+
+def test_columns_are_known_by_what_they_hold(spark):
+    def cells(source, columns, name="column"):
+        return spark.createDataFrame([(source, "fact", c, v) for c, vs in columns.items() for v in vs], f"source string, target_table string, {name} string, value string")
+
+    towns, codes = [f"Town {i}" for i in range(60)], [f"SKU-{i:04d}" for i in range(80)]
+    old = cells("x", {"geography": towns[:30], "product_sku": codes, "quantity": [str(i) for i in range(50)]}, "canonical")
+    more = cells("y", {"geography": towns[30:] + towns[:5]}, "canonical")
+    known = content.merge(content.sketch(old.union(more), ["source", "target_table", "canonical"]), ["target_table", "canonical"])
+    whole = content.sketch(old.union(more).drop("source"), ["target_table", "canonical"])
+    assert rows(known) == rows(whole)
+    new = cells("n", {"a": [t.upper() + " " for t in towns] * 3, "b": codes[:70], "c": [f"{i}.00" for i in range(45)], "d": ["free text", "of some kind"], "e": ["", " ", None], "f": towns[:40]})
+    sketched = content.sketch(new, ["source", "target_table", "column"])
+    found = {r["column"]: r.canonical for r in content.map_by_content(sketched, known).collect()}
+    assert found == {"a": "geography", "b": "product_sku", "c": "quantity"}  # of two columns of towns the fuller one
+    mapped = spark.createDataFrame([("n", "fact", "a", None), ("n", "fact", "b", None), ("n", "fact", "Qty", "quantity"), ("n", "fact", "c", None)], "source string, target_table string, column string, canonical string")
+    filled = {r["column"]: r.canonical for r in content.fill_mapping(mapped, content.map_by_content(sketched, known)).collect()}
+    assert filled == {"a": "geography", "b": "product_sku", "Qty": "quantity", "c": None}
+    assert content.map_by_content(sketched.limit(0), known).count() == 0 and content.map_by_content(sketched, known.limit(0)).count() == 0
