@@ -488,7 +488,7 @@ def column_decisions(b):
 
 
 # Columns of the orders whose headers say nothing, as files of one office name them, and what they hold.
-_UNNAMED = {"f1": ("o_custkey", "customer_id"), "f2": ("o_orderpriority", "loss_reason"), "f3": ("o_orderstatus", "deal_outcome"), "f4": ("CAST(o_orderdate AS DATE)", "deal_close_date"),
+_UNNAMED = {"f1": ("o_custkey", "customer_id"), "f2": ("o_orderpriority", "loss_reason"), "f3": ("o_orderstatus", "deal_outcome"), "f4": ("CAST(date_trunc('month', o_orderdate) AS DATE)", "deal_close_date"),
             "f5": ("'Rep ' || CAST(o_custkey % 20 AS STRING)", "sales_rep_id"), "f6": ("o_orderkey", "deal_id")}
 
 
