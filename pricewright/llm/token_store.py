@@ -191,9 +191,9 @@ class Shard:
 
 # The index. Keys are dealt by hash into segments of bounded size. A segment's function is a cascade of bit arrays: a key
 # that is alone on its bit at a level ends there, the others go to the next level; its slot is the number of set bits
-# before its own. Each slot stores a fingerprint of its key and where the key's records are.
+# before its own. Each slot stores a fingerprint of its key, where its first record is, and how many shards its records go over.
 
-_SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("record", "<u8"), ("records", "<u4")])
+_SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("record", "<u8"), ("shards", "<u4")])
 
 
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -300,7 +300,7 @@ def _build_index(folder: str, batches):
         function = PerfectHash.build(keys)
         slots, at = np.zeros(len(keys), _SLOT), function.slots(keys)
         slots["print"][at] = fingerprints(keys)
-        for name in ("shard", "record", "records"):
+        for name in ("shard", "record", "shards"):
             slots[name][at] = rows.column(name).to_numpy()
         Segment(function, slots).write(folder, number)
         yield pa.RecordBatch.from_pydict({"segment": [number], "keys": [len(keys)]}, schema=pa.schema([("segment", pa.int64()), ("keys", pa.int64())]))
@@ -318,17 +318,20 @@ def write_store(
 
     Documents are range-shuffled by key as text (smaller than its ids); each task encodes its range and streams it to its
     shard. Ids take two bytes where the vocabulary allows. The result depends on the data only, so a task that runs again
-    writes the same file. Null texts are empty, null doc_ids get ``NULL_KEY``; records of one key are neighbours in one
-    shard, and the index has the key once with their number. ``added`` encodes the vocabulary's added tokens as the library
+    writes the same file. Null texts are empty, null doc_ids get ``NULL_KEY``; records of one key are neighbours, by text within
+    a shard. A key with very many records runs on over several shards, cut by a hash of the text, and the index has it once
+    with its first record and the number of shards; only records equal in key and text stay in one. ``added`` encodes the vocabulary's added tokens as the library
     does by itself, and so do the query and the stage; without it they are plain text (see ``Encoder``). An empty table gives a store without shards.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "body")
+    ordered = rows.repartitionByRange("key", F.xxhash64("body")).sortWithinPartitions("key", "body")
     schema = "key long, shard long, record long, first long, n_tokens long"
     records = staged(ordered.mapInArrow(partial(_write_shards, folder, vocabulary, end_id, added), schema), "records")
-    keys = records.groupBy("key").agg(F.min("shard").alias("shard"), F.min("record").alias("record"), F.count(F.lit(1)).alias("records"))
-    keys = staged(keys, "keys")
+    # Shard and record as one number, so that their minimum is the first place.
+    places = records.groupBy("key").agg(F.min(F.shiftleft("shard", 40) + F.col("record")).alias("first"), F.max("shard").alias("last"))
+    shard, record = F.shiftright("first", 40), F.col("first").bitwiseAND(F.lit((1 << 40) - 1))
+    keys = staged(places.select("key", shard.alias("shard"), record.alias("record"), (F.col("last") - shard + 1).alias("shards")), "keys")
     segments = max(1, -(-keys.count() // KEYS_PER_SEGMENT))
     dealt = keys.select(_segment(segments), "*").repartition("segment").sortWithinPartitions("segment")
     staged(dealt.mapInArrow(partial(_build_index, folder), "segment long, keys long"), "segments").count()
@@ -347,24 +350,30 @@ def _look_up(folder: str, batches):
         segment, keys = Segment.read(folder, number), rows.column("key").to_numpy()
         held, slots = segment.find(keys)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[held]), *[pa.array(slots[c].astype(np.int64)) for c in ("shard", "record", "records")]],
-            names=["key", "shard", "record", "records"])
+            [pa.array(keys[held]), *[pa.array(slots[c].astype(np.int64)) for c in ("shard", "record", "shards")]],
+            names=["key", "shard", "record", "shards"])
 
 
 def _fetch(folder: str, batches):
     shard, number = None, None
+    names = ["key", "shard", "first", "n_tokens", "ids_crc32"]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=names)
+
     for batch in batches:
         out = []
-        for key, s, record, records in zip(*[c.to_pylist() for c in batch.columns]):
+        for key, s, record in zip(*[c.to_pylist() for c in batch.columns]):
             if s != number:
                 shard, number = Shard(folder, s), s
-            if shard.keys[record] != key:
-                continue  # a key that isn't stored but has a stored key's slot and fingerprint
-            for r in range(record, record + records):
+            # None at all for a key that isn't stored but has a stored key's slot and fingerprint.
+            for r in range(record, int(np.searchsorted(shard.keys, key, "right"))):
                 crc = zlib.crc32(shard.ids(r).astype("<u4").tobytes())
                 out.append((key, s, int(shard.starts[r]), int(shard.counts[r]), crc))
-        cols = list(zip(*out)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "shard", "first", "n_tokens", "ids_crc32"])
+                if len(out) >= 10_000:
+                    yield batch_of(out)
+                    out = []
+        yield batch_of(out)
 
 
 def read_store(keys: DataFrame, folder: str) -> DataFrame:
@@ -377,8 +386,11 @@ def read_store(keys: DataFrame, folder: str) -> DataFrame:
     with fs.open_input_stream(f"{root}/manifest.json") as f:
         manifest = json.loads(f.read())
     dealt = keys.select(_segment(manifest["segments"]), "key").repartition("segment").sortWithinPartitions("segment")
-    found = dealt.mapInArrow(partial(_look_up, folder), "key long, shard long, record long, records long")
-    by_shard = found.repartition("shard").sortWithinPartitions("shard", "record")
+    found = dealt.mapInArrow(partial(_look_up, folder), "key long, shard long, record long, shards long")
+    # A key's records go on at the beginning of the next shard.
+    parts = found.select("key", F.posexplode(F.sequence("shard", F.col("shard") + F.col("shards") - 1)).alias("i", "shard"), "record")
+    parts = parts.select("key", "shard", F.when(F.col("i") == 0, F.col("record")).otherwise(F.lit(0)).cast("long").alias("record"))
+    by_shard = parts.repartition("shard").sortWithinPartitions("shard", "record")
     got = by_shard.mapInArrow(partial(_fetch, folder), "key long, shard long, first long, n_tokens long, ids_crc32 long")
     bases = spark.read.parquet(f"{folder}/shards.parquet")  # one row a shard
     return got.join(bases, "shard").select(

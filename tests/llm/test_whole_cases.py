@@ -2,11 +2,15 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from pricewright.llm import fertility, mixing, pii_surrogates, secret_scan
+from pricewright.llm import fertility, mixing, pii_surrogates, secret_scan, token_store
+from pricewright.llm.common import shared_folder
 
 
 def test_mixture_agrees_over_layouts(spark, corpus, uncoalesced):
@@ -106,3 +110,34 @@ def test_one_more_document_moves_bands_by_little(spark, corpus):
     repeated = corpus([docs[0], docs[0], (None, docs[0][1], None, None)])
     got = fertility.judge(repeated).collect()
     assert len(got) == 3 and len({(r["kept"], r["chars_per_token"]) for r in got}) == 1
+
+
+def test_a_hot_key_runs_on_over_shards(spark, corpus, uncoalesced):
+    rng = random.Random(9)
+    rows = [(i if i % 3 else 7, " ".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) + f" {i}", None, None) for i in range(600)]
+    rows += [(None, f"no id {i}", None, None) for i in range(300)]
+    folder = shared_folder(spark, "hot-store")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    token_store.write_store(corpus(rows), folder)
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    keys = corpus(rows).select(F.coalesce("doc_id", F.lit(token_store.NULL_KEY)).alias("key")).distinct()
+    found = token_store.read_store(keys.union(spark.range(10_000, 10_500).select("id")), folder)
+    got = found.collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [token_store.NULL_KEY if r["doc_id"] is None else r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+    assert order == sorted(order)
+    plain = Tokenizer.from_file(token_store.VOCABULARY)
+    want = Counter(zlib.crc32(np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for _, t, _, _ in rows)
+    assert Counter(r["ids_crc32"] for r in got) == want
+    keys_of = {}
+    for n in range(12):
+        try:
+            keys_of[n] = token_store.Shard(folder, n).keys
+        except FileNotFoundError:
+            pass
+    assert sum(7 in k for k in keys_of.values()) > 1 and sum(token_store.NULL_KEY in k for k in keys_of.values()) > 1
