@@ -28,6 +28,18 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str = "buckets") -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``keys``, sorted, and read it back.
+
+    There are as many buckets as shuffle partitions, so joins and aggregates on ``keys`` read it in place, without a shuffle,
+    and a result of theirs is written without one.
+    """
+    spark, called = df.sparkSession, f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, *keys).sortBy(*keys).option("path", shared_folder(spark, name)).saveAsTable(called)
+    return spark.table(called)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

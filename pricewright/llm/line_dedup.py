@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, SPACES, hash_pair, staged, table
+from .common import LAST_ID, SPACES, bucketed, hash_pair, staged, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["h1", "h2"]
@@ -21,8 +21,8 @@ def line_key(line: Column) -> Column:
 class Runs:
     """Sorted runs (h1, h2, owner) in levels. A level that has ``fanout`` runs is merged into one run of the next level.
 
-    A key is in one run only, as a batch adds just the keys no run has. Runs are written range-sorted on the key, so
-    that later merges read them in order; each is a Parquet table in the shared folder.
+    A key is in one run only, as a batch adds just the keys no run has. A run lies in the shared folder in fixed ranges of
+    the hash, sorted, so that a batch meets it in place: only the batch is shuffled, never what came before.
     """
 
     def __init__(self, fanout: int = 3):
@@ -31,13 +31,13 @@ class Runs:
     def all(self) -> list[DataFrame]:
         return [run for level in sorted(self.levels) for run in self.levels[level]]
 
-    def add(self, keys: DataFrame, level: int = 0) -> None:
+    def add(self, keys: DataFrame, level: int = 0, stored: bool = False) -> None:
+        """A new run of ``keys``, which are written unless they are ``stored`` in ranges already."""
         runs = self.levels.setdefault(level, [])
-        runs.append(staged(keys.sortWithinPartitions(*KEY), f"run{level}"))
+        runs.append(keys if stored else bucketed(keys.repartition(*KEY), KEY, f"run{level}"))
         if len(runs) >= self.fanout:
-            merged = reduce(DataFrame.union, runs).repartitionByRange(*KEY)
             self.levels[level] = []
-            self.add(merged, level + 1)
+            self.add(reduce(DataFrame.union, runs), level + 1)
 
 
 def drop_repeated_lines(
@@ -46,8 +46,8 @@ def drop_repeated_lines(
     """Keep a line of at least ``min_length`` code points only in the smallest doc_id that holds its key.
 
     Documents come in batches of rising doc_id. Each batch's keys are merge-joined with the runs of all earlier
-    batches: keys found there belong to an earlier document, the rest are anti-joined out and added as a run of their
-    own. Line hashes have 128 bits; a hot line meets map-side combined minima, and its occurrences are split by the
+    batches, which stay where they are: keys found there belong to an earlier document, the rest are anti-joined out and
+    added as a run of their own. Line hashes have 128 bits; a hot line meets map-side combined minima, and its occurrences are split by the
     skew join. Texts are shuffled once, to meet the positions of their dropped lines.
 
     Returns one row per row of ``docs``: doc_id, n_lines, n_dropped, kept_text. A null or empty text is one empty line.
@@ -79,13 +79,13 @@ def drop_repeated_lines(
             own = own.join(run.withColumnRenamed("owner", f"owner{i}"), KEY, "left")
         earlier = [F.col(f"owner{i}") for i in range(len(runs.all()))]
         prior = F.coalesce(*earlier, F.lit(None).cast("long"))
-        own = staged(own.select(*KEY, "own", "high", prior.alias("prior")), "batch-keys")
+        own = bucketed(own.select(*KEY, "own", "high", prior.alias("prior")), KEY, "batch_keys")
         repeated = own.where(F.col("prior").isNotNull() | (F.col("high") > F.col("own")))
         owner = F.coalesce("prior", "own")
         dropped.append(
             batch.join(repeated.select(*KEY, owner.alias("owner")), KEY).where(F.col("owner") < F.col("id")).select("id", "version", "pos")
         )
-        runs.add(own.where(F.col("prior").isNull()).select(*KEY, F.col("own").alias("owner")))
+        runs.add(own.where(F.col("prior").isNull()).select(*KEY, F.col("own").alias("owner")), stored=True)
     gone = reduce(DataFrame.union, dropped).groupBy("id", "version").agg(F.collect_set("pos").alias("gone"))
     none = F.array().cast("array<int>")
     joined = rows.withColumn("version", F.xxhash64("body")).join(gone, ["id", "version"], "left")

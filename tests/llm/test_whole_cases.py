@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pricewright.llm import fertility, mixing, pii_surrogates, secret_scan, token_store
+from pricewright.llm import fertility, line_dedup, mixing, pii_surrogates, secret_scan, token_store
 from pricewright.llm.common import shared_folder
 
 
@@ -141,3 +141,18 @@ def test_a_hot_key_runs_on_over_shards(spark, corpus, uncoalesced):
         except FileNotFoundError:
             pass
     assert sum(7 in k for k in keys_of.values()) > 1 and sum(token_store.NULL_KEY in k for k in keys_of.values()) > 1
+
+
+def test_runs_are_read_in_place(spark, uncoalesced):
+    runs = line_dedup.Runs(fanout=3)
+    frame = lambda low: spark.range(low, low + 500).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"), F.col("id").alias("owner"))
+    runs.add(frame(0))
+    runs.add(frame(1000))
+    batch = frame(400).groupBy(*line_dedup.KEY).agg(F.min("owner").alias("own"))
+    for i, run in enumerate(runs.all()):
+        batch = batch.join(run.withColumnRenamed("owner", f"owner{i}").hint("merge"), line_dedup.KEY, "left")
+    found = batch.where("owner0 IS NOT NULL")
+    assert found.count() == 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # One exchange, of the batch; the files of the runs lie below none.
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1 and plan.count("Bucketed: true") >= 2
