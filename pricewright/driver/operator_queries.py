@@ -302,12 +302,13 @@ def customer_books(b) -> DataFrame:
 
 @register("""
 SELECT 'book_' || o_custkey || '.xlsx' AS file, arg_min(r, -score * 1000000 + r) AS seq, max(n) AS rows,
-    arg_min(o_orderpriority, -score * 1000000 + r) AS first_name
+    arg_min(o_orderpriority || '|' || CASE WHEN o_orderkey % 2 = 0 THEN 'text' ELSE 'no' END || '|' || CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE 'words' END,
+        -score * 1000000 + r) AS header
 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS r, count(*) OVER (PARTITION BY o_custkey) AS n,
         1 + (o_orderkey % 2 = 0)::INT + (o_orderkey % 3 <> 0)::INT AS score FROM orders) WHERE r < 15 GROUP BY o_custkey""")
 def header_detection(b):
     found = headers.sheet_summary(customer_books(b))
-    return found.select("file", "seq", "rows", F.col("header")[0].alias("first_name"))
+    return found.select("file", "seq", "rows", F.array_join("header", "|").alias("header"))
 
 
 @register("""SELECT p_partkey, p_brand || '|' || p_type || '|' || p_brand || '_1|Unnamed: 3|' || p_brand || '_2|' || p_type || '_1' AS header FROM part""")
@@ -637,15 +638,17 @@ def derive_discount(b):
 
 
 @register("""
-SELECT 'lines' AS "table", b AS bronze_rows, s AS silver_rows, s - b AS row_delta, 3 AS bronze_cols, 3 AS silver_cols, br AS bronze_revenue, sr AS silver_revenue,
+SELECT 'lines' AS "table", b AS bronze_rows, s AS silver_rows, s - b AS row_delta, 11 AS bronze_cols, 11 AS silver_cols, br AS bronze_revenue, sr AS silver_revenue,
     sr - br AS revenue_delta, bc AS bronze_customers, bc AS silver_customers
-FROM (SELECT count(*) AS b, sum(l_quantity) AS br, count(DISTINCT l_returnflag) AS bc FROM lineitem),
-    (SELECT count(*) AS s, sum(l_quantity) AS sr FROM (SELECT DISTINCT l_returnflag, l_partkey, l_quantity FROM lineitem))
+FROM (SELECT count(*) AS b, sum(l_quantity) AS br, count(DISTINCT l_returnflag) AS bc FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber = 1)),
+    (SELECT count(*) AS s, sum(l_quantity) AS sr FROM (SELECT DISTINCT * FROM lineitem))
 UNION ALL
-SELECT 'orders', count(*), count(*), 0, 2, 2, NULL, NULL, NULL, count(DISTINCT o_orderpriority), count(DISTINCT o_orderpriority) FROM orders""")
+SELECT 'orders', count(*), count(*), 0, 6, 6, NULL, NULL, NULL, count(DISTINCT o_orderpriority), count(DISTINCT o_orderpriority) FROM orders""")
 def reconcile(b):
-    lines = b.raw("lineitem").select(F.col("l_returnflag").alias("customer_name"), "l_partkey", F.col("l_quantity").alias("revenue"))
-    orders = b.raw("orders").select(F.col("o_orderpriority").alias("customer_name"), "o_orderkey")
+    """Whole tables, the line items with some loaded twice."""
+    lines = b.raw("lineitem").withColumnsRenamed({"l_returnflag": "customer_name", "l_quantity": "revenue"})
+    lines = lines.unionByName(lines.filter("l_linenumber = 1"))
+    orders = b.raw("orders").withColumnsRenamed({"o_orderpriority": "customer_name"})
     return quality.reconcile({"lines": lines, "orders": orders}, {"lines": clean.clean(lines, "lines", {})[0], "orders": clean.clean(orders, "orders", {})[0]})
 
 
@@ -732,21 +735,23 @@ def context_missing(b):
     return context.missing_fields(context.merge_context(facts), facts)
 
 
-@register(f"""
-SELECT client_id, c AS "column", n AS rows, f AS filled, {pct('f', 'n')} AS fill_pct, {pct('f', 'n')} < 80 AS is_low FROM (
-    SELECT client_id, 'deal_value' AS c, count(*) AS n, count(deal_value) AS f FROM deals GROUP BY client_id
-    UNION ALL SELECT client_id, 'loss_reason', count(*), count(loss_reason) FROM deals GROUP BY client_id
-    UNION ALL SELECT client_id, 'competitor_cited', count(*), count(competitor_cited) FROM deals GROUP BY client_id)""")
+_DEAL_COLUMNS = ("deal_id", "customer_id", "deal_outcome", "deal_close_date", "deal_value", "final_price", "discount_pct", "sales_cycle_days", "sales_rep_id",
+                 "customer_segment", "loss_reason", "competitor_cited", "override_flag")
+_FILLED = " UNION ALL ".join(f"SELECT client_id, '{c}' AS c, count(*) AS n, count({c}) AS f FROM deals GROUP BY client_id" for c in _DEAL_COLUMNS)
+
+
+@register(f"""SELECT client_id, c AS "column", n AS rows, f AS filled, {pct('f', 'n')} AS fill_pct, {pct('f', 'n')} < 80 AS is_low FROM ({_FILLED})""")
 def fill_rate(b):
-    return profile.fill_rates(b.fact_deal_opportunity.select("client_id", "deal_value", "loss_reason", "competitor_cited"), ["client_id"])
+    return profile.fill_rates(b.fact_deal_opportunity, ["client_id"])
 
 
 @register("""
-SELECT i AS position, c AS "column", (SELECT count(*) FROM customer) AS rows, 3 AS columns, (SELECT string_agg(v, '|' ORDER BY k) FROM (SELECT c_custkey AS k,
-    CASE i WHEN 0 THEN CAST(c_custkey AS VARCHAR) WHEN 1 THEN c_name ELSE c_mktsegment END AS v FROM customer WHERE i < 2 OR c_custkey % 4 > 0 ORDER BY k LIMIT 3)) AS samples
-FROM (VALUES (0, 'c_custkey'), (1, 'c_name'), (2, 'segment')) t(i, c)""")
+SELECT i AS position, c AS "column", (SELECT count(*) FROM customer) AS rows, 5 AS columns, (SELECT string_agg(v, '|' ORDER BY k) FROM (SELECT c_custkey AS k,
+    CASE i WHEN 0 THEN CAST(c_custkey AS VARCHAR) WHEN 1 THEN c_name WHEN 2 THEN CAST(c_nationkey AS VARCHAR) WHEN 3 THEN CAST(c_acctbal AS VARCHAR) ELSE c_mktsegment END AS v
+    FROM customer WHERE i < 4 OR c_custkey % 4 > 0 ORDER BY k LIMIT 3)) AS samples
+FROM (VALUES (0, 'c_custkey'), (1, 'c_name'), (2, 'c_nationkey'), (3, 'c_acctbal'), (4, 'c_mktsegment')) t(i, c)""")
 def column_profile(b):
-    rows = b.raw("customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 4 > 0, F.col("c_mktsegment")).alias("segment"))
+    rows = b.raw("customer").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 4 > 0, F.col("c_mktsegment")))
     return profile.profile(rows, F.col("c_custkey")).withColumn("samples", F.array_join("samples", "|"))
 
 
