@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numeric import as_col
-from .text import strip
+from .text import once, strip
 
 # Serial numbers strictly between these bounds are dates counted from the origin.
 SERIAL_LOW, SERIAL_HIGH, SERIAL_ORIGIN = 25000, 55000, "1899-12-30"
@@ -53,17 +53,28 @@ def read_format(text: Column, fmt: str) -> Column:
     return F.when(text.rlike(shape(fmt)), F.try_to_timestamp(text, F.lit(fmt)))
 
 
+# What every text that reads as a number without a minus looks like; like failed parses, failed casts are slow.
+_NUMBER = r"^[^0-9A-Za-z.+]*\+?(0[xX][0-9a-fA-F.]+|[0-9]*\.?[0-9]*)([eEpP][+-]?[0-9]+)?[dDfF]?[^0-9A-Za-z.+]*$"
+
+
+def _serial(value: Column | str) -> Column:
+    """The number in the serial range, or null."""
+    text = as_col(value).cast("string")
+    return once(F.when(text.rlike(_NUMBER), text.try_cast("double")), lambda n: F.when((n > SERIAL_LOW) & (n < SERIAL_HIGH), n))
+
+
 def is_serial(value: Column | str) -> Column:
-    n = as_col(value).cast("string").try_cast("double")
-    return F.coalesce((n > SERIAL_LOW) & (n < SERIAL_HIGH), F.lit(False))
+    return _serial(value).isNotNull()
 
 
 def serial_to_timestamp(value: Column | str) -> Column:
     """Days since the origin, the fraction being the time of day; null outside the serial range."""
-    n = as_col(value).cast("string").try_cast("double")
-    day = F.date_add(F.lit(SERIAL_ORIGIN).cast("date"), F.floor(n).cast("int"))
-    seconds = F.round((n - F.floor(n)) * 86400).cast("long")
-    return F.when(is_serial(value), F.timestamp_seconds(F.unix_seconds(day.cast("timestamp")) + seconds))
+    def moment(n: Column) -> Column:
+        day = F.date_add(F.lit(SERIAL_ORIGIN).cast("date"), F.floor(n).cast("int"))
+        seconds = F.round((n - F.floor(n)) * 86400).cast("long")
+        return F.when(n.isNotNull(), F.timestamp_seconds(F.unix_seconds(day.cast("timestamp")) + seconds))
+
+    return once(_serial(value), moment)
 
 
 # Orders of day and month in numeric dates; which one a column uses is settled by ``operators.date_order``.
@@ -77,16 +88,40 @@ def numeric_separator(value: Column | str) -> Column:
     return F.when(found != "", found)
 
 
+# What ``strip`` may touch at either end; texts without these need no regular expression.
+_EDGES = " \t\n\x0b\f\r\x85\u2028\u2029"
+
+
+def _bare(value: Column | str, then: Callable[[Column], Column]) -> Column:
+    """``then`` of the stripped text."""
+    edged = once(as_col(value).cast("string"), lambda raw: F.when(F.btrim(raw, F.lit(_EDGES)) == raw, raw).otherwise(strip(raw)))
+    return once(edged, then)
+
+
+def _parts(text: Column) -> Column:
+    """The two numbers, the year and perhaps the time of a stripped numeric date; null for other texts."""
+    return F.when(text.rlike(_NUMERIC), F.split(text, r"[/.\- T]"))
+
+
+def _read_parts(part: Column, order: str) -> Column:
+    """``_parts`` read in one order. Days and months out of range are no dates, without trying to read them."""
+    month, day = (part[0], part[1]) if order == MONTH_FIRST else (part[1], part[0])
+    whole, time = F.concat_ws("-", part[2], month, day), F.coalesce(F.get(part, F.lit(3)), F.lit(""))
+    full = F.when(F.length(time) <= 5, F.concat(time, F.lit(":00"))).otherwise(time)
+    able = month.cast("int").between(1, 12) & day.cast("int").between(1, 31)
+    return F.when(able & (time == ""), F.try_to_timestamp(whole, F.lit("yyyy-M-d"))).when(
+        able, F.try_to_timestamp(F.concat_ws(" ", whole, full), F.lit("yyyy-M-d H:mm:ss")))
+
+
+def numeric_dates(value: Column | str, then: Callable[[dict[str, Column]], Column]) -> Column:
+    """``then`` of a date of two numbers and a year, read in either order; null for other texts."""
+    read = lambda part: then({order: _read_parts(part, order) for order in (MONTH_FIRST, DAY_FIRST)})
+    return _bare(value, lambda text: once(_parts(text), lambda part: F.when(part.isNotNull(), read(part))))
+
+
 def numeric_date(value: Column | str, order: str = MONTH_FIRST) -> Column:
     """A date of two numbers and a year, read in one order; null where that gives no day of the calendar."""
-    text = strip(value)
-    part = {i: F.regexp_extract(text, _NUMERIC, i) for i in (1, 3, 4, 5)}
-    month, day = (part[1], part[3]) if order == MONTH_FIRST else (part[3], part[1])
-    time = F.when(F.length(part[5]) <= 5, F.concat(part[5], F.lit(":00"))).otherwise(part[5])
-    whole = F.concat_ws("-", part[4], month, day)
-    read = F.when(part[5] == "", F.try_to_timestamp(whole, F.lit("yyyy-M-d"))).otherwise(
-        F.try_to_timestamp(F.concat_ws(" ", whole, time), F.lit("yyyy-M-d H:mm:ss")))
-    return F.when(text.rlike(_NUMERIC), read)
+    return numeric_dates(value, lambda read: read[order])
 
 
 def parse_timestamp(value: Column | str, formats: Sequence[str] = DATE_FORMATS, order: Column | str | None = None) -> Column:
@@ -94,13 +129,16 @@ def parse_timestamp(value: Column | str, formats: Sequence[str] = DATE_FORMATS,
 
     ``order`` is ``month`` or ``day``, or a column of these; null and None are month-first.
     """
-    text = strip(value)
-    tried = [read_format(text, fmt) for fmt in formats]
-    if isinstance(order, Column):
-        numeric = F.when(order == DAY_FIRST, numeric_date(value, DAY_FIRST)).otherwise(numeric_date(value, MONTH_FIRST))
-    else:
-        numeric = numeric_date(value, order or MONTH_FIRST)
-    return F.coalesce(serial_to_timestamp(value), *tried, numeric)
+    def read(text: Column) -> Column:
+        tried = [read_format(text, fmt) for fmt in formats]
+        return F.coalesce(*tried, once(_parts(text), numeric))
+
+    def numeric(part: Column) -> Column:
+        if isinstance(order, Column):
+            return F.when(order == DAY_FIRST, _read_parts(part, DAY_FIRST)).otherwise(_read_parts(part, MONTH_FIRST))
+        return _read_parts(part, order or MONTH_FIRST)
+
+    return F.coalesce(serial_to_timestamp(value), _bare(value, read))
 
 
 def parse_date(value: Column | str, formats: Sequence[str] = DATE_FORMATS, order: Column | str | None = None) -> Column:

@@ -23,7 +23,9 @@ def _c(name: str) -> Column:
 
 
 def as_number(value: Column) -> Column:
-    return F.trim(value.cast("string")).try_cast("double")
+    """The number a text holds; texts with neither a digit nor a word for infinity or NaN are not tried, as failed casts are slow."""
+    text = F.trim(value.cast("string"))
+    return F.when(text.rlike(r"[0-9]|(?i:inf|nan)"), text.try_cast("double"))
 
 
 def declared_kinds(columns: Iterable[str]) -> dict[str, str]:
@@ -59,10 +61,11 @@ def guess_kinds(df: DataFrame, known: Mapping[str, str]) -> tuple[dict[str, str]
     written = [n for n in df.columns if n in texts and (known.get(n) == "date" or candidates.get(n, ("",))[0] == "date")]
     if not candidates and not written:
         return {}, {}
-    counts = df.agg(*date_order.vote_counts(written), *[
+    read = df.select(*date_order.vote_columns(written), *[
         c for i, (n, (_, parsed)) in enumerate(candidates.items())
-        for c in (F.count(blank_to_null(_c(n))).alias(f"n{i}"), F.count(parsed).alias(f"p{i}"))
-    ]).first()
+        for c in (blank_to_null(_c(n)).alias(f"n{i}"), parsed.alias(f"p{i}"))
+    ])
+    counts = read.agg(*date_order.vote_counts(written), *[F.count(f"{c}{i}").alias(f"{c}{i}") for i in range(len(candidates)) for c in "np"]).first()
     kinds = {
         n: kind for i, (n, (kind, _)) in enumerate(candidates.items()) if counts[f"n{i}"] and 2 * counts[f"p{i}"] >= counts[f"n{i}"]
     }
@@ -93,7 +96,9 @@ def clean(df: DataFrame, table: str, kinds: Mapping[str, str] | None = None) ->
     names = [c for c in df.columns if c != POSITION]
     places = [c for c in df.columns if c == POSITION]
     repaired = df.select(*[typed(n, kinds.get(n), orders.get(n)) for n in names], *places)
-    filled = repaired.filter(F.coalesce(*[_c(n).cast("string") for n in names]).isNotNull())
+    # Spark tests this on the values before repair; repaired columns come last, so that few of them are read for it.
+    plain_first = sorted(names, key=lambda n: ("number", "date").index(kinds[n]) if kinds.get(n) in ("number", "date") else -1)
+    filled = repaired.filter(F.coalesce(*[_c(n).cast("string") for n in plain_first]).isNotNull())
     unique = filled.groupBy(*[_c(n) for n in names]).agg(F.count(F.lit(1)).alias("_copies"), *[F.min(p).alias(p) for p in places])
     out = unique.select(*[
         parse_bool(_c(n)).alias(n) if kinds.get(n) == "boolean"
@@ -108,7 +113,12 @@ def cleaning_log(df: DataFrame, unique: DataFrame, table: str, kinds: Mapping[st
 
     Dates that could be read in either order count as guessed if as many values of the column ask for one order as for the other.
     """
-    counts, labels = [], []
+    read, counts, labels = [], [], []
+
+    def seen(value: Column) -> Column:
+        """The value as a column below the counts: worked out once per row, however many counts use it."""
+        read.append(value.alias(f"v{len(read)}"))
+        return F.col(f"v{len(read) - 1}")
 
     def add(column: str | None, action: str, count: Column, detail: str) -> None:
         counts.append(F.coalesce(count, F.lit(0)).cast("long").alias(f"k{len(labels)}"))
@@ -116,18 +126,18 @@ def cleaning_log(df: DataFrame, unique: DataFrame, table: str, kinds: Mapping[st
 
     for name, kind in kinds.items():
         if kind == "date":
-            add(name, "convert_serial_dates", F.count_if(is_serial(_c(name))), "spreadsheet serial numbers converted")
-            read = parse_timestamp(_c(name), order=orders.get(name))
-            add(name, "flag_1970_dates", F.count_if(F.year(read) == 1970), "dates that may come from a zero epoch")
+            add(name, "convert_serial_dates", F.count_if(seen(is_serial(_c(name)))), "spreadsheet serial numbers converted")
+            day = seen(parse_timestamp(_c(name), order=orders.get(name)))
+            add(name, "flag_1970_dates", F.count_if(F.year(day) == 1970), "dates that may come from a zero epoch")
             if name in orders:
-                cast = {n: F.count_if(v) for n, v in date_order.votes(_c(name)).items()}
+                cast = {n: F.count_if(v) for n, v in date_order.votes(seen(date_order.vote(_c(name)))).items()}
                 guessed = F.when(cast["month_only"] == cast["day_only"], cast["either"])
                 add(name, "guess_date_order", guessed, f"dates that fit both orders, read {orders[name]}-first without evidence")
-                add(name, "coerce_dates", F.count(blank_to_null(_c(name))) - F.count(read), "values that are no dates became null")
+                add(name, "coerce_dates", F.count(seen(blank_to_null(_c(name)))) - F.count(day), "values that are no dates became null")
         elif kind == "number":
-            lost = F.count(_c(name)) - F.count(as_number(_c(name)))
+            lost = F.count(seen(_c(name))) - F.count(seen(as_number(_c(name))))
             add(name, "coerce_numeric", lost, "values that are no numbers became null")
-    changed = df.agg(F.count(F.lit(1)).alias("rows_in"), *counts)
+    changed = df.select(*read).agg(F.count(F.lit(1)).alias("rows_in"), *counts)
     kept = unique.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows_filled"), F.count(F.lit(1)).alias("rows_out"))
     labels += [
         (None, "drop_empty_rows", "rows without any value"),

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import DAY_FIRST, MONTH_FIRST, numeric_date, numeric_separator
+from ..functions.dates import DAY_FIRST, MONTH_FIRST, numeric_dates, numeric_separator
+from ..functions.text import once
 
 #: Counts of one column: what only the month-first order explains, only the day-first one, both.
 VOTES = ("month_only", "day_only", "either")
@@ -17,10 +18,17 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def votes(value: Column) -> dict[str, Column]:
-    """Conditions on one value, by the names of ``VOTES``; all are false for what is no numeric date."""
-    month, day = (numeric_date(value, order).isNotNull() for order in (MONTH_FIRST, DAY_FIRST))
-    return {"month_only": month & ~day, "day_only": day & ~month, "either": month & day}
+def vote(value: Column) -> Column:
+    """The name in ``VOTES`` that one value counts for; null for what is no numeric date. Each order is read once."""
+    def cast(told: Column) -> Column:
+        return F.when(told["month"] & told["day"], VOTES[2]).when(told["month"], VOTES[0]).when(told["day"], VOTES[1])
+
+    return once(numeric_dates(value, lambda read: F.struct(*[read[o].isNotNull().alias(o) for o in (MONTH_FIRST, DAY_FIRST)])), cast)
+
+
+def votes(cast: Column) -> dict[str, Column]:
+    """Conditions on a column that holds ``vote``, by the names of ``VOTES``; all are false for what is no numeric date."""
+    return {n: F.coalesce(cast == n, F.lit(False)) for n in VOTES}
 
 
 def winner(month_only: Column, day_only: Column, dotted: Column) -> Column:
@@ -36,8 +44,9 @@ def evidence(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
     """
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _c(c).cast("string").alias("value")) for c in columns]))
     long = df.select(*[_c(b) for b in by], cells.alias("cell")).select(*by, "cell.*").withColumn("separator", numeric_separator("value"))
-    counts = [F.count_if(v).alias(n) for n, v in votes(F.col("value")).items()]
-    found = long.where(F.col("separator").isNotNull()).groupBy(*by, "column", "separator").agg(*counts)
+    counts = [F.count_if(v).alias(n) for n, v in votes(F.col("vote")).items()]
+    cast = long.where(F.col("separator").isNotNull()).withColumn("vote", vote(F.col("value")))
+    found = cast.groupBy(*by, "column", "separator").agg(*counts)
     return found.where(" + ".join(VOTES) + " > 0")
 
 
@@ -71,11 +80,20 @@ def column_orders(counts: Mapping[str, int], columns: Sequence[str]) -> dict[str
     return out
 
 
-def vote_counts(columns: Sequence[str]) -> list[Column]:
-    """Aggregates for ``column_orders``, to be taken in a pass that runs anyway."""
+def vote_columns(columns: Sequence[str]) -> list[Column]:
+    """What ``vote_counts`` counts, one column each, to be selected below it so that every value is read once."""
     out = []
     for i, c in enumerate(columns):
-        cast = votes(_c(c).cast("string"))
+        text = _c(c).cast("string")
+        out += [vote(text).alias(f"_vote{i}"), text.contains(".").alias(f"_dotted{i}")]
+    return out
+
+
+def vote_counts(columns: Sequence[str]) -> list[Column]:
+    """Aggregates for ``column_orders`` over ``vote_columns``, to be taken in a pass that runs anyway."""
+    out = []
+    for i in range(len(columns)):
+        cast = votes(F.col(f"_vote{i}"))
         out += [F.count_if(v).alias(f"{n}{i}") for n, v in cast.items()]
-        out.append(F.count_if(cast["either"] & (numeric_separator(_c(c).cast("string")) == ".")).alias(f"dots{i}"))
+        out.append(F.count_if(cast["either"] & F.col(f"_dotted{i}")).alias(f"dots{i}"))
     return out

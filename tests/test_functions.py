@@ -67,3 +67,22 @@ def test_ratio_and_rounding(spark):
     assert df.select(numeric.ratio("a", "b")).first()[0] is None
     assert one(spark, [2.675, -2.675, 900.015], lambda c: numeric.round_half_up(c, 2), "double") == [2.68, -2.68, 900.02]
     assert one(spark, [float("nan"), float("inf"), 1.5], numeric.clean_number, "double") == [None, None, 1.5]
+
+
+def test_dates_are_read_once_per_value(spark):
+    """Failed parses and casts cost most of the time of a cleaning: none is tried where the text shows that it must fail."""
+    from pyspark.sql import functions as F
+
+    from pricewright.operators import clean, date_order
+
+    texts = ["35000.5", "0x1.8p15", "3/25/1998", "25/3/1998", "3.4.1998 9:15", "31/02/1998", "1998-03-12", "n.a.", " 12 "]
+    df = spark.createDataFrame([(t,) for t in texts], "due_date string")
+    got = df.select(date_order.vote(F.col("due_date")), dates.is_serial("due_date"), clean.as_number(F.col("due_date"))).collect()
+    assert [r[0] for r in got] == [None, None, "month_only", "day_only", "either", None, None, None, None]
+    assert [r[1] for r in got] == [True, True] + [False] * 7
+    assert [r[2] for r in got] == [35000.5, 49152.0, None, None, None, None, None, None, 12.0]
+    log = clean.clean(df, "t")[1]
+    found = {r["action"]: r["affected"] for r in log.collect()}
+    assert found == {"convert_serial_dates": 2, "guess_date_order": 1, "coerce_dates": 4, "drop_empty_rows": 4}
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("yyyyMMdd") for line in plan.splitlines()) == 1
