@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import staged
 
 # Legal forms dropped from the end of a name.
 LEGAL_FORMS = (
@@ -50,8 +51,13 @@ def near_edges(keys: DataFrame, min_letters: int = 1) -> DataFrame:
 
 
 def name_groups(names: DataFrame, name: str = "name") -> DataFrame:
-    """(name, key, canonical): names of equal normal form, under the longest spelling, ties by alphabet. One aggregate."""
-    keyed = names.select(strip(name).alias("name")).filter(F.col("name") != "").distinct().withColumn("key", normal_name(F.col("name")))
+    """(name, key, canonical): names of equal normal form, under the longest spelling, ties by alphabet. One aggregate.
+
+    Spellings are made distinct as they are written first, so that the text work is spread however few files there are; the
+    test for blanks, which Spark moves to the scan, needs no more than a look at the first letter.
+    """
+    written = names.select(F.col(name).cast("string").alias("name")).filter(F.col("name").rlike(r"\S")).distinct()
+    keyed = written.select(strip("name").alias("name")).distinct().withColumn("key", normal_name(F.col("name")))
     best = keyed.groupBy("key").agg(F.min(F.struct(-F.length("name"), F.col("name"))).alias("b")).select("key", F.col("b.name").alias("canonical"))
     return keyed.join(best, "key").select("name", "key", "canonical")
 
@@ -60,9 +66,10 @@ def near_names(groups: DataFrame) -> DataFrame:
     """(key, canonical, near_key, near_canonical, score) of groups whose keys are one letter apart, for review.
 
     ``score`` is 1 - edit distance / longer length of the normal forms, so a letter weighs more in a short name. ``near_key``
-    is the name that would stay: the one with the longer spelling, ties by alphabet.
+    is the name that would stay: the one with the longer spelling, ties by alphabet. The names are found once and staged, as
+    five passes read them.
     """
-    kept = groups.select("key", "canonical").distinct()
+    kept = staged(groups.select("key", "canonical").distinct(), "name-keys")
     edges = near_edges(kept.select("key"))
     pairs = edges.join(kept.withColumnsRenamed({"key": "src", "canonical": "a"}), "src").join(kept.withColumnsRenamed({"key": "dst", "canonical": "b"}), "dst")
     stays = F.struct(-F.length("b"), F.col("b")) < F.struct(-F.length("a"), F.col("a"))
@@ -81,6 +88,8 @@ def merge_map(groups: DataFrame, decisions: DataFrame | None = None, min_score:
     if that one itself stays. ``decisions`` (name, canonical) override both, also to keep a name as it is; of several for one
     name the first by alphabet counts.
     """
+    if min_score is not None:
+        groups = staged(groups, "name-groups")
     found = groups.select("name", "canonical")
     if min_score is not None:
         near = near_names(groups).filter(F.col("score") >= min_score)
