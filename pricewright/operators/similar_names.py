@@ -51,7 +51,7 @@ def similar_names(groups: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
     the asked share behind are keys of the join: two names that meet at none of them can't be similar. A word that most
     names have is the last of each and so a key of hardly any. A pair is compared at its first common word only.
     """
-    sets = staged(weighted(token_sets(groups)), "token-sets")
+    sets = staged(weighted(staged(token_sets(groups), "name-sets")), "token-sets")
     keys = sets.select("canonical", "weights", "total", F.posexplode("rest").alias("at", "rest")).where(F.col("rest") * 100 >= F.col("total") * min_score)
     keys = keys.withColumn("token", F.col("weights")[F.col("at")]["token"])
     left = keys.withColumnsRenamed({c: f"l_{c}" for c in keys.columns if c != "token"})
