@@ -23,7 +23,8 @@ def filter_revenue(
     """Facts of the chosen segments, regions, products and period, with the columns unchanged.
 
     Product and client filters reach the scan. Customer filters are a semi join. ``period`` is one of PERIODS or
-    ``YTD`` and ends at each client's last transaction.
+    ``YTD`` and ends at each client's last transaction. These are one row per client and broadcast: a shuffle by client
+    would give one task all facts of a client.
     """
     out = revenue
     if client_id is not None:
@@ -40,7 +41,7 @@ def filter_revenue(
             start = F.date_add(F.add_months("_last", -PERIODS[period]), 1)
         else:
             raise ValueError(f"unknown period {period!r}")
-        out = out.join(last, "client_id").filter(F.col("transaction_date") >= start).drop("_last")
+        out = out.join(F.broadcast(last), "client_id").filter(F.col("transaction_date") >= start).drop("_last")
     if segments or regions:
         chosen = customers
         if segments:
