@@ -249,7 +249,10 @@ class Bindings:
             F.when(k % 3 == 0, _dec("0.90")).when(k % 3 == 1, _dec("1.00")).otherwise(_dec("1.15"))
             - F.when(k >= 3, _dec("0.01")).otherwise(_dec("0.00"))
         ).cast("decimal(4,2)")
-        return self.home_parts.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).select(
+        # Parts are one small file; spread before they become six rows each, no task has to group them all.
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        spread = self.home_parts.select("r_name", "p_partkey", "p_retailprice", "p_size").repartition(tasks, "p_partkey")
+        return spread.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5)))).select(
             F.col("r_name").alias("client_id"),
             F.concat(F.lit("Competitor_"), (k % 3).cast("string")).alias("competitor_name"),
             F.col("p_partkey").alias("own_product_sku"),
